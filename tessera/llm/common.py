@@ -41,23 +41,35 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
+#: Rows that a file of a written table takes where their number is known.
+FILE_ROWS = 500_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, shuffled: bool = True) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors.
+
+    Where about so many ``rows`` come, it takes as many files as they need, eight at least: merged
+    from the partitions of a light last stage (``shuffled``), else by a shuffle behind a heavy one.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        files = max(8, -(-rows // FILE_ROWS))
+        df = df.coalesce(files) if shuffled else df.repartition(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs) as ``(id, component)``, component = smallest id.
 
     Alternates large-star and small-star rounds, each a partially aggregated minimum per node and an
-    equi-join back, until the edges stop changing. Nodes without an edge are not returned.
+    equi-join back, until the edges stop changing. Nodes without an edge are not returned. ``rows``: about
+    how many edges there are, if known.
     """
     pairs = edges.where("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct()
-    pairs = written(pairs, "edges")
-    before = None
+    pairs = written(pairs, "edges", rows)
+    before, rows = None, rows if rows is not None else pairs.count()
     for _ in range(max_rounds):
         both = pairs.select(F.col("lo").alias("n"), F.col("hi").alias("m")).union(pairs.select(F.col("hi"), F.col("lo")))
         lowest = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
@@ -65,11 +77,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("low"))
         small = large.withColumnRenamed("hi", "n").join(lowest, "n")
         small = small.select(F.col("low").alias("lo"), F.explode(F.array("lo", "n")).alias("hi")).where("lo <> hi").distinct()
-        pairs = written(small, "edges")
+        pairs = written(small, "edges", rows)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == before:
             return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
                 pairs.select(F.col("lo"), F.col("lo")).distinct()
             )
-        before = now
+        before, rows = now, now[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

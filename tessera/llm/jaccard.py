@@ -149,7 +149,7 @@ def _sides(rows: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFra
     return rows[rows["own"] == i].reset_index(drop=True), rows[rows["own"] == j].reset_index(drop=True)
 
 
-def coarse_groups(one: DataFrame, trees: int, depth: int, loose: float) -> DataFrame:
+def coarse_groups(one: DataFrame, rows: int, trees: int, depth: int, loose: float) -> DataFrame:
     """``(id, component)`` of rows that may be linked: they share a prefix and a good part of their signature."""
     prefixes = F.array(*[F.xxhash64(F.lit(t), *[F.col("sig")[t * depth + d] for d in range(depth)]) for t in range(trees)])
     met = one.select("class_id", F.explode(prefixes).alias("label"))
@@ -170,7 +170,7 @@ def coarse_groups(one: DataFrame, trees: int, depth: int, loose: float) -> DataF
             got = _forest(a["class_id"].to_numpy()[x], b["class_id"].to_numpy()[y])
         return pd.DataFrame(got, columns=["u", "v"], dtype="int64")
 
-    return components(met.groupBy("label", "i", "j").applyInPandas(edges, "u long, v long"))
+    return components(met.groupBy("label", "i", "j").applyInPandas(edges, "u long, v long"), rows)
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -194,19 +194,19 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     # one row a document, then one row a class: documents with the same shingles
     doc = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
     # repeated rows of an id with different texts: the smallest key speaks for the id
-    doc = written(doc, "keys")
+    rows = sketched.count()
     sigs = sketched.where("doc_id is not null and key is not null").groupBy("key").agg(F.first("sig").alias("sig"))
     classes = doc.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = written(classes.join(sigs, "key"), "classes")
+    classes = written(classes.join(sigs, "key"), "classes", rows)
 
     # half-way between unlike texts and the threshold, over five deviations of the estimate below it
     loose = threshold - 5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
-    coarse = written(coarse_groups(classes, trees, depth, loose), "coarse")
+    coarse = coarse_groups(classes, rows, trees, depth, loose)
     sizes = coarse.groupBy("component").agg(F.count("*").alias("members"))
     near = coarse.withColumnRenamed("id", "class_id").join(sizes, "component").join(classes, "class_id")
-    near = written(near.select("class_id", "component", "members", "key", "copies", "sig"), "near")
-    known = near.select("class_id", "key")
-    if near.count() <= SENT_ROWS:
+    near = written(near.select("class_id", "component", "members", "key", "copies", "sig"), "near", rows)
+    known, n_near = near.select("class_id", "key"), near.count()
+    if n_near <= SENT_ROWS:
         known = F.broadcast(known)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +247,9 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
         root = {v: u for u, v in links}
         return pd.DataFrame({"class_id": list(counts), "links": list(counts.values()), "root": [root[c] for c in counts]}, dtype="int64")
 
-    found = written(full.groupBy("component", "i", "j").applyInPandas(verify, "class_id long, links long, root long"), "links")
+    found = written(full.groupBy("component", "i", "j").applyInPandas(verify, "class_id long, links long, root long"), "links", n_near, shuffled=False)
     sums = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("root").alias("u"), F.col("class_id").alias("v")))
+    roots = components(found.select(F.col("root").alias("u"), F.col("class_id").alias("v")), n_near)
     table = (
         classes.select("key", "class_id", "copies")
         .join(sums, "class_id", "left")
@@ -264,7 +264,7 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the smallest id; rows without an id stay, as do all rows of a kept id."""
-    drop = written(jaccard_links(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "copies")
+    drop = written(jaccard_links(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "copies", docs.count())
     if drop.count() <= SENT_ROWS:
         drop = F.broadcast(drop)
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_id"], "left_anti")

@@ -83,7 +83,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     fine = fine.select("vec_id", F.transform("x", lambda v: v / F.col("big")).alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     fine = fine.groupBy("vec_id").agg(F.max("x").alias("x")).select("vec_id", F.transform("x", lambda v: v / norm).alias("x"))
-    fine = written(fine, "units")
+    fine = written(fine, "units", vectors.count())
     most = fine.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     return fine.where(F.size("x") == (most["n"] if most else 0))
 
@@ -134,7 +134,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     units = unit_vectors(vectors)
     alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if units.isEmpty():
+    rows = units.count()
+    if not rows:
         return every.select("vec_id", *alone, F.lit(True).alias("kept"))
     index, probes = build(units, recall, threshold)
     sent = spark.sparkContext.broadcast((index.first, index.second, probes))
@@ -194,9 +195,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 root[max(u, v)] = min(u, v)
         return pd.DataFrame({"vec_id": list(counts), "links": list(counts.values()), "root": [find(u) for u in counts]}, dtype="int64")
 
-    found = written(met.groupBy("cell", "i", "j").applyInPandas(verify, "vec_id long, links long, root long"), "links")
+    found = written(met.groupBy("cell", "i", "j").applyInPandas(verify, "vec_id long, links long, root long"), "links", rows, shuffled=False)
     sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("root").alias("u"), F.col("vec_id").alias("v")))
+    roots = components(found.select(F.col("root").alias("u"), F.col("vec_id").alias("v")), rows)
     out = every.join(sums, "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -32,7 +32,7 @@ def whole_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     fine = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     fine = fine.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     fine = fine.groupBy("vec_id").agg(F.max("x").alias("x")).select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("x"))
-    fine = written(fine, "whole")
+    fine = written(fine, "whole", vectors.count())
     most = fine.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     return fine.where(F.size("x") == (most["n"] if most else 0))
 
