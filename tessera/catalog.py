@@ -1,4 +1,14 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All queries of the statistics operators."""
+
+from __future__ import annotations
+
+from .plans import audit, domain, joins, models, reliability, scores  # noqa: F401  they register their queries
+from .plans.registry import QUERIES, SQL, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

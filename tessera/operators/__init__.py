@@ -1 +1 @@
-
+"""Operators on any table: joins, windows, folds, reliability, resampling, models."""

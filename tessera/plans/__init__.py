@@ -1 +1 @@
-
+"""Queries over the test tables, each with its DuckDB SQL where SQL can express it."""
