@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 #: The fit takes about so many labelled rows of each label at most, those with the smallest seeded hashes.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 3_000
 #: Words of at least so many sampled documents get a weight; at most so many words.
 LEAST_DOCS, MOST_WORDS = 4, 60_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -83,30 +83,35 @@ class NoisyOr:
 
 def fit_noisy_or(texts: list[str], labels: np.ndarray, epochs: int = 30, l2: float = 2e-4, seed: int = 7) -> NoisyOr:
     """Fits weights by Adam on mini-batches of documents."""
-    bags = [[list({f for word in s[2] for f in features(word)}) for s in sentences(t)] for t in texts]
-    seen = Counter(w for bag in bags for w in {w for s in bag for w in s})
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update({f for s in sentences(text) for word in s[2] for f in features(word)})
     words = sorted(w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS] if c >= LEAST_DOCS)
     at = {w: i for i, w in enumerate(words)}
     if not len(labels) or not words:
         return NoisyOr({}, -30.0)
-    # flat arrays: words of sentences, sentences of documents
-    index = [[np.array([at[w] for w in s if w in at], dtype=np.int64) for s in bag] for bag in bags]
+    # for each document: its sentences' features end to end, and how many each sentence has
+    flats, sizes = [], []
+    for text in texts:
+        rows = [sorted({at[f] for word in s[2] for f in features(word) if f in at}) for s in sentences(text)]
+        flats.append(np.array([i for r in rows for i in r], dtype=np.int32))
+        sizes.append(np.array([len(r) for r in rows], dtype=np.int32))
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(words)), -6.0
     l2 = max(l2, 0.5 / len(labels))
     m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     side = np.where(labels > 0, 0.5 / rate, 0.5 / (1 - rate))
-    order = np.array([i for i, bag in enumerate(index) if bag])
+    order = np.flatnonzero([len(x) > 0 for x in sizes])
     for epoch in range(epochs):
         rng.shuffle(order)
         lr = 0.15 if epoch < epochs // 2 else 0.05 if epoch < epochs * 4 // 5 else 0.015
         for part in np.array_split(order, max(1, len(order) // 128)):
-            sents = [s for i in part for s in index[i]]
-            doc = np.repeat(np.arange(len(part)), [len(index[i]) for i in part])
-            flat = np.concatenate(sents)
-            of = np.repeat(np.arange(len(sents)), [len(s) for s in sents])
-            z = b + np.bincount(of, weights=w[flat], minlength=len(sents))
+            size = np.concatenate([sizes[i] for i in part])
+            doc = np.repeat(np.arange(len(part)), [len(sizes[i]) for i in part])
+            flat = np.concatenate([flats[i] for i in part])
+            of = np.repeat(np.arange(len(size)), size)
+            z = b + np.bincount(of, weights=w[flat], minlength=len(size))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             q = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(part))
             whole = -np.expm1(-q)
