@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,10 +23,28 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Encodings of words that a Python worker remembers, and their longest length.
-KEPT_WORDS, KEPT_LENGTH = 250_000, 64
+KEPT_WORDS, KEPT_LENGTH = 120_000, 64
+KEPT_PAIRS = 500_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class _Chunks(dict):
+    """Joined ids and decoded text of chunks; of two generations, the older goes when the younger is full."""
+
+    def __init__(self, compute: Callable[[str], tuple[str, str]]):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        got = self.older.get(chunk) or self.compute(chunk)
+        if len(chunk) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class PieceCodec:
     def __init__(self, model_path: str):
         import ahocorasick
@@ -36,7 +54,7 @@ class PieceCodec:
         self.end, self.unknown = sp.eos_id(), sp.unk_id()
         self.rank: dict[str, tuple[float, int]] = {}
         self.byte: dict[int, int] = {}
-        self.text: list[str | int | None] = []
+        self.text: list[str | int] = []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -51,14 +69,14 @@ class PieceCodec:
                 self.rank[piece] = (-sp.get_score(i), i)
         self.split = all(MARK not in p.lstrip(MARK) for p in self.rank)
         self.letters = {c for p in self.rank for c in p}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
+        #: Tokens by id, only those that their own text is encoded as; and which may follow which.
+        self.token = {i: p for p, (_, i) in self.rank.items() if self.merged(p) == [p]}
+        self.pairs: dict[int, bool] = {}
         self.machine = ahocorasick.Automaton()
-        for p in self.rank:
-            self.machine.add_word(p, p)
+        for i, p in self.token.items():
+            self.machine.add_word(p, (len(p), i))
         self.machine.make_automaton()
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.chunks = _Chunks(self._chunk)
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short text, best score first, the leftmost of equals; used to test pairs."""
@@ -73,94 +91,70 @@ class PieceCodec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, left: str, right: str) -> bool:
+    def _fits(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left`` in an encoding."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        a, b = self.token[left], self.token[right]
+        known = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return known
 
-    def _alone(self, token: str) -> bool:
-        known = self.own.get(token)
-        if known is None:
-            known = self.own[token] = self.merged(token) == [token]
-        return known
-
-    def pieces(self, text: str) -> list[str]:
-        """Tokens of a text whose characters are all in the vocabulary."""
-        if text in self.rank and self._alone(text):
-            return [text]
+    def ids_of(self, text: str) -> list[int]:
+        """Ids of a text whose characters are all in the vocabulary."""
         n = len(text)
-        last: list[str | None] = [None] * (n + 1)
-        pairs, fits = self.pairs, self.fits
+        last, pairs = [0] * (n + 1), self.pairs
+        sizes = [0] * (n + 1)
         done = 0
-        for at, token in self.machine.iter(text):  # the longest of those that end at a place comes first
-            if at + 1 == done:
+        for at, (size, token) in self.machine.iter(text):
+            if at < done:  # the last token of this prefix is known
                 continue
-            start = at + 1 - len(token)
-            if start == 0:
-                if not self._alone(token):
-                    continue
-            else:
+            start = at + 1 - size
+            if start:
                 before = last[start]
-                known = pairs.get((before, token))
-                if not (fits(before, token) if known is None else known) or not self._alone(token):
+                known = pairs.get(before << 32 | token)
+                if not (self._fits(before, token) if known is None else known):
                     continue
             done = at + 1
-            last[done] = token
+            last[done], sizes[done] = token, size
         out = []
         while n:
-            token = last[n]
-            out.append(token)
-            n -= len(token)
+            out.append(last[n])
+            n -= sizes[n]
         return out[::-1]
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk_ids(self, text: str) -> list[int]:
         """Ids of a chunk; characters outside the vocabulary part it and become bytes."""
-        rank = self.rank
         if self.letters.issuperset(text):
-            return [rank[p][1] for p in self.pieces(text)]
+            return self.ids_of(text)
         out: list[int] = []
         for part in re.split("(" + "|".join(map(re.escape, sorted(set(text) - self.letters))) + ")", text):
-            if part in self.letters or len(part) != 1:
-                out += [rank[p][1] for p in self.pieces(part)] if part else []
+            if self.letters.issuperset(part):
+                out += self.ids_of(part)
             elif self.byte:
                 out += [self.byte[b] for b in part.encode()]
             else:
                 out.append(self.unknown)
         return out
 
+    def _chunk(self, text: str) -> tuple[str, str]:
+        ids = self.chunk_ids(text)
+        return " ".join(map(str, ids)), self.decoded(ids)
+
     def decoded(self, ids: list[int]) -> str:
-        """Text of ids, with the mark in front of the first piece; broken bytes become U+FFFD each."""
-        raw = b"".join(bytes([t]) if isinstance(t := self.text[i], int) else t.encode() for i in ids)
-        try:
-            return raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="replace")
-
-    def known(self, chunk: str) -> tuple[str, int, str]:
-        got = self.words.get(chunk)
-        if got is None:
-            got = self.older.get(chunk)
-            if got is None:
-                ids = self.chunk(chunk)
-                got = (" ".join(map(str, ids)), len(ids), self.decoded(ids))
-            if len(chunk) <= KEPT_LENGTH:
-                if len(self.words) >= KEPT_WORDS:
-                    self.older, self.words = self.words, {}
-                self.words[chunk] = got
-        return got
+        """Text of ids, with the mark in front of the first piece; bytes that are no UTF-8 become U+FFFD."""
+        parts = [self.text[i] for i in ids]
+        if str in set(map(type, parts)) and int not in set(map(type, parts)):
+            return "".join(parts)
+        return b"".join(bytes([t]) if isinstance(t, int) else t.encode() for t in parts).decode(errors="replace")
 
     def whole(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by spaces (with the end id), their number, and the decoded text."""
         if not text:
             return str(self.end), 1, ""
         marked = MARK + text.replace(" ", MARK)
-        got = list(map(self.known, _CHUNK.findall(marked) if self.split else [marked]))
-        ids, counts, back = zip(*got, strict=True)
-        return " ".join((*ids, str(self.end))), sum(counts) + 1, "".join(back)[1:]
+        got = list(map(self.chunks.__getitem__, _CHUNK.findall(marked) if self.split else [marked]))
+        joined = " ".join([ids for ids, _ in got])
+        return f"{joined} {self.end}", joined.count(" ") + 2, "".join([back for _, back in got])[1:]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.whole(text)[0].split()]
