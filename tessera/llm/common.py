@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker gets at once: documents are long, and a batch is held several times over.
+BATCH_ROWS = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of this session, unless its user has set another size than Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -48,13 +60,14 @@ FILE_ROWS = 500_000
 def written(df: DataFrame, name: str, rows: int | None = None, shuffled: bool = True) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors.
 
-    Where about so many ``rows`` come, it takes as many files as they need, eight at least: merged
+    Where about so many ``rows`` come, it takes as many files as they need, three at least: merged
     from the partitions of a light last stage (``shuffled``), else by a shuffle behind a heavy one.
     """
     spark = df.sparkSession
+    _small_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        files = max(8, -(-rows // FILE_ROWS))
+        files = max(3, -(-rows // FILE_ROWS))
         df = df.coalesce(files) if shuffled else df.repartition(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

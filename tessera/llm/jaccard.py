@@ -44,7 +44,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered for a while."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got

@@ -44,7 +44,7 @@ class _Words(dict):
         self.weights = weights
 
     def __missing__(self, raw: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         word = raw.strip(_TRIM)
         got = self[raw] = sum(self.weights.get(f, 0.0) for f in features(word)) if word else 0.0
