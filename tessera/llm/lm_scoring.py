@@ -206,6 +206,19 @@ class Lattice:
         return counts, byte, float(total)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined to larger ones, so that the lattice works on many words at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _runs(values: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     cuts = np.flatnonzero(np.diff(values)) + 1
     groups = np.split(order, cuts) if len(order) else []
@@ -254,7 +267,7 @@ def fit(words: DataFrame, vocab: list[tuple[str, float]], rounds: int = 3) -> La
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*sent.value)
             total = np.zeros(len(lattice.pieces) + 2)
-            for batch in batches:
+            for batch in _gathered(batches):
                 texts = [w.decode() for w in batch["word"].to_pylist()]
                 counts, byte, n = lattice.expected(texts)
                 total += np.concatenate([counts, [byte, n]])
@@ -296,7 +309,7 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFr
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             sub = lattice.score([w.decode() for w in batch["word"].to_pylist()]) + free
             c = batch["c"].to_numpy()
             with np.errstate(divide="ignore"):
