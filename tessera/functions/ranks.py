@@ -1,7 +1,8 @@
 """Global ranks without a single-task window.
 
-A value's rank is the number of rows in lower buckets plus its rank within its own bucket. Buckets are
-cut at approximate quantiles, so they are even, and equal values share one; ranks are exact.
+Ranks belong to distinct values, so equal values, however many, are one counted row. A value's rank is the
+number of rows in lower buckets plus the rows below it in its own bucket. Buckets are cut at approximate
+quantiles of the distinct values, so they are even; ranks are exact.
 """
 
 from __future__ import annotations
@@ -10,45 +11,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets over all rows of a table.
+#: Buckets over all distinct values of a table.
 BUCKETS = 64
 
 
 def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    """Adds ``_b``, a bucket number that rises with ``value``; nulls get none."""
+    """Adds ``_b``, a bucket number that rises with ``value``."""
     # the cut points are one row: a broadcast of a fixed size
     cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
     return df.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
-def add_ranks(df: DataFrame, value: str, by: list[str] | None = None, prefix: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``{prefix}_min`` (1 + rows below), ``{prefix}_avg`` (ties share their mean rank) and ``{prefix}_n`` (rows of the group).
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, prefix: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+    """``*by, value, {prefix}_min, {prefix}_avg, {prefix}_n``: one row a distinct value that is not null.
 
-    Rows with a null value are dropped. ``by`` ranks within groups.
+    ``_min`` is 1 + the rows below, ``_avg`` the mean rank of the tied rows, ``_n`` the rows of the group.
     """
     by = by or []
-    df = _bucketed(df.where(F.col(value).isNotNull()), value, buckets)
-    counts = df.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*(by or [F.lit(0)]))
-    counts = counts.withColumns({"_below": F.coalesce(F.sum("_c").over(below), F.lit(0)), "_n": F.sum("_c").over(every)}).drop("_c")
-    df = df.withColumn("_b", F.col("_b")).join(counts, [*by, "_b"])
-    inside = Window.partitionBy(*by, "_b").orderBy(value)
-    same = Window.partitionBy(*by, "_b", value)
-    low = F.rank().over(inside) + F.col("_below")
-    return df.withColumns(
-        {f"{prefix}_min": low.cast("long"), f"{prefix}_avg": low + (F.count("*").over(same) - 1) / 2.0, f"{prefix}_n": F.col("_n").cast("long")}
-    ).drop("_b", "_below", "_n")
-
-
-def shuffled_number(df: DataFrame, digest: Column, *key: str) -> DataFrame:
+    group = by or [F.lit(0)]
+    values = _bucketed(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")), value, buckets)
+    lower = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = values.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+    counts = counts.withColumns({"_below": F.coalesce(F.sum("_s").over(lower), F.lit(0)), "_n": F.sum("_s").over(Window.partitionBy(*group))}).drop("_s")
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_below") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    ranks = values.join(counts, [*by, "_b"]).withColumn("_below", below)
+    return ranks.select(*by, value, (F.col("_below") + 1).alias(f"{prefix}_min"), (F.col("_below") + (F.col("_c") + 1) / 2.0).alias(f"{prefix}_avg"), F.col("_n").alias(f"{prefix}_n"))
+
+
+def add_ranks(df: DataFrame, value: str, by: list[str] | None = None, prefix: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with its ``value_ranks``; rows with a null value are dropped. ``by`` ranks within groups."""
+    return df.join(value_ranks(df, value, by, prefix, buckets), [*(by or []), value])
+
+
+def shuffled_number(df: DataFrame, digest: Column, *key: str, base: DataFrame | None = None) -> DataFrame:
     """Adds ``number``: each row's place, from 0, in the order of a hex digest (ties by ``key``).
 
-    Buckets are the digest's first two digits.
+    Buckets are the digest's first four digits. They are counted on ``base``, if given: the same rows
+    with fewer steps behind them.
     """
-    df = df.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 2))
+    bucket = F.substring(digest, 1, 4)
     below = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0))).drop("_c")
+    counts = (df if base is None else base).groupBy(bucket.alias("_b")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0))).drop("_c")
     inside = F.row_number().over(Window.partitionBy("_b").orderBy("_d", *key))
-    # at most 256 buckets
-    return df.join(F.broadcast(counts), "_b").withColumn("number", (inside + F.col("_below") - 1).cast("long")).drop("_d", "_b", "_below")
+    # at most 65,536 buckets
+    return df.withColumns({"_d": digest, "_b": bucket}).join(F.broadcast(counts), "_b").withColumn("number", (inside + F.col("_below") - 1).cast("long")).drop("_d", "_b", "_below")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import add_ranks
+from .ranks import value_ranks
 
 
 def _col(c: str | Column) -> Column:
@@ -45,8 +45,9 @@ def spearman_brown(r: Column, k: int | Column = 2) -> Column:
 def paired_ranks(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """``df`` with average ranks ``ry`` and ``rp`` of two columns (rows without either are dropped)."""
     df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    df = add_ranks(df, y, by, "ry").drop("ry_min", "ry_n").withColumnRenamed("ry_avg", "ry")
-    return add_ranks(df, p, by, "rp").drop("rp_min").withColumnsRenamed({"rp_avg": "rp", "rp_n": "n_ranked"})
+    ry = value_ranks(df, y, by, "ry").drop("ry_min", "ry_n").withColumnRenamed("ry_avg", "ry")
+    rp = value_ranks(df, p, by, "rp").drop("rp_min").withColumnsRenamed({"rp_avg": "rp", "rp_n": "n_ranked"})
+    return df.join(ry, [*(by or []), y]).join(rp, [*(by or []), p])
 
 
 def auroc(rank: str = "rp", label: str = "bin") -> Column:

@@ -14,16 +14,20 @@ SCHEMES = ("random", "position", "region", "domain")
 BOOTSTRAP_UNIT = {"random": "pos", "position": "pos", "region": "fold_region", "domain": "fold_domain"}
 
 
-def assign(df: DataFrame, scheme: str, k: int = FOLDS) -> DataFrame:
-    """Adds ``fold_{scheme}``: balanced over rows, balanced over positions, equal-width regions, or intervals."""
+def assign(df: DataFrame, scheme: str, k: int = FOLDS, base: DataFrame | None = None) -> DataFrame:
+    """Adds ``fold_{scheme}``: balanced over rows, balanced over positions, equal-width regions, or intervals.
+
+    Counts and ranges are taken from ``base``, if given: the same rows with fewer steps behind them.
+    """
+    base = df if base is None else base
     name = f"fold_{scheme}"
     if scheme == "random":
-        return shuffled_number(df, F.md5(F.concat(F.lit("r:"), F.col("row_id").cast("string"))), "row_id").withColumn(name, (F.col("number") % k).cast("int")).drop("number")
+        return shuffled_number(df, F.md5(F.concat(F.lit("r:"), F.col("row_id").cast("string"))), "row_id", base=base).withColumn(name, (F.col("number") % k).cast("int")).drop("number")
     if scheme == "position":
-        keys = shuffled_number(df.select("pos").distinct(), F.md5(F.concat(F.lit("p:"), F.col("pos").cast("string"))), "pos")
+        keys = shuffled_number(base.select("pos").distinct(), F.md5(F.concat(F.lit("p:"), F.col("pos").cast("string"))), "pos")
         return df.join(keys.select("pos", (F.col("number") % k).cast("int").alias(name)), "pos")
     if scheme == "region":
-        ends = df.agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+        ends = base.agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
         bucket = F.floor((F.col("pos") - F.col("_lo") + 0.5) * k / (F.col("_hi") - F.col("_lo") + 1))
         return df.join(F.broadcast(ends)).withColumn(name, F.least(bucket, F.lit(k - 1)).cast("int")).drop("_lo", "_hi")
     if scheme == "domain":

@@ -12,14 +12,14 @@ from ..sources.assay import DOMAINS, assay, domains
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assay with ``domain``, ``fold_domain`` and ``bin`` (score above the median)."""
-    df = assay(spark, sf_dir)
-    df = annotate_interval(df, domains(spark, sf_dir)).withColumn("fold_domain", F.coalesce("ordinal", F.lit(DOMAINS)).cast("int"))
+    base = assay(spark, sf_dir)
+    df = annotate_interval(base, domains(spark, sf_dir)).withColumn("fold_domain", F.coalesce("ordinal", F.lit(DOMAINS)).cast("int"))
     # one row: the exact median
-    return df.join(F.broadcast(df.agg(F.median("score").alias("_m")))).withColumn("bin", (F.col("score") > F.col("_m")).cast("int")).drop("_m", "ordinal")
+    return df.join(F.broadcast(base.agg(F.median("score").alias("_m")))).withColumn("bin", (F.col("score") > F.col("_m")).cast("int")).drop("_m", "ordinal")
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = annotated(spark, sf_dir)
+    df, base = annotated(spark, sf_dir), assay(spark, sf_dir)
     for scheme in ("random", "position", "region"):
-        df = folds.assign(df, scheme)
+        df = folds.assign(df, scheme, base=base)
     return df

@@ -11,6 +11,7 @@ from ..functions.stats import auroc, paired_ranks, pearson, pearson_sql
 from ..operators.relational import out_of_fold
 from ..operators.reliability import icc, split_half
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
+from ..sources.shared import stored
 from .base import annotated, folded
 from .registry import query
 
@@ -18,8 +19,9 @@ PREDS = ("pred_a", "pred_b", "pred_c")
 
 
 def long_predictions(df: DataFrame, *keep: str) -> DataFrame:
-    """``row_id, score, bin, model, pred``: one row a prediction."""
-    return df.select("row_id", "score", "bin", *keep, *PREDS).unpivot(["row_id", "score", "bin", *keep], list(PREDS), "model", "pred")
+    """``row_id, score, bin, model, pred``: one row a prediction; ``df`` is stored, as metrics read it several times."""
+    wide = stored(df.select("row_id", "score", "bin", *keep, *PREDS), "predictions")
+    return wide.unpivot(["row_id", "score", "bin", *keep], list(PREDS), "model", "pred")
 
 
 def metric_bundle(long: DataFrame, by: list[str]) -> DataFrame:
@@ -97,7 +99,8 @@ def stat_feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, lg AS (SELECT row_id, score, bin, 'train_mean' AS model, fold_region AS fold, ((SELECT sum(score) FROM folds) - sum(score) OVER (PARTITION BY fold_region)) / ((SELECT count(*) FROM folds) - count(*) OVER (PARTITION BY fold_region)) AS pred FROM folds), {_metrics_sql('model')} SELECT model, spearman AS pooled_spearman, 0.0::DOUBLE AS per_fold_spearman FROM mb")
 def stat_constant_artefact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = out_of_fold(folded(spark, sf_dir), None, "score", "fold_region", "pred").withColumn("model", F.lit("train_mean"))
+    df = stored(folded(spark, sf_dir).select("row_id", "score", "bin", "fold_region"), "folds")
+    df = out_of_fold(df, None, "score", "fold_region", "pred").withColumn("model", F.lit("train_mean"))
     pooled = metric_bundle(df, ["model"]).select("model", F.col("spearman").alias("pooled_spearman"))
     folds_ = metric_bundle(df, ["model", "fold_region"]).groupBy("model").agg(F.avg("spearman").alias("per_fold_spearman"))
     return pooled.join(folds_, "model")
