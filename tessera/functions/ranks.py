@@ -22,14 +22,15 @@ def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return df.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
-def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, prefix: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, prefix: str = "rank", buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """``*by, value, {prefix}_min, {prefix}_avg, {prefix}_n``: one row a distinct value that is not null.
 
     ``_min`` is 1 + the rows below, ``_avg`` the mean rank of the tied rows, ``_n`` the rows of the group.
+    A row counts ``weight`` times, if given.
     """
     by = by or []
     group = by or [F.lit(0)]
-    values = _bucketed(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")), value, buckets)
+    values = _bucketed(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c")), value, buckets)
     lower = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = values.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
     counts = counts.withColumns({"_below": F.coalesce(F.sum("_s").over(lower), F.lit(0)), "_n": F.sum("_s").over(Window.partitionBy(*group))}).drop("_s")
@@ -44,16 +45,17 @@ def add_ranks(df: DataFrame, value: str, by: list[str] | None = None, prefix: st
     return df.join(value_ranks(df, value, by, prefix, buckets), [*(by or []), value])
 
 
-def shuffled_number(df: DataFrame, digest: Column, *key: str, base: DataFrame | None = None) -> DataFrame:
-    """Adds ``number``: each row's place, from 0, in the order of a hex digest (ties by ``key``).
+def shuffled_number(df: DataFrame, digest: Column, *key: str, base: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Adds ``number``: each row's place, from 0, in the order of a hex digest (ties by ``key``), within each ``by``.
 
     Buckets are the digest's first four digits. They are counted on ``base``, if given: the same rows
     with fewer steps behind them.
     """
+    by = by or []
     bucket = F.substring(digest, 1, 4)
-    below = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (df if base is None else base).groupBy(bucket.alias("_b")).agg(F.count("*").alias("_c"))
+    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (df if base is None else base).groupBy(*by, bucket.alias("_b")).agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_d", *key))
-    # at most 65,536 buckets
-    return df.withColumns({"_d": digest, "_b": bucket}).join(F.broadcast(counts), "_b").withColumn("number", (inside + F.col("_below") - 1).cast("long")).drop("_d", "_b", "_below")
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", *key))
+    # at most 65,536 buckets over all rows: a broadcast of a fixed size
+    return df.withColumns({"_d": digest, "_b": bucket}).join(counts if by else F.broadcast(counts), [*by, "_b"]).withColumn("number", (inside + F.col("_below") - 1).cast("long")).drop("_d", "_b", "_below")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import value_ranks
 from ..functions.stats import pearson, spearman_brown
 from ..sources.assay import draw
 
@@ -46,24 +47,22 @@ def split_half(df: DataFrame, group: list[str], value: str, key: str, reps: int,
 def cluster_weights(df: DataFrame, cluster: str, reps: int, seed: str = "b") -> DataFrame:
     """``(rep, cluster, w)``: how often each cluster is drawn in each of ``reps`` draws with replacement.
 
-    Clusters are numbered by their order; draw ``i`` of a repeat takes number md5(seed:rep:i) modulo their count.
+    Clusters that are not null are numbered by their order; draw ``i`` of a repeat takes number md5(seed:rep:i) modulo their count.
     """
-    ids = df.select(cluster).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1)
+    ids = value_ranks(df.select(cluster).distinct(), cluster, prefix="i").select(cluster, (F.col("i_min") - 1).alias("_i"))
     n = F.broadcast(ids.agg(F.count("*").alias("_c")))
     picks = ids.join(n).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    picks = picks.select("rep", (draw(seed, F.col("rep"), F.col("_i")) % F.col("_c")).cast("int").alias("_i"))
+    picks = picks.select("rep", (draw(seed, F.col("rep"), F.col("_i")) % F.col("_c")).alias("_i"))
     return picks.groupBy("rep", "_i").agg(F.count("*").alias("w")).join(ids, "_i").select("rep", cluster, "w")
 
 
 def weighted_spearman(df: DataFrame, y: str, preds: list[str], by: list[str], w: str = "w") -> DataFrame:
-    """Spearman of ``y`` with each prediction for each ``by``, each row counted ``w`` times."""
-
-    def rank(c: str) -> Column:
-        upto = F.sum(w).over(Window.partitionBy(*by).orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
-        return upto - (F.sum(w).over(Window.partitionBy(*by, c)) - 1) / 2.0
-
-    df = df.withColumns({f"_r_{c}": rank(c) for c in [y, *preds]})
-    return df.groupBy(*by).agg(*[pearson(f"_r_{y}", f"_r_{p}", w).alias(p) for p in preds])
+    """Spearman of ``y`` with each prediction for each ``by``, each row counted ``w`` times; rows without one of them are left out."""
+    df = df.dropna(subset=[y, *preds])
+    ranked = df
+    for c in [y, *preds]:
+        ranked = ranked.join(value_ranks(df, c, by, f"_r_{c}", weight=w).select(*by, c, f"_r_{c}_avg"), [*by, c])
+    return ranked.groupBy(*by).agg(*[pearson(f"_r_{y}_avg", f"_r_{p}_avg", w).alias(p) for p in preds])
 
 
 def percentile_interval(draws: DataFrame, column: str, by: list[str], alpha: float = 0.05) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import folds
 from ..operators.relational import annotate_interval
 from ..sources.assay import DOMAINS, assay, domains
+from ..sources.shared import stored
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,3 +24,8 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     for scheme in ("random", "position", "region"):
         df = folds.assign(df, scheme, base=base)
     return df
+
+
+def folded_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the folded assay (all, if none are named), stored: for queries that read it several times."""
+    return stored(folded(spark, sf_dir).select(*(columns or ["*"])), "folds")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.geometry import contact_counts
 from ..operators.relational import difference_status, mutate, neighbour_in_other_fold, out_of_fold, spine
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
-from .base import annotated, folded
+from .base import annotated, folded_table
 from .registry import query
 
 #: A small symbol scale and a pair score by rule: the test tables have no amino acids.
@@ -44,7 +44,7 @@ def _oof_sql(keys: list[str], fold: str) -> str:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id, {_oof_sql(['pos', 'domain', ''], 'fold_random')} AS pred FROM folds")
 def join_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = folded(spark, sf_dir)
+    df = folded_table(spark, sf_dir, "row_id", "pos", "domain", "score", "fold_random")
     for key, name in (("pos", "p1"), ("domain", "p2"), (None, "p3")):
         df = out_of_fold(df, key, "score", "fold_random", name)
     return df.select("row_id", F.coalesce("p1", "p2", "p3").alias("pred"))
@@ -66,19 +66,19 @@ def join_densify_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id FROM folds a WHERE fold_random = 0 AND EXISTS (SELECT 1 FROM folds b WHERE b.fold_random <> 0 AND b.pos = a.pos)")
 def join_semi_shared_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = folded(spark, sf_dir)
+    df = folded_table(spark, sf_dir, "row_id", "pos", "fold_random")
     return df.where("fold_random = 0").join(df.where("fold_random <> 0").select("pos").distinct(), "pos", "left_semi").select("row_id")
 
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id FROM folds a WHERE fold_region = 3 AND EXISTS (SELECT 1 FROM folds b WHERE b.fold_region <> 3 AND b.domain = a.domain)")
 def join_semi_shared_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = folded(spark, sf_dir)
+    df = folded_table(spark, sf_dir, "row_id", "domain", "fold_region")
     return df.where("fold_region = 3").join(df.where("fold_region <> 3").select("domain").distinct(), "domain", "left_semi").select("row_id")
 
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, k AS (SELECT DISTINCT pos, fold_region AS fold FROM folds) SELECT pos, fold, EXISTS (SELECT 1 FROM k b WHERE b.pos BETWEEN k.pos - 5 AND k.pos + 5 AND b.fold <> k.fold) AS near FROM k")
 def join_band_other_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_in_other_fold(folded(spark, sf_dir), "pos", "fold_region", 5)
+    return neighbour_in_other_fold(folded_table(spark, sf_dir, "pos", "fold_region"), "pos", "fold_region", 5)
 
 
 @query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_orderstatus = 'P') USING (c_custkey)")

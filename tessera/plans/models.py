@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranks import add_ranks
+from ..functions.ranks import add_ranks, shuffled_number
 from ..functions.stats import pearson
 from ..operators.models import boosted_out_of_fold, principal_components, ridge_out_of_fold
 from ..operators.relational import densify, out_of_fold, rolling_mean
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
-from .base import folded
+from .base import folded, folded_table
 from .joins import SCALE_SQL, _scale
 from .registry import query
 from .scores import metric_bundle
@@ -32,7 +32,7 @@ def columns_excluding(groups: dict[str, list[str]], drop: list[str]) -> list[str
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded assay with symbol, position and signal features."""
-    df = folded(spark, sf_dir)
+    df = folded_table(spark, sf_dir)
     sc = F.broadcast(_scale(spark))
     df = df.join(sc.select(F.col("sym").alias("wt_sym"), F.col("hyd").alias("hyd_wt")), "wt_sym", "left").join(sc.select(F.col("sym").alias("mt_sym"), F.col("hyd").alias("hyd_mt")), "mt_sym", "left")
     dense = densify(df.groupBy("pos").agg(F.avg("pred_b").alias("m")))
@@ -54,7 +54,7 @@ def model_global_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id, coalesce((sum(score) OVER (PARTITION BY domain) - sum(score) OVER (PARTITION BY domain, fold_region)) / nullif(count(*) OVER (PARTITION BY domain) - count(*) OVER (PARTITION BY domain, fold_region), 0), (sum(score) OVER () - sum(score) OVER (PARTITION BY fold_region)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold_region))) AS pred FROM folds")
 def model_domain_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = out_of_fold(out_of_fold(folded(spark, sf_dir), "domain", "score", "fold_region", "p1"), None, "score", "fold_region", "p2")
+    df = out_of_fold(out_of_fold(folded_table(spark, sf_dir, "row_id", "domain", "score", "fold_region"), "domain", "score", "fold_region", "p1"), None, "score", "fold_region", "p2")
     return df.select("row_id", F.coalesce("p1", "p2").alias("pred"))
 
 
@@ -66,7 +66,7 @@ def model_column_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, tr AS (SELECT k.f, row_id, score FROM folds, (VALUES (0), (1), (2)) k(f) WHERE fold_position <> k.f), q AS (SELECT f, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM tr GROUP BY f) SELECT CAST(f AS INTEGER) AS fold, row_id, (rank() OVER (PARTITION BY f ORDER BY score) + (count(*) OVER (PARTITION BY f, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY f) AS rank_target, least(greatest(score, lo), hi) AS winsorised FROM tr JOIN q USING (f)")
 def model_target_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets as each of three training sets sees them: ranks over n, and clipped at its 1st and 99th percentiles."""
-    tr = folded(spark, sf_dir).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("fold_position <> fold").select("fold", "row_id", "score")
+    tr = folded_table(spark, sf_dir, "row_id", "score", "fold_position").withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("fold_position <> fold").select("fold", "row_id", "score")
     q = tr.groupBy("fold").agg(F.percentile("score", 0.01).alias("lo"), F.percentile("score", 0.99).alias("hi"))
     r = add_ranks(tr, "score", ["fold"], "s").join(F.broadcast(q), "fold")
     return r.select("fold", "row_id", (F.col("s_avg") / F.col("s_n")).alias("rank_target"), F.least(F.greatest("score", "lo"), F.col("hi")).alias("winsorised"))
@@ -75,10 +75,11 @@ def model_target_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, tr AS (SELECT f, row_id, domain, score FROM folds, range(0, 10) k(f) WHERE fold_position <> f), a AS (SELECT f, domain, row_number() OVER (PARTITION BY f ORDER BY row_id) AS i FROM tr), b AS (SELECT f, score, row_number() OVER (PARTITION BY f ORDER BY md5('y:' || f || ':' || row_id), row_id) AS i FROM tr), g AS (SELECT f, domain, avg(score) AS m FROM a JOIN b USING (f, i) GROUP BY ALL) SELECT row_id, m AS pred FROM folds JOIN g ON g.f = fold_position AND g.domain = folds.domain")
 def model_y_randomised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain means of training labels that were shuffled within each fold's training set."""
-    df = folded(spark, sf_dir)
+    df = folded_table(spark, sf_dir, "row_id", "domain", "score", "fold_position")
     tr = df.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(9)))).where("fold_position <> f").select("f", "row_id", "domain", "score")
-    a = tr.select("f", "domain", F.row_number().over(Window.partitionBy("f").orderBy("row_id")).alias("i"))
-    b = tr.select("f", "score", F.row_number().over(Window.partitionBy("f").orderBy(F.md5(F.concat_ws(":", F.lit("y"), "f", "row_id")), "row_id")).alias("i"))
+    # both orders are numbered in buckets: a fold's training set is most of the table
+    a = add_ranks(tr, "row_id", ["f"], "i").select("f", "domain", (F.col("i_min") - 1).alias("i"))
+    b = shuffled_number(tr, F.md5(F.concat_ws(":", F.lit("y"), "f", "row_id")), "row_id", by=["f"]).select("f", "score", F.col("number").alias("i"))
     g = a.join(b, ["f", "i"]).groupBy("f", "domain").agg(F.avg("score").alias("pred"))
     return df.join(F.broadcast(g), (F.col("f") == F.col("fold_position")) & (df["domain"] == g["domain"])).select("row_id", "pred")
 

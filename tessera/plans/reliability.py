@@ -13,7 +13,7 @@ from ..operators import folds
 from ..operators.relational import densify
 from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half, weighted_spearman
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay
-from .base import annotated, folded
+from .base import annotated, folded_table
 from .registry import query
 
 REPS = 8
@@ -87,7 +87,7 @@ z_{fold} AS (SELECT {fold} AS f, count(*) AS n,
     + " UNION ALL ".join(f"SELECT '{s}' AS scheme, count(*) AS n_folds, min(n) AS n_test_min, max(n) AS n_test_max, avg(shared) AS shared_position_rate, avg(near) AS neighbour_within_5_rate, avg(dom) AS same_domain_rate FROM z_fold_{s}" for s in folds.SCHEMES)
 )
 def stat_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, out = folded(spark, sf_dir), None
+    df, out = folded_table(spark, sf_dir, "pos", "domain", *[f"fold_{s}" for s in folds.SCHEMES]), None
     for s in folds.SCHEMES:
         row = folds.leakage(df, f"fold_{s}").withColumn("scheme", F.lit(s))
         out = row if out is None else out.unionByName(row)
@@ -161,8 +161,9 @@ _RANKED = "rk AS (SELECT domain, rank() OVER (ORDER BY score) + (count(*) OVER (
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the mean of t tied ranks lies (t - 1) / 2 above the lowest
     df = add_ranks(annotated(spark, sf_dir), "score", prefix="r").withColumnRenamed("r_avg", "r")
-    return df.withColumn("t", F.count("*").over(Window.partitionBy("score")).cast("double"))
+    return df.withColumn("t", 2 * (F.col("r") - F.col("r_min")) + 1)
 
 
 @query(f"WITH {ANNOTATED_SQL}, {_RANKED}, g AS (SELECT domain, count(*)::DOUBLE AS k, sum(r) AS s FROM rk GROUP BY domain) SELECT (12 / (n * (n + 1)) * (SELECT sum(s * s / k) FROM g) - 3 * (n + 1)) / tie AS h, (SELECT count(*) FROM g) - 1 AS df FROM n")
