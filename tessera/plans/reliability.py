@@ -13,6 +13,7 @@ from ..operators import folds
 from ..operators.relational import densify
 from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half, weighted_spearman
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay
+from ..sources.shared import stored
 from .base import annotated, folded_table
 from .registry import query
 
@@ -107,7 +108,8 @@ _CI = "count(*) AS n_draws, avg({x}) AS mean, quantile_cont({x}, 0.025) AS lo, q
 
 def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = assay(spark, sf_dir)
-    rows = df.join(cluster_weights(df, "pos", REPS), "pos")
+    # ranks read the drawn rows several times; the weights are small and stored once
+    rows = df.join(stored(cluster_weights(df, "pos", REPS), "weights"), "pos")
     return weighted_spearman(rows, "score", ["pred_a", "pred_b"], ["rep"])
 
 
