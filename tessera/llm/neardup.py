@@ -2,9 +2,11 @@
 
 Unit vectors are split in halves; a codebook for each half, learned on a bounded sample, forms a product
 grid of cells. Multi-sequence traversal lists cells in the order of their distance from a vector; how
-many are visited is set by the recall that sampled vectors reach against brute force. Every vector lies
-in its own cell and probes its nearest cells; both meet in blocks of bounded size, and each pair is
-verified in double precision and counted in one block. Blocks give link counts and a spanning forest.
+many are visited is set by the recall that sampled distinct vectors reach against brute force, as an
+average over vectors and over groups. Where the target is out of reach or can't be measured, one cell
+holds all vectors, and all pairs are compared. Every vector lies in its own cell and probes its nearest
+cells; both meet in blocks of bounded size, and each pair is verified in double precision and counted in
+one block. Blocks give link counts and a spanning forest.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
 as do vectors of another length than most; a null id gets its row without links and a null component;
@@ -19,16 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
 
 THRESHOLD = 0.9
-#: Vectors from which the codebooks are learned, and those whose partners set the number of probes.
+#: Vectors from which the codebooks are learned, and groups with partners that set the number of probes.
 SAMPLE, QUERIES = 20_000, 400
+#: Vectors that are asked for their partners: at first, and at most (where a table has more).
+ASKED, MOST_ASKED = 1_600, 25_600
 RECALL = 0.999
-BLOCK = 512
+#: Probes at most where all pairs are not cheaper.
+DEEP = 256
+#: Rows that meet at once: in the grid, and where all vectors lie in one cell.
+BLOCK, WHOLE_BLOCK = 512, 2_048
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,40 +99,79 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
-def build(units: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[MultiIndex, int]:
-    """The index and the number of cells to visit for the target recall, measured on sampled vectors against all rows."""
-    spark, n = units.sparkSession, units.count()
-    draw = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = _matrix(units.where(draw < SAMPLE / max(n, 1)).orderBy("vec_id").toPandas()["x"])
-    k = int(np.clip(round((n / 32) ** 0.5), 4, 256))
-    index = MultiIndex(*(codebook(h.copy(), k) for h in _halves(sample)))
-    asked = units.where(F.pmod(F.xxhash64(F.lit(12), "vec_id"), F.lit(1 << 30)) / float(1 << 30) < QUERIES / max(n, 1)).orderBy("vec_id").toPandas()
-    if not len(asked):
-        return index, 4
-    sent = spark.sparkContext.broadcast((index.first, index.second, asked["vec_id"].to_numpy(), _matrix(asked["x"])))
+def _share(seed: int, rows: float, n: int) -> Column:
+    """Whether a row is among about ``rows`` of ``n``, by a seeded hash of its id."""
+    return F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) / float(1 << 30) < rows / max(n, 1)
+
+
+def whole(units: DataFrame) -> tuple[MultiIndex, int]:
+    """An index of one cell: all pairs are compared."""
+    wide = units.select(F.size("x").alias("n")).first()["n"]
+    return MultiIndex(*_halves(np.zeros((1, wide)))), 1
+
+
+def _places(ones: DataFrame, index: MultiIndex, asked: pd.DataFrame, threshold: float, deep: int) -> pd.DataFrame:
+    """Of the asked vectors' partners, how many lie in the k-th visited cell (``deep``: in none): sums of ``n / t ** e``
+    for e = 1, 2, 3, with ``t`` partners of a vector, ``n`` of them in that cell. Identical vectors are no partners."""
+    q = _matrix(asked["x"])
+    order = np.concatenate([index.nearest(q[lo : lo + 256], deep) for lo in range(0, len(q), 256)]).astype(np.int32)
+    sent = ones.sparkSession.sparkContext.broadcast((index.first, index.second, q, order))
     cells = len(index.first) * len(index.second)
-    deep = min(cells, 256)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, ids, q = sent.value
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second, q, order = sent.value
         index = MultiIndex(first, second)
-        order = index.nearest(q, deep)
-        total = np.zeros(deep + 1, np.int64)
         for batch in batches:
-            x = _matrix(batch["x"].to_pandas())
-            own, mine = index.cells(x), batch["vec_id"].to_numpy()
-            i, j = np.nonzero((x @ q.T >= threshold) & (mine[:, None] != ids))
-            hit = order[j] == own[i][:, None]
-            total += np.bincount(np.where(hit.any(1), hit.argmax(1), deep), minlength=deep + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(deep + 1)), pa.array(total)], ["place", "n"])
-
-    rows = units.mapInArrow(places, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").toPandas()
-    reached = rows["n"].cumsum().to_numpy()
-    if not reached[-1]:
-        return index, min(8, cells)
+            x = _matrix(batch["x"].to_pandas()) if batch.num_rows else np.zeros((0, q.shape[1]))
+            own = index.cells(x)
+            for lo in range(0, len(q), 2048):
+                cos = x @ q[lo : lo + 2048].T
+                i, j = np.nonzero((cos >= threshold) & (cos < 1 - 1e-12))
+                pairs, n = np.unique((j + lo) * cells + own[i], return_counts=True)
+                j, cell = np.divmod(pairs, cells)
+                hit = order[j] == cell[:, None]
+                place = np.where(hit.any(1), hit.argmax(1), deep)
+                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64())], ["q", "place", "n"])
+
+    each = ones.select("x").mapInArrow(met, "q long, place long, n long").groupBy("q", "place").agg(F.sum("n").alias("n"))
+    each = each.groupBy("q").agg(F.sum("n").alias("t"), F.collect_list(F.struct("place", "n")).alias("p"))
+    each = each.select("t", F.inline("p")).groupBy("place").agg(*[F.sum(F.col("n") / F.col("t") ** e).alias(f"e{e}") for e in (1, 2, 3)])
+    return each.orderBy("place").toPandas()
+
+
+def build(units: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[MultiIndex, int]:
+    """The index and the number of cells to visit for the target recall, measured on sampled vectors against all others.
+
+    Recall is an average over distinct vectors, and over groups (a vector weighs as one by its number of
+    partners), the lower of both; so neither copies nor a dense group speak for the rest. More vectors are asked
+    until enough groups have answered. If too few do, or the target needs too many cells, all pairs are compared.
+    """
+    ones = written(units.groupBy("x").agg(F.min("vec_id").alias("vec_id")), "ones")
+    n = ones.count()
+    sample = _matrix(ones.where(_share(11, SAMPLE, n)).orderBy("vec_id").toPandas()["x"])
+    k = int(np.clip(round((n / 32) ** 0.5), 4, 256))
+    index = MultiIndex(*(codebook(h.copy(), k) for h in _halves(sample)))
+    cells = len(index.first) * len(index.second)
+    # beyond so many probes, all pairs take fewer copies of a row
+    deep = min(cells, max(DEEP, min(n // WHOLE_BLOCK, 4 * DEEP)))
+    asks = ASKED
+    while True:
+        asked = ones.where(_share(12, asks, n)).orderBy("vec_id").toPandas()
+        got = _places(ones, index, asked, threshold, deep) if len(asked) else pd.DataFrame(columns=["place", "e1", "e2", "e3"])
+        answers = got["e2"].sum() ** 2 / got["e3"].sum() if len(got) else 0.0
+        if answers >= QUERIES or asks >= n:
+            break
+        if asks >= MOST_ASKED:
+            return whole(units)
+        asks *= 4
+    if not len(got):
+        return index, min(4, cells)  # every vector was asked, and none has a partner
     # a pair is found if either of its vectors probes the other's cell, so both ends help
-    enough = int(np.searchsorted(reached, recall * reached[-1])) + 1
-    return index, min(max(enough, 4), deep)
+    reached = np.zeros((2, deep + 1))
+    reached[:, got["place"].astype(int)] = got[["e1", "e2"]].to_numpy(dtype=float).T
+    reached = (reached.cumsum(1) / reached.sum(1, keepdims=True)).min(0)
+    enough = int(np.searchsorted(reached, min(recall, 1 - 1e-9))) + 1
+    return (index, min(max(enough, 4), deep)) if enough <= deep else whole(units)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -138,6 +184,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     if not rows:
         return every.select("vec_id", *alone, F.lit(True).alias("kept"))
     index, probes = build(units, recall, threshold)
+    block = WHOLE_BLOCK if len(index.first) * len(index.second) == 1 else BLOCK
     sent = spark.sparkContext.broadcast((index.first, index.second, probes))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +209,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         .where("s > 0 and a > 0")
     )
     # a cell's row count is bounded by the grid: at most 256 x 256
-    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("s") / BLOCK).cast("int").alias("ns"), F.ceil(F.col("a") / BLOCK).cast("int").alias("na")))
+    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("s") / block).cast("int").alias("ns"), F.ceil(F.col("a") / block).cast("int").alias("na")))
     spot = F.xxhash64("vec_id", "cell")
     stored = stored.join(sizes, "cell").withColumns({"i": F.pmod(spot, F.col("ns")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
     asking = asking.join(sizes, "cell").withColumns({"j": F.pmod(spot, F.col("na")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("ns") - 1))})

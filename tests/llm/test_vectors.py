@@ -39,6 +39,47 @@ def test_near_duplicates_equal_brute_force(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def _linked(spark, x):
+    """Links found and links there are, of each vector."""
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = neardup.near_duplicates(df).toPandas().sort_values("vec_id")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    return got.n_links.to_numpy(), link.sum(1)
+
+
+def _pairs(rng, n, cosine):
+    """Vectors two by two at about that cosine."""
+    a, b = rng.normal(size=(2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.concatenate([a, cosine * a + (1 - cosine**2) ** 0.5 * b])
+
+
+def test_a_dense_group_does_not_speak_for_the_rest(spark):
+    rng = np.random.default_rng(1)
+    hot = rng.normal(size=64) + 0.02 * rng.normal(size=(1300, 64))
+    got, want = _linked(spark, np.concatenate([hot, _pairs(rng, 1400, 0.91)]))
+    assert got[1300:].sum() >= 0.995 * want[1300:].sum() and want[1300:].sum() >= 2800 and (got[:1300] == 1299).all()
+
+
+def test_rare_near_copies_are_found(spark):
+    rng = np.random.default_rng(2)
+    rare = _pairs(rng, 12, 0.91)
+    got, want = _linked(spark, np.concatenate([rare, rng.normal(size=(6000, 64))]))
+    assert (got == want).all() and want.sum() == 24
+
+
+def test_all_pairs_where_probes_do_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DEEP", 5)
+    monkeypatch.setattr(neardup, "WHOLE_BLOCK", 700)
+    got, want = _linked(spark, _pairs(np.random.default_rng(3), 1000, 0.91))
+    assert (got == want).all() and want.sum() >= 2000
+
+
 def test_traversal_visits_the_nearest_cells():
     x = _clusters(50, 5)
     index = neardup.MultiIndex(*(neardup.codebook(h.astype(float), 6) for h in neardup._halves(x)))
