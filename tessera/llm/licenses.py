@@ -1,9 +1,10 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-Texts are split into sentences, normalised, and mapped to identifiers of known licence sentences by an
-exact lookup. A document's identifiers, in order, are then matched with licence rules: sequences of
-identifiers between which others may stand. A rule whose identifiers all belong to a longer matching rule
-gives way to it.
+Texts are normalised and split into pieces at line ends and at the ends of sentences. A known licence
+sentence is one piece, or a run of pieces that only single line breaks part, with comment marks or
+without: wrapped texts count as whole ones. Blank lines, full stops and a colon before a line end stop a
+run. A document's identifiers, in order, are then matched with licence rules: sequences of identifiers
+between which others may stand. A rule whose identifiers all belong to a longer matching rule gives way to it.
 
 Edge cases: null and empty texts have no sentence and no licence; repeated rows each get their row; a null
 id is kept; other columns don't matter; an empty table gives an empty result.
@@ -11,6 +12,8 @@ id is kept; other columns don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +72,28 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(^|[^0-9])[.]+|[.]+($|[^0-9])", "$1 $2"))
 
 
+#: Stand in normalised texts for a single line break, over which a sentence may go on, and for the end of a sentence.
+SOFT, HARD = "\x01", "\x02"
+
+
+def marked(text: Column) -> Column:
+    """The whole text as ``normalised`` leaves its sentences, with ``SOFT`` and ``HARD`` between them and ``HARD`` at both ends."""
+    out = F.regexp_replace(F.translate(F.lower(text), SOFT + HARD, "  "), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"[.!?]+(?=[ \t\n]|$)", HARD)
+    # a line without a letter or digit is blank: comment marks, rules of dashes
+    out = F.regexp_replace(out, r"\n(?=[^\p{L}\p{N}\n]*+\n)|:(?=[^\p{L}\p{N}\n]{0,8}\n)", HARD)
+    out = F.concat(F.lit(HARD), F.translate(out, "\n", SOFT), F.lit(HARD))
+    out = F.regexp_replace(out, rf"[^a-z0-9.{SOFT}{HARD}]+", " ")
+    out = F.regexp_replace(out, r"(^|[^0-9])[.]+|[.]+($|[^0-9])", "$1 $2")
+    return F.regexp_replace(F.regexp_replace(out, " +", " "), f" ?([{SOFT}{HARD}]) ?", "$1")
+
+
+def _known() -> str:
+    """Matches a known sentence in a marked text, the longest one first."""
+    any_of = "|".join(re.escape(s).replace(r"\ ", f"[ {SOFT}]") for s in sorted(SENTENCES, key=len, reverse=True))
+    return f"(?<=[{SOFT}{HARD}])(?:{any_of})(?=[{SOFT}{HARD}])"
+
+
 def _rules_for(ids: Column) -> Column:
     """Names of the rules that ``ids`` (``;a;b;``) satisfies, without those that a longer one covers."""
     found = []
@@ -88,13 +113,14 @@ def _pattern(seq: tuple[str, ...]) -> str:
 def scan(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     """``key`` columns, ``n_sentences`` (known ones), ``sentence_ids`` and ``licenses`` (both joined by commas) for every row.
 
-    Only sentences with a licence word are looked up; the lookup is an array expression within the row, so
+    Only texts with a licence word are normalised; the lookup is an array expression within the row, so
     nothing is exploded, joined or shuffled.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     word = r"licen|permi|copyright|reserved|free software|gnu|warranty|redistribution|compliance"
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), lambda s: F.lower(s).rlike(word))
-    ids = F.array_compact(F.transform(parts, lambda s: F.try_element_at(known, F.regexp_replace(normalised(s), " +", " "))))
+    found = F.when(F.lower("text").rlike(word), F.regexp_extract_all(marked(F.col("text")), F.lit(_known()), F.lit(0)))
+    found = F.coalesce(found, F.array().cast("array<string>"))
+    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, SOFT, " ")))
     rows = docs.select(*key, ids.alias("_ids"))
     joined = F.concat(F.lit(";"), F.array_join("_ids", ";"), F.lit(";"))
     return rows.select(

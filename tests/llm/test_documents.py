@@ -293,6 +293,67 @@ def test_licenses(spark, odd_documents, no_documents):
     assert licenses.scan(odd_documents).where("licenses = ''").count() == 13 and licenses.scan(no_documents).count() == 0
 
 
+MIT = '''The MIT License (MIT)
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+'''
+BSD = """Copyright 2020 A. Person
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licences(spark):
+    gpl2 = GPL.replace("version 3", "version 2").replace("software: you", "software; you")
+    whole = {"MIT": MIT, "BSD-2-Clause": BSD, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": gpl2}
+    wraps = [
+        lambda t: t,
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */\ncode();",
+        lambda t: "".join(f"# {x}\n" for x in t.splitlines()) + "import os",
+        lambda t: "".join(f"// {x}\n" for x in t.splitlines()),
+    ]
+    rows = [(name, i, f(t)) for name, t in whole.items() for i, f in enumerate(wraps)]
+    got = licenses.scan(spark.createDataFrame(rows, "name string, i int, text string"), ["name", "i"]).collect()
+    assert len(got) == 20 and [(r.name, r.i) for r in got if r["licenses"] != r["name"]] == []
+    assert {r["name"]: r.sentence_ids for r in got if not r.i}["GPL-3.0-or-later"] == "gpl3-later,gpl-warranty,gpl-see"
+
+
+def test_runs_stop_at_sentence_ends(spark):
+    texts = {1: "Licensed under\nthe MIT License", 2: "Licensed under\n\nthe MIT License", 3: "Licensed under.\nthe MIT License", 4: "Licensed under\n--\nthe MIT License", 5: "Not licensed under\nthe MIT License"}
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "MIT-reference", 2: "", 3: "", 4: "", 5: ""}
+
+
 # --- toxicity
 
 
