@@ -24,7 +24,7 @@ from .common import remainder
 DIMENSIONS, GRAM = 1024, 3
 #: Letters are told apart by this many codes; 0 stands for all that is no letter.
 CODES = 128
-#: About so many rows at most, those with the smallest seeded hashes, form the prototypes.
+#: About so many rows of each language at most, those with the smallest seeded hashes, form its prototype.
 SAMPLE_ROWS = 6_000
 #: Rows and letters that a task bundles at once.
 ROWS, LETTERS = 256, 2_000_000
@@ -94,11 +94,12 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 
 def prototypes(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 9) -> dict[str, np.ndarray]:
-    """The bundled vector of each language, from a bounded seeded sample of ``rows(doc_id, text, lang)``."""
+    """The bundled vector of each language, from a bounded seeded sample of its ``rows(doc_id, text, lang)``; all rows of a rare one."""
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    total = rows.count()
+    # one row a language
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("_n")))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.where(F.coalesce(draw, F.lit(0.0)) < sample_rows / max(total, 1))
+    rows = rows.join(counts, "lang").where(F.coalesce(draw, F.lit(0.0)) < F.lit(float(sample_rows)) / F.col("_n"))
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -406,6 +406,16 @@ def test_bundle_equals_its_definition():
     assert (p.bundle(["x1", "Ab é!!ü", None])[1] == want).all() and not p.bundle(["12", None]).any()
 
 
+def test_rare_languages_are_learned_whole(spark):
+    common = [(i, f"the house number {chr(97 + i % 26)} stands by the river and the old mill", "en") for i in range(2000)]
+    rare = [(10_000 + i, t, "fi") for i, t in enumerate(["talo on joen rannalla", "vanha mylly seisoo", "kissa istuu matolla"])]
+    df = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    got = langid.prototypes(df, 40)
+    alone = langid.prototypes(df.where("lang = 'fi'"), 40)
+    assert sorted(got) == ["en", "fi"] and np.allclose(got["fi"], alone["fi"])
+    assert {r.lang_pred for r in langid.identify(df.where("lang = 'fi'"), got).collect()} == {"fi"}
+
+
 def test_language_odd_rows(odd_documents, no_documents):
     got = langid.identify(odd_documents, langid.prototypes(odd_documents)).toPandas()
     assert len(got) == 13 and set(got[got.doc_id.isin([2, 3, 4, 9])].lang_pred) == {"und"}
