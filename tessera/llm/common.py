@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: White space as the operators' contracts define it; ``bytes.split()`` uses the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,18 +42,6 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one is made only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        known = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
 #: Rows that a file of a written table takes where their number is known.
 FILE_ROWS = 500_000
 
@@ -73,28 +62,56 @@ def written(df: DataFrame, name: str, rows: int | None = None, shuffled: bool =
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
+#: A key with more than this share of a table's rows is hot: it meets its partner without a shuffle. There are at most
+#: so many hot keys as the share goes into one, whatever the table's size.
+HOT_SHARE = 1 / 1000
+
+
+def joined(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (one row a key; the same join as by key alone).
+
+    ``hot``: rows of ``one`` whose keys hold a large share of ``many``, at most ``1 / HOT_SHARE`` of them. They are
+    sent to all tasks, so no task gets all rows of a hot key; the rest meet by key.
+    """
+    near = many.join(F.broadcast(hot), key)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return near.unionByName(rest.join(one, key, how), allowMissingColumns=True)
+
+
+#: Tables of so many links or fewer have their nodes' neighbours sent to all tasks; beyond, they are joined by key.
+SENT_LINKS = 100_000
+
+
+def _starred(pairs: DataFrame, rows: int, node: str, lows: DataFrame) -> DataFrame:
+    """``pairs`` with ``low``, the smallest neighbour of ``node``, from ``lows(node, low, c)``; hubs without a shuffle."""
+    if rows <= SENT_LINKS:
+        return pairs.join(F.broadcast(lows.select(node, "low")), node)
+    hubs = lows.where(F.col("c") > F.lit(max(HOT_SHARE * rows, 8.0))).select(node, "low")
+    return joined(pairs, lows.select(node, "low"), hubs, node)
+
+
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs) as ``(id, component)``, component = smallest id.
 
     Alternates large-star and small-star rounds, each a partially aggregated minimum per node and an
-    equi-join back, until the edges stop changing. Nodes without an edge are not returned. ``rows``: about
-    how many edges there are, if known.
+    equi-join back, until the edges stop changing (after about as many rounds as the logarithm of the longest
+    path). Nodes without an edge are not returned. ``rows``: about how many edges there are, if known.
     """
     pairs = edges.where("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct()
     pairs = written(pairs, "edges", rows)
     before, rows = None, rows if rows is not None else pairs.count()
-    for _ in range(max_rounds):
+    while True:
         both = pairs.select(F.col("lo").alias("n"), F.col("hi").alias("m")).union(pairs.select(F.col("hi"), F.col("lo")))
-        lowest = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-        large = both.where("m > n").join(lowest, "n").select(F.col("low").alias("lo"), F.col("m").alias("hi")).where("lo <> hi").distinct()
-        lowest = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("low"))
-        small = large.withColumnRenamed("hi", "n").join(lowest, "n")
-        small = small.select(F.col("low").alias("lo"), F.explode(F.array("lo", "n")).alias("hi")).where("lo <> hi").distinct()
+        low = F.least(F.min("m"), F.first("n")).alias("low")
+        lowest = both.groupBy("n").agg(low, F.count("*").alias("c")).withColumnRenamed("n", "lo")
+        large = _starred(pairs, rows, "lo", lowest).select(F.col("low").alias("lo"), "hi").where("lo <> hi").distinct()
+        lowest = large.groupBy("hi").agg(F.min("lo").alias("low"), F.count("*").alias("c"))
+        small = _starred(large, rows, "hi", lowest)
+        small = small.select(F.col("low").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi"))
+        small = small.where("lo <> hi").distinct()
         pairs = written(small, "edges", rows)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == before:
-            return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
-                pairs.select(F.col("lo"), F.col("lo")).distinct()
-            )
+            lone = pairs.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
+            return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(lone)
         before, rows = now, now[0]
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,10 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Every distinct set of word shingles gets MinHash values that label it in a number of prefix trees. Depth
-is shortened from the longest prefix until a pair at the threshold meets in some tree with the target
-recall. Rows that share a prefix and most of their signature fall into coarse groups; in these, rows meet
-in sorted blocks of bounded size, and each pair with a shared prefix is verified exactly on its shingles.
-Blocks give link counts and a spanning forest, never pairs.
+Every distinct set of word shingles gets MinHash values of one byte. Seven of them, with the tree's number below,
+are a tree's label: a whole number whose bytes, from the top, are a path in the tree's prefix trie. Rows sorted by
+label lie as in the trie, those under one prefix side by side. Prefixes are shortened value by value, from whole
+labels on, until pairs at the threshold meet in some tree with the target recall, by the trees' law and as measured
+on sampled rows, whose partners are counted exactly among all rows. Rows under a prefix meet in blocks of bounded
+size; a pair is looked at in the first tree where it meets. Labels alone tell which rows may have a partner; only
+these get their shingles, by which each pair is verified exactly. Blocks give link counts and a spanning forest,
+never pairs.
 
 Edge cases: texts of fewer than ``n`` words are one shingle of all their words; null texts and texts
 without a word link with nothing; rows with the same shingles form one class and count as links of each
@@ -20,15 +23,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import HOT_SHARE, components, joined, written
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 8, 0.999
-#: Rows of a bucket that meet at once in one task.
-BLOCK = 256
+#: Trees, values of a label, and the recall to reach at the threshold.
+TREES, DEPTH, RECALL = 24, 7, 0.9999
+#: Rows of a prefix that meet at once in one task: by labels, and by shingles (as many as that on the whole).
+LABEL_BLOCK, BLOCK, BLOCK_SHINGLES = 4096, 256, 400_000
+#: Rows whose partners are counted among all rows to measure recall; those with more shingles are not asked.
+ASKED, ASKED_SHINGLES = 400, 2_000
 #: Ids of rows to look up or leave out are sent to all tasks up to so many rows; beyond, they are joined by key.
 SENT_ROWS = 500_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -63,42 +69,70 @@ def shingles(text: str | None, hashes: dict, n: int = WORDS) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(k)))
 
 
-def depth_for(threshold: float, trees: int = TREES, longest: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs at the threshold meet in some tree with the target recall."""
-    for d in range(longest, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def labels_of(sh: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """A label for each tree: ``DEPTH`` MinHash values of one byte, the first on top, and the tree's number below."""
+    seeds = _mix(np.arange(1, trees * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    flip, odd = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
+    short = (sh >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(seeds), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), 256):
+        np.minimum(least, ((short[i : i + 256, None] ^ flip) * odd).min(axis=0), out=least)
+    values = (_mix(least.astype(np.uint64) + seeds) >> np.uint64(56)).astype(np.uint8).reshape(trees, DEPTH)
+    whole = np.concatenate([values, np.arange(trees, dtype=np.uint8)[:, None]], axis=1)
+    return np.ascontiguousarray(whole).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def cut(label: Column, depth: int) -> Column:
+    """The prefix of ``depth`` values of a label, with its tree's number."""
+    mask = (((1 << 8 * depth) - 1) << 8 * (DEPTH + 1 - depth)) | 0xFF
+    return label.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def law(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """Share of pairs at the threshold that have a prefix of ``depth`` values in common in some tree."""
+    return 1 - (1 - threshold**depth) ** trees
 
 
-def signature(sh: np.ndarray, size: int) -> np.ndarray:
-    """``size`` MinHash values of 32 bits."""
-    seeds = _mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    least = np.full(size, np.iinfo(np.uint64).max)
-    for i in range(0, len(sh), 512):
-        values = (sh[i : i + 512, None] ^ seeds) * (seeds | np.uint64(1))
-        np.minimum(least, values.min(axis=0), out=least)
-    return (_mix(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def shortened(threshold: float, trees: int, recall: float, seen: list[float] | None = None) -> int:
+    """The longest prefix that reaches the recall, by law and, where partners were ``seen``, as measured at each depth."""
+    for depth in range(DEPTH, 1, -1):
+        if law(depth, threshold, trees) >= recall and (seen is None or seen[depth] >= recall):
+            return depth
+    return 1
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
 
-def _meet(a: np.ndarray, b: np.ndarray, trees: int) -> np.ndarray:
-    """Which rows of two signature matrices share a whole prefix in some tree."""
-    out = np.zeros((len(a), len(b)), bool)
-    for x, y in zip(np.split(a, trees, axis=1), np.split(b, trees, axis=1), strict=True):
-        same = np.ones_like(out)
-        for i in range(x.shape[1]):
-            same &= x[:, i][:, None] == y[:, i]
-        out |= same
+def _first_tree(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """For all rows of two label matrices: the first tree in which they share ``depth`` values (else the number of trees)."""
+    shift = np.uint64(8 * (DEPTH + 1 - depth))
+    a, b = a.view(np.uint64) >> shift, b.view(np.uint64) >> shift
+    out = np.full((len(a), len(b)), a.shape[1], np.int16)
+    for t in range(a.shape[1] - 1, -1, -1):
+        out[a[:, t][:, None] == b[:, t]] = t
     return out
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal MinHash values, for all rows of two matrices."""
-    return sum((a[:, i][:, None] == b[:, i]).astype(np.float32) for i in range(a.shape[1])) / a.shape[1]
+    """Estimated similarity of paired rows of labels: the share of equal values, less what chance makes equal."""
+    trees = a.shape[1]
+    same = (np.ascontiguousarray(a).view(np.uint8) == np.ascontiguousarray(b).view(np.uint8)).sum(axis=1)
+    return ((same - trees) / (trees * DEPTH) - 1 / 256) / (1 - 1 / 256)
+
+
+def _hopeful(a: np.ndarray, b: np.ndarray, tree: int, depth: int, loose: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that meet in this tree first and whose estimated similarity is at least ``loose``."""
+    xs, ys = [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in range(0, len(a), BLOCK):
+        for j in range(i if same else 0, len(b), BLOCK):
+            meet = _first_tree(a[i : i + BLOCK], b[j : j + BLOCK], depth) == tree
+            x, y = np.nonzero(np.triu(meet, 1) if same and i == j else meet)
+            near = _alike(a[i + x], b[j + y]) >= loose
+            xs.append(i + x[near])
+            ys.append(j + y[near])
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -135,42 +169,137 @@ def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return [(find(x), x) for x in root]
 
 
-def in_blocks(df: DataFrame, group: list[str], members: str, block: int = BLOCK) -> DataFrame:
-    """Deals the rows of each group to pairs ``(i, j)`` of blocks, so that all its rows meet in some pair."""
-    n = F.ceil(F.col(members) / block).cast("int")
-    df = df.withColumns({"own": F.pmod(F.xxhash64("class_id", *group), n).cast("int"), "_n": n})
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+class Sample:
+    """Shingles of the rows that are asked for partners, in one sorted array, and their labels."""
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, threshold: float):
+        self.sizes, self.labels, self.threshold = np.array([len(s) for s in sets], np.int64), labels, threshold
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        of, order = np.repeat(np.arange(len(sets)), self.sizes), np.argsort(values, kind="stable")
+        self.values, self.of = values[order], of[order]
+
+    def partners(self, sets: list[np.ndarray], labels: list[np.ndarray | None]) -> list[list[int]]:
+        """For each set: a code of every asked row that it is a partner of, and of the longest prefix in common."""
+        out: list[list[int]] = [[] for _ in sets]
+        if not len(self.values) or not sets:
+            return out
+        lengths = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        lo, hi = np.searchsorted(self.values, flat, "left"), np.searchsorted(self.values, flat, "right")
+        hit = np.flatnonzero(hi > lo)
+        n = (hi - lo)[hit]
+        spots = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        row = np.repeat(np.repeat(np.arange(len(sets)), lengths)[hit], n)
+        pair, common = np.unique(row * len(self.sizes) + self.of[spots], return_counts=True)
+        r, k = np.divmod(pair, len(self.sizes))
+        either = lengths[r] + self.sizes[k] - common
+        near = (common >= self.threshold * either - 1e-4) & (common < either)
+        for r, k in zip(r[near].tolist(), k[near].tolist(), strict=True):
+            same = (labels[r] ^ self.labels[k]).astype(">i8").view(np.uint8).reshape(-1, DEPTH + 1)[:, :DEPTH] == 0
+            out[r].append(k * (DEPTH + 1) + int(np.minimum.accumulate(same, axis=1).sum(axis=1).max()))
+        return out
+
+
+def measured(classes: DataFrame) -> list[float] | None:
+    """Recall at each depth on the asked rows: the lower of an average over pairs and one over rows. None if no row has a partner."""
+    met = classes.select(F.explode("met").alias("m")).groupBy("m").agg(F.count("*").alias("n")).toPandas()
+    if not len(met):
+        return None
+    row, depth = np.divmod(met["m"].to_numpy(), DEPTH + 1)
+    n = met["n"].to_numpy(float)
+    each = n / np.bincount(row, n)[row]
+    return [float(min(x[depth >= d].sum() / x.sum() for x in (n, each))) for d in range(DEPTH + 1)]
+
+
+def in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
+    """Deals the rows under each prefix to pairs ``(i, j)`` of blocks, so that all its rows meet in some pair."""
+    df = df.withColumn("_n", F.greatest(blocks, F.lit(1)).cast("int"))
+    df = df.withColumns({"own": F.pmod(F.xxhash64("class_id", "prefix"), "_n").cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.col("_n") - 1))})
     return df.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_n", "_other")
 
 
 def _sides(rows: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    rows = rows.sort_values("class_id", ignore_index=True)
     if i == j:
         return rows, rows
     return rows[rows["own"] == i].reset_index(drop=True), rows[rows["own"] == j].reset_index(drop=True)
 
 
-def coarse_groups(one: DataFrame, rows: int, trees: int, depth: int, loose: float) -> DataFrame:
-    """``(id, component)`` of rows that may be linked: they share a prefix and a good part of their signature."""
-    prefixes = F.array(*[F.xxhash64(F.lit(t), *[F.col("sig")[t * depth + d] for d in range(depth)]) for t in range(trees)])
-    met = one.select("class_id", F.explode(prefixes).alias("label"))
-    crowd = met.groupBy("label").agg(F.count("*").alias("members"), F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("who"))
-    # buckets of several trees that hold the same rows count once
-    crowd = crowd.where("members > 1").groupBy("members", "who").agg(F.min("label").alias("label"))
-    met = met.join(crowd.select("label", "members"), "label")
-    met = in_blocks(met, ["label"], "members").join(one.select("class_id", "sig"), "class_id")
+def _forest(u: np.ndarray, v: np.ndarray) -> dict[int, int]:
+    """The smallest id that each id reaches by the links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+def _different(rows: DataFrame) -> DataFrame:
+    """One prefix of those that hold the same rows, the first tree's: there these rows meet first."""
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "class_id")).alias(f"_who{i}") for i in (0, 1)]
+    crowds = rows.groupBy("prefix").agg(F.count("*").alias("members"), *who).where("members > 1")
+    return crowds.groupBy("members", "_who0", "_who1").agg(F.min_by("prefix", F.col("prefix").bitwiseAND(0xFF)).alias("prefix"))
 
-    def edges(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(rows.sort_values("class_id", ignore_index=True), key[1], key[2])
+
+def sketches(docs: DataFrame, n: int, threshold: float, trees: int, rows: int) -> DataFrame:
+    """``doc_id, key, labels, size, met`` of every row: a digest of its shingles, their labels and number, and partners in the sample."""
+    draw = F.pmod(F.xxhash64(F.lit(21), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.coalesce(draw, F.lit(1.0)) < ASKED / max(rows, 1)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            sets = [shingles(t, hashes, n) for t in batch["text"].to_pylist()]
+            sets = [s.view(np.int64) for s in sets if 0 < len(s) <= ASKED_SHINGLES]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["sh"])
+
+    # about ASKED sets of bounded size; an id with very many rows is cut, as copies tell nothing new
+    asked = docs.where(share).select("text").mapInArrow(sampled, "sh array<long>").dropDuplicates(["sh"]).limit(4 * ASKED).toPandas()["sh"]
+    asked = sorted((np.asarray(s, np.int64).view(np.uint64) for s in asked), key=lambda s: s.tolist())
+    known = np.array([labels_of(s, trees) for s in asked], np.int64).reshape(-1, trees)
+    sent = docs.sparkSession.sparkContext.broadcast((asked, known))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sample = _Hashes(), Sample(*sent.value, threshold)
+        for batch in batches:
+            sets = [shingles(t, hashes, n) for t in batch["text"].to_pylist()]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            labels = [labels_of(s, trees) if len(s) else None for s in sets]
+            columns = [
+                batch["doc_id"],
+                pa.array(keys, pa.binary()),
+                pa.array(labels, pa.list_(pa.int64())),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(sample.partners(sets, labels), pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "labels", "size", "met"])
+
+    return docs.mapInArrow(sketch, "doc_id long, key binary, labels array<long>, size long, met array<int>")
+
+
+def hopeful_rows(classes: DataFrame, rows: int, trees: int, depth: int, loose: float) -> DataFrame:
+    """``class_id, prefix`` of rows that, by their labels, may be linked with a row that they meet there first."""
+    spread = classes.select("class_id", F.explode("labels").alias("label")).select("class_id", cut(F.col("label"), depth).alias("prefix"))
+    crowds = _different(spread).select("prefix", "members")
+    hot = crowds.where(F.col("members") > F.lit(max(HOT_SHARE * rows * trees, 8.0)))
+    met = in_blocks(joined(spread, crowds, hot, "prefix"), F.ceil(F.col("members") / LABEL_BLOCK)).drop("members")
+    met = met.join(classes.select("class_id", "labels"), "class_id")
+
+    def look(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(rows, key[1], key[2])
         got: list = []
         if len(a) and len(b):
-            near = _alike(_matrix(a["sig"]), _matrix(b["sig"])) >= loose
-            if a is b:
-                near = np.triu(near, 1)
-            x, y = np.nonzero(near)
-            got = _forest(a["class_id"].to_numpy()[x], b["class_id"].to_numpy()[y])
-        return pd.DataFrame(got, columns=["u", "v"], dtype="int64")
+            x, y = _hopeful(_matrix(a["labels"]), _matrix(b["labels"]), key[0] & 0xFF, depth, loose, a is b)
+            got = np.union1d(a["class_id"].to_numpy()[x], b["class_id"].to_numpy()[y])
+        return pd.DataFrame({"class_id": np.asarray(got, np.int64), "prefix": np.full(len(got), key[0], np.int64)})
 
-    return components(met.groupBy("label", "i", "j").applyInPandas(edges, "u long, v long"), rows)
+    return met.groupBy("prefix", "i", "j").applyInPandas(look, "class_id long, prefix long").distinct()
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -179,35 +308,24 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     ``class_id`` is the smallest id with the same shingles, ``n_links`` the number of other documents at
     ``threshold`` or more, ``component_id`` the smallest id that links lead to.
     """
-    depth = depth_for(threshold, trees, recall=recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            sets = [shingles(t, hashes, n) for t in batch["text"].to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            sigs = [signature(s, trees * depth) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "key", "sig"])
-
-    sketched = written(docs.mapInArrow(sketch, "doc_id long, key binary, sig array<int>"), "sketches")
+    rows = docs.count()
+    sketched = written(sketches(docs, n, threshold, trees, rows), "sketches")
     # one row a document, then one row a class: documents with the same shingles
     doc = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
     # repeated rows of an id with different texts: the smallest key speaks for the id
-    rows = sketched.count()
-    sigs = sketched.where("doc_id is not null and key is not null").groupBy("key").agg(F.first("sig").alias("sig"))
+    known = sketched.where("doc_id is not null and key is not null").groupBy("key")
+    known = known.agg(F.first("labels").alias("labels"), F.first("size").alias("size"), F.first("met").alias("met"))
     classes = doc.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = written(classes.join(sigs, "key"), "classes", rows)
-
-    # half-way between unlike texts and the threshold, over five deviations of the estimate below it
-    loose = threshold - 5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5
-    coarse = coarse_groups(classes, rows, trees, depth, loose)
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("members"))
-    near = coarse.withColumnRenamed("id", "class_id").join(sizes, "component").join(classes, "class_id")
-    near = written(near.select("class_id", "component", "members", "key", "copies", "sig"), "near", rows)
-    known, n_near = near.select("class_id", "key"), near.count()
-    if n_near <= SENT_ROWS:
-        known = F.broadcast(known)
+    classes = written(classes.join(known, "key"), "classes", rows)
+
+    depth = shortened(threshold, trees, recall, measured(classes))
+    # five deviations of the estimate below the threshold
+    loose = threshold - 5 * (threshold * (1 - threshold) / (trees * DEPTH)) ** 0.5
+    near = written(hopeful_rows(classes, rows, trees, depth, loose), "near", rows)
+    wanted = classes.select("class_id", "key").join(near.select("class_id").distinct(), "class_id", "left_semi")
+    wanted, n_near = written(wanted, "wanted", rows), near.count()
+    known = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -221,42 +339,48 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 
     texts = docs.join(known, docs["doc_id"] == known["class_id"]).select("class_id", "key", "text")
     sets = texts.mapInArrow(shingled, "class_id long, sh array<long>").dropDuplicates(["class_id"])
-    full = in_blocks(near, ["component"], "members").select("class_id", "component", "copies", "sig", "own", "i", "j").join(sets, "class_id")
+    sizes = classes.select("class_id", "copies", "size", "labels")
+    near = near.join(sizes.select("class_id", "size"), "class_id")
+    crowds = near.groupBy("prefix").agg(F.count("*").alias("members"), F.sum("size").alias("whole"))
+    hot = crowds.where(F.col("members") > F.lit(max(HOT_SHARE * n_near, 8.0)))
+    full = joined(near, crowds, hot, "prefix").drop("size")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("whole") / BLOCK_SHINGLES))
+    full = in_blocks(full, blocks).drop("members", "whole").join(sizes.drop("size"), "class_id").join(sets, "class_id")
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(rows.sort_values("class_id", ignore_index=True), key[1], key[2])
-        counts: dict[int, int] = {}
-        links: list = []
+        a, b = _sides(rows, key[1], key[2])
+        sums: dict[int, int] = {}
+        root: dict[int, int] = {}
         if len(a) and len(b):
-            meet = _meet(_matrix(a["sig"]), _matrix(b["sig"]), trees)
-            if a is b:
-                meet = np.triu(meet, 1)
-            use_a, use_b = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
-            if len(use_a):
-                sets_a, sets_b = [a["sh"].iloc[x] for x in use_a], [b["sh"].iloc[y] for y in use_b]
-                both = _common(sets_a, sets_b)
-                either = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b]) - both
-                x, y = np.nonzero(meet[np.ix_(use_a, use_b)] & (both >= threshold * either - 1e-4))
-                x, y = use_a[x], use_b[y]
+            x, y = _hopeful(_matrix(a["labels"]), _matrix(b["labels"]), key[0] & 0xFF, depth, loose, a is b)
+            use_a, use_b = np.unique(x), np.unique(y)
+            if len(x):
+                sets_a, sets_b = [a["sh"].iloc[i] for i in use_a], [b["sh"].iloc[i] for i in use_b]
+                both = _common(sets_a, sets_b)[np.searchsorted(use_a, x), np.searchsorted(use_b, y)]
+                size_a, size_b = (np.array([len(s) for s in side["sh"]]) for side in (a, b))
+                linked = both >= threshold * (size_a[x] + size_b[y] - both) - 1e-4
+                x, y = x[linked], y[linked]
                 ids_a, ids_b = a["class_id"].to_numpy(), b["class_id"].to_numpy()
                 for ids, copies, here, there in ((ids_a, b["copies"].to_numpy(), x, y), (ids_b, a["copies"].to_numpy(), y, x)):
-                    sums = np.bincount(here, weights=copies[there], minlength=len(ids))
-                    for p in np.flatnonzero(sums):
-                        counts[ids[p]] = counts.get(ids[p], 0) + int(sums[p])
-                links = _forest(ids_a[x], ids_b[y])
-        root = {v: u for u, v in links}
-        return pd.DataFrame({"class_id": list(counts), "links": list(counts.values()), "root": [root[c] for c in counts]}, dtype="int64")
-
-    found = written(full.groupBy("component", "i", "j").applyInPandas(verify, "class_id long, links long, root long"), "links", n_near, shuffled=False)
+                    got = np.bincount(here, weights=copies[there], minlength=len(ids))
+                    for p in np.flatnonzero(got):
+                        sums[ids[p]] = sums.get(ids[p], 0) + int(got[p])
+                root = _forest(ids_a[x], ids_b[y])
+        return pd.DataFrame({"class_id": list(sums), "links": list(sums.values()), "root": [root[c] for c in sums]}, dtype="int64")
+
+    found = full.groupBy("prefix", "i", "j").applyInPandas(verify, "class_id long, links long, root long")
+    found = written(found, "links", n_near, shuffled=False)
     sums = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("root").alias("u"), F.col("class_id").alias("v")), n_near)
     table = (
         classes.select("key", "class_id", "copies")
         .join(sums, "class_id", "left")
         .join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
-        .select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+        .withColumns({"n_links": F.col("copies") - 1 + F.coalesce("links", F.lit(0)), "component_id": F.coalesce("component", "class_id")})
+        .select("key", "class_id", "copies", "n_links", "component_id")
     )
-    out = doc.where("key is not null").join(table, "key").select("doc_id", "class_id", "n_links", "component_id")
+    hot = table.where(F.col("copies") > F.lit(max(HOT_SHARE * rows, 8.0)))
+    out = joined(doc.where("key is not null"), table, hot, "key").select("doc_id", "class_id", "n_links", "component_id")
     alone = [F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id")]
     out = out.unionByName(doc.where("key is null").select("doc_id", *alone))
     return out.unionByName(sketched.where("doc_id is null").select("doc_id", *alone))

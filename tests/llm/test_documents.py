@@ -227,9 +227,46 @@ def test_jaccard_odd_rows(spark, odd_documents, no_documents):
     assert jaccard.jaccard_links(no_documents).count() == 0 and jaccard.without_copies(no_documents).count() == 0
 
 
-def test_depth_reaches_recall():
-    d = jaccard.depth_for(0.8, 16, 8, 0.999)
-    assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+def test_prefixes_are_shortened_until_the_recall():
+    d = jaccard.shortened(0.8, 24, 0.9999)
+    assert jaccard.law(d, 0.8, 24) >= 0.9999 > jaccard.law(d + 1, 0.8, 24)
+    # what was measured shortens further, never less
+    seen = [1.0] * d + [0.9] * (jaccard.DEPTH + 1 - d)
+    assert jaccard.shortened(0.8, 24, 0.9999, seen) == d - 1 and jaccard.shortened(0.8, 24, 0.9999, [1.0] * (jaccard.DEPTH + 1)) == d
+
+
+def test_labels_follow_the_law():
+    rng, met, alike = np.random.default_rng(0), [], []
+    for _ in range(600):
+        both, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (80, 10, 10))
+        a, b = (jaccard.labels_of(np.unique(np.concatenate([both, x])), 5)[None] for x in (one, two))
+        met.append(jaccard._first_tree(a, b, 5)[0, 0] < 5)
+        alike.append(jaccard._alike(a, b)[0])
+    assert abs(np.mean(met) - jaccard.law(5, 0.8, 5)) < 0.06 and abs(np.mean(alike) - 0.8) < 0.01
+    assert (jaccard.labels_of(both, 5) & 0xFF).tolist() == list(range(5))
+
+
+def test_recall_is_measured_on_all_rows():
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(20)]
+    near = [np.unique(np.concatenate([b[:57], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for b in base]
+    sample = jaccard.Sample(base, np.array([jaccard.labels_of(b) for b in base]), 0.8)
+    sets = [*near, *base, np.zeros(0, np.uint64)]
+    got = sample.partners(sets, [jaccard.labels_of(s) if len(s) else None for s in sets])
+    assert [[m // (jaccard.DEPTH + 1) for m in g] for g in got] == [[i] for i in range(20)] + [[]] * 21
+    for g, a, b in zip(got, base, near):
+        x, y = (jaccard.labels_of(v)[None] for v in (a, b))
+        deepest = max(d for d in range(jaccard.DEPTH + 1) if d == 0 or jaccard._first_tree(x, y, d)[0, 0] < jaccard.TREES)
+        assert g[0] % (jaccard.DEPTH + 1) == deepest
+
+
+def test_a_chain_is_no_group(spark):
+    """Each text shares a third of its shingles with the next one: no links, and no large blocks."""
+    texts = [(i, " ".join(f"c{j}" for j in range(30 * i, 30 * i + 64))) for i in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    classes = jaccard.sketches(df, 5, 0.8, jaccard.TREES, 1500).withColumnRenamed("doc_id", "class_id").cache()
+    near = jaccard.hopeful_rows(classes, 1500, jaccard.TREES, 5, 0.65)
+    assert near.count() < 15 and jaccard.jaccard_links(df).where("n_links > 0").count() == 0
 
 
 # --- secrets
