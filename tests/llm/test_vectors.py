@@ -119,9 +119,38 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    rows, q = rng.integers(-50, 50, (300, 8)).astype(float), rng.integers(-50, 50, (9, 8)).astype(float)
-    low, high = topk.Approximation(rows).bounds(q)
-    assert (low <= q @ rows.T).all() and (q @ rows.T <= high).all()
+    for top in (50, 1e9, 1e200):
+        rows, q = np.floor(rng.uniform(-top, top, (600, 8))), np.floor(rng.uniform(-top, top, (9, 8)))
+        ends = topk.Cells.fitted(rows[:300], rows.min(0), rows.max(0))
+        low, high = ends.bounds(q, ends.of(rows))
+        exact = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in rows] for x in q]
+        assert all(int(a) <= e <= int(b) for la, le, lb in zip(low.tolist(), exact, high.tolist()) for a, e, b in zip(la, le, lb) if abs(a) < 1e308 and abs(b) < 1e308)
+
+
+def test_few_exact_vectors_are_read(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet")
+    rows = topk.whole_vectors(df)
+    n, asked = rows.count(), rows.where("vec_id % 20 = 0").count()
+    read = topk.survivors(rows, F.col("vec_id") % 20 == 0, 20).count()
+    assert 20 * asked <= read < 0.1 * n * asked
+
+
+def test_top_k_of_copies_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 64)
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=4).tolist() for _ in range(200)]
+    x[50:150] = [[0.5, -0.25, 1.0, 0.0]] * 100  # copies
+    x[7], x[21], x[40] = [1e30, 1.0, 0.0, -1e30], [2.0e9, 3.0, -5.0, 1.0e9], [1e300, -1e300, 1e308, 1.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(1000, [1.0, 2.0]), (1020, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(64 * c)) if abs(64 * c) < 1e300 else int(max(min(64 * c, np.finfo(float).max), -np.finfo(float).max)) for c in v] for v in x]
+    want = []
+    for q in range(0, 200, 20):
+        s = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v)))) for v in whole]
+        order = sorted((i for i in range(200) if i != q), key=lambda i: (-s[i], i))[:20]
+        want += [(q, r, i, s[i]) for r, i in enumerate(order, 1)]
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(r for r in got if r[0] < 1000) == sorted(want)
+    assert sorted(r for r in got if r[0] >= 1000) == [(1000, 1, 1020, 64 * 64 * 11), (1020, 1, 1000, 64 * 64 * 11)]
 
 
 def test_top_k_odd_rows(odd_vectors):
@@ -129,6 +158,7 @@ def test_top_k_odd_rows(odd_vectors):
     assert got.query_id.drop_duplicates().tolist() and set(got.query_id) == {20, 40}
     assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == [2, 1, 5, 40]
     assert topk.top_k(odd_vectors.limit(0), F.lit(True)).count() == 0
+    assert topk.top_k(odd_vectors.where("vec_id is null"), F.lit(True)).count() == 0
 
 
 def test_query_runs_on_all_rows(spark):
