@@ -6,10 +6,12 @@ many are visited is set by the recall that sampled distinct vectors reach agains
 average over vectors and over groups. Where the target is out of reach or can't be measured, one cell
 holds all vectors, and all pairs are compared. Every vector lies in its own cell and probes its nearest
 cells; both meet in blocks of bounded size, and each pair is verified in double precision and counted in
-one block. Blocks give link counts and a spanning forest.
+one block. Blocks give link counts and a spanning forest. Equal vectors are one, with a number of copies, so a
+vector that many rows share is compared once. Vectors of each length have an index of their own;
+where they are few, one cell.
 
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
-as do vectors of another length than most; a null id gets its row without links and a null component;
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
+vectors of different lengths don't link; a null id gets its row without links and a null component;
 rows that repeat an id are one vector (the greatest one), each gets its row; other columns don't matter;
 an empty table gives an empty result.
 """
@@ -24,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import HOT_SHARE, components, joined, written
 
 THRESHOLD = 0.9
-#: Vectors from which the codebooks are learned, and groups with partners that set the number of probes.
-SAMPLE, QUERIES = 20_000, 400
+#: Vectors from which the codebooks are learned (more of them for larger codebooks), and groups with partners that set
+#: the number of probes.
+SAMPLE, QUERIES = 20_000, 1_000
+#: Codes of a half: as many as leave about so many vectors in a cell, with a bound. Sampled vectors a code.
+CELL, CODES, CODE_SAMPLE = 32, (4, 1_024), 40
 #: Vectors that are asked for their partners: at first, and at most (where a table has more).
 ASKED, MOST_ASKED = 1_600, 25_600
 RECALL = 0.999
@@ -82,7 +87,7 @@ class MultiIndex:
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, x)``: one valid vector of the commonest length for each id, scaled to length one."""
+    """``(vec_id, x)``: one valid vector for each id, scaled to length one."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     big = F.array_max(F.transform(x, lambda v: F.abs(v)))
     fine = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), big.alias("big"))
@@ -90,9 +95,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     fine = fine.select("vec_id", F.transform("x", lambda v: v / F.col("big")).alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     fine = fine.groupBy("vec_id").agg(F.max("x").alias("x")).select("vec_id", F.transform("x", lambda v: v / norm).alias("x"))
-    fine = written(fine, "units", vectors.count())
-    most = fine.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return fine.where(F.size("x") == (most["n"] if most else 0))
+    return written(fine, "units", vectors.count())
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -140,16 +143,15 @@ def _places(ones: DataFrame, index: MultiIndex, asked: pd.DataFrame, threshold:
 
 
 def build(units: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[MultiIndex, int]:
-    """The index and the number of cells to visit for the target recall, measured on sampled vectors against all others.
+    """The index of different vectors and the number of cells to visit for the target recall, measured on sampled ones against all others.
 
     Recall is an average over distinct vectors, and over groups (a vector weighs as one by its number of
     partners), the lower of both; so neither copies nor a dense group speak for the rest. More vectors are asked
     until enough groups have answered. If too few do, or the target needs too many cells, all pairs are compared.
     """
-    ones = written(units.groupBy("x").agg(F.min("vec_id").alias("vec_id")), "ones")
-    n = ones.count()
-    sample = _matrix(ones.where(_share(11, SAMPLE, n)).orderBy("vec_id").toPandas()["x"])
-    k = int(np.clip(round((n / 32) ** 0.5), 4, 256))
+    ones, n = units, units.count()
+    k = int(np.clip(round((n / CELL) ** 0.5), *CODES))
+    sample = _matrix(ones.where(_share(11, max(SAMPLE, CODE_SAMPLE * k), n)).orderBy("vec_id").toPandas()["x"])
     index = MultiIndex(*(codebook(h.copy(), k) for h in _halves(sample)))
     cells = len(index.first) * len(index.second)
     # beyond so many probes, all pairs take fewer copies of a row
@@ -174,18 +176,10 @@ def build(units: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD
     return (index, min(max(enough, 4), deep)) if enough <= deep else whole(units)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
-    spark = vectors.sparkSession
-    units = unit_vectors(vectors)
-    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    rows = units.count()
-    if not rows:
-        return every.select("vec_id", *alone, F.lit(True).alias("kept"))
+def _placed(units: DataFrame, recall: float, threshold: float) -> tuple[DataFrame, int]:
+    """``vec_id, copies, x, n, own, probes`` of vectors of one length, and the rows of a block."""
     index, probes = build(units, recall, threshold)
-    block = WHOLE_BLOCK if len(index.first) * len(index.second) == 1 else BLOCK
-    sent = spark.sparkContext.broadcast((index.first, index.second, probes))
+    sent = units.sparkSession.sparkContext.broadcast((index.first, index.second, probes))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second, n = sent.value
@@ -194,26 +188,51 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             x = _matrix(batch["x"].to_pandas())
             if len(x):
                 yield pa.RecordBatch.from_arrays(
-                    [batch["vec_id"], batch["x"], pa.array(index.cells(x)), pa.array(list(index.nearest(x, n)), pa.list_(pa.int64()))],
-                    ["vec_id", "x", "own", "probes"],
+                    [batch["vec_id"], batch["copies"], batch["x"], pa.array(index.cells(x)), pa.array(list(index.nearest(x, n)), pa.list_(pa.int64()))],
+                    ["vec_id", "copies", "x", "own", "probes"],
                 )
 
-    placed = written(units.mapInArrow(dealt, "vec_id long, x array<double>, own long, probes array<long>"), "cells")
+    placed = units.mapInArrow(dealt, "vec_id long, copies long, x array<double>, own long, probes array<long>")
+    one_cell = len(index.first) * len(index.second) == 1
+    return placed.withColumn("n", F.size("x")), WHOLE_BLOCK if one_cell else BLOCK
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
+    vectors_ = unit_vectors(vectors)
+    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+    rows = vectors_.count()
+    if not rows:
+        return every.select("vec_id", *alone, F.lit(True).alias("kept"))
+    units = vectors_.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    units = written(units.select("vec_id", "copies", "x"), "ones", rows)
+    # lengths with more vectors than a block get an index each; the others share the plan of one cell
+    lengths = units.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("c"))
+    large = [r["n"] for r in lengths.where(F.col("c") > WHOLE_BLOCK).orderBy("n").collect()]
+    parts = [_placed(units.where(F.size("x") == n), recall, threshold) for n in large]
+    few = units.where(~F.size("x").isin(large)) if large else units
+    few = few.withColumns({"own": F.lit(0).cast("long"), "probes": F.array(F.lit(0).cast("long")), "n": F.size("x")})
+    placed = few.withColumn("block", F.lit(WHOLE_BLOCK))
+    for part, block in parts:
+        placed = placed.unionByName(part.withColumn("block", F.lit(block)))
+    placed = written(placed, "cells")
     stored = placed.withColumns({"cell": F.col("own"), "asks": F.lit(False)})
     asking = placed.withColumns({"cell": F.explode("probes"), "asks": F.lit(True)})
     sizes = (
-        placed.select(F.col("own").alias("cell"), F.lit(1).alias("s"), F.lit(0).alias("a"))
-        .union(placed.select(F.explode("probes"), F.lit(0), F.lit(1)))
-        .groupBy("cell")
+        placed.select("n", "block", F.col("own").alias("cell"), F.lit(1).alias("s"), F.lit(0).alias("a"))
+        .union(placed.select("n", "block", F.explode("probes"), F.lit(0), F.lit(1)))
+        .groupBy("n", "block", "cell")
         .agg(F.sum("s").alias("s"), F.sum("a").alias("a"))
         .where("s > 0 and a > 0")
     )
-    # a cell's row count is bounded by the grid: at most 256 x 256
-    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("s") / block).cast("int").alias("ns"), F.ceil(F.col("a") / block).cast("int").alias("na")))
+    # one row a cell that holds a vector: for each length, at most as many as the grid has, CODES[1] squared
+    parts_of = lambda c: F.ceil(F.col(c) / F.col("block")).cast("int")
+    sizes = F.broadcast(sizes.select("n", "cell", parts_of("s").alias("ns"), parts_of("a").alias("na")))
     spot = F.xxhash64("vec_id", "cell")
-    stored = stored.join(sizes, "cell").withColumns({"i": F.pmod(spot, F.col("ns")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
-    asking = asking.join(sizes, "cell").withColumns({"j": F.pmod(spot, F.col("na")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("ns") - 1))})
-    met = stored.drop("ns", "na").unionByName(asking.drop("ns", "na"))
+    stored = stored.join(sizes, ["n", "cell"]).withColumns({"i": F.pmod(spot, F.col("ns")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("na") - 1))})
+    asking = asking.join(sizes, ["n", "cell"]).withColumns({"j": F.pmod(spot, F.col("na")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("ns") - 1))})
+    met = stored.drop("ns", "na", "block").unionByName(asking.drop("ns", "na", "block"))
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         here = rows[~rows["asks"]].sort_values("vec_id", ignore_index=True)
@@ -234,17 +253,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             twice = (probes[i] == own[j][:, None]).any(1) if len(i) else np.zeros(0, bool)
             use = ~twice | (b[j] < a[i])
             i, j = i[use], j[use]
-            for ids, at in ((a, i), (b, j)):
-                for p, c in zip(*np.unique(at, return_counts=True), strict=True):
-                    counts[int(ids[p])] = counts.get(int(ids[p]), 0) + int(c)
+            for ids, at, other in ((a, i, there["copies"].to_numpy()[j]), (b, j, here["copies"].to_numpy()[i])):
+                sums = np.bincount(at, weights=other, minlength=len(ids))
+                for p in np.flatnonzero(sums):
+                    counts[int(ids[p])] = counts.get(int(ids[p]), 0) + int(sums[p])
             for u, v in zip(a[i].tolist(), b[j].tolist(), strict=True):
                 u, v = find(u), find(v)
                 root[max(u, v)] = min(u, v)
         return pd.DataFrame({"vec_id": list(counts), "links": list(counts.values()), "root": [find(u) for u in counts]}, dtype="int64")
 
-    found = written(met.groupBy("cell", "i", "j").applyInPandas(verify, "vec_id long, links long, root long"), "links", rows, shuffled=False)
+    found = written(met.groupBy("n", "cell", "i", "j").applyInPandas(verify, "vec_id long, links long, root long"), "links", rows, shuffled=False)
     sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("root").alias("u"), F.col("vec_id").alias("v")), rows)
-    out = every.join(sums, "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    table = units.join(sums, "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
+    table = table.select("x", "copies", links, F.coalesce("component", "vec_id").alias("component_id"))
+    hot = table.where(F.col("copies") > F.lit(max(HOT_SHARE * rows, 8.0)))
+    linked = joined(vectors_, table, hot, "x").select("vec_id", "n_links", "component_id")
+    out = every.join(linked, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -73,6 +73,34 @@ def test_rare_near_copies_are_found(spark):
     assert (got == want).all() and want.sum() == 24
 
 
+def test_rare_links_and_lengths(spark, monkeypatch):
+    """One vector in a hundred has partners, and lengths are mixed: few of one length, an index of another."""
+    monkeypatch.setattr(neardup, "WHOLE_BLOCK", 500)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([_pairs(rng, 60, 0.92), rng.normal(size=(11_880, 64))])
+    short = _pairs(rng, 20, 0.93)[:, :40]
+    short = np.concatenate([short, short[:5]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50_000 + i, v.tolist()) for i, v in enumerate(short)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).toPandas().sort_values("vec_id")
+    found = 0
+    for part, have in ((x, got.n_links[:12_000]), (short, got.n_links[12_000:])):
+        u = part.astype(np.float32).astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        link = u @ u.T >= 0.9
+        np.fill_diagonal(link, False)
+        assert (have.to_numpy() <= link.sum(1)).all() and have.sum() >= 0.99 * link.sum() > 0
+        found += have.sum()
+    assert found >= 120
+
+
+def test_a_vector_of_many_rows(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=64)
+    x = np.concatenate([np.tile(one, (700, 1)), [one * 2, one + 0.01], rng.normal(size=(800, 64))])
+    got, want = _linked(spark, x)
+    assert (got == want).all() and got[:702].tolist() == [701] * 702
+
+
 def test_all_pairs_where_probes_do_not_reach(spark, monkeypatch):
     monkeypatch.setattr(neardup, "DEEP", 5)
     monkeypatch.setattr(neardup, "WHOLE_BLOCK", 700)
