@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 DIMENSIONS, GRAM = 1024, 3
-#: Letters are told apart by this many codes; 0 stands for all that is no letter.
-CODES = 128
+#: Letters are their code points; 0 stands for a run of all that is no letter.
+POINTS = 0x110000
+#: Up to so many possible n-grams are counted in a table, more are sorted.
+TABLE = 1 << 22
 #: About so many rows of each language at most, those with the smallest seeded hashes, form its prototype.
 SAMPLE_ROWS = 6_000
 #: Rows and letters that a task bundles at once.
@@ -32,24 +34,23 @@ ROWS, LETTERS = 256, 2_000_000
 
 class Profiles:
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        letters = rng.choice(np.array([-1, 1], dtype=np.int8), size=(CODES, dimensions))
-        #: The vectors of each code at each place of an n-gram.
-        self.placed = [np.roll(letters, GRAM - 1 - i, axis=1) for i in range(GRAM)]
-        self.dimensions = dimensions
-        # the code of each character: by its number for ASCII, spread over the rest by a multiplier for others
-        table = np.zeros(0x110000, dtype=np.uint8)
-        for c in range(0x30000):
-            if (0xD800 <= c <= 0xDFFF) or not chr(c).isalpha():
-                continue
-            table[c] = c if c < CODES else 1 + (c * 37) % 64
-        self.table = table
+        self.dimensions, self.seed = dimensions, seed
+        self.letter = np.fromiter((chr(c).isalpha() for c in range(POINTS)), dtype=bool, count=POINTS)
+        self.place = np.zeros(POINTS, dtype=np.int64)
+        self.vectors: dict[int, np.ndarray] = {}
+
+    def vector(self, code: int) -> np.ndarray:
+        """The letter's own random vector, of any script."""
+        if code not in self.vectors:
+            self.vectors[code] = np.random.default_rng([self.seed, code]).choice(np.array([-1, 1], dtype=np.int8), size=self.dimensions)
+        return self.vectors[code]
 
     def codes(self, text: str | None) -> np.ndarray:
-        """Codes of the text's letters in lower case; a run of other characters is one 0."""
-        got = self.table[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
+        """Code points of the text's letters in lower case; a run of other characters is one 0."""
+        got = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+        got = np.where(self.letter[got], got, 0)
         if not got.any():
-            return got[:0]
+            return got[:0].astype(np.int64)
         got = np.concatenate([[0], got, [0]])
         return got[np.concatenate([[True], (got[1:] != 0) | (got[:-1] != 0)])].astype(np.int64)
 
@@ -58,25 +59,44 @@ class Profiles:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         lo = 0
         while lo < len(texts):
-            grams, sizes = [], []
-            while lo + len(sizes) < len(texts) and len(sizes) < ROWS and sum(map(len, grams)) < LETTERS:
-                c = self.codes(texts[lo + len(sizes)])
-                grams.append(c[:-2] * CODES * CODES + c[1:-1] * CODES + c[2:] if len(c) >= GRAM else c[:0])
-                sizes.append(len(grams[-1]))
-            flat = np.concatenate(grams)
-            seen = np.flatnonzero(np.bincount(flat, minlength=CODES**3))
-            place = np.zeros(CODES**3, np.int32)
-            place[seen] = np.arange(len(seen))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            for at in range(0, len(seen), 16384):
-                part = seen[at : at + 16384]
-                vectors = (self.placed[0][part // CODES**2] * self.placed[1][part // CODES % CODES] * self.placed[2][part % CODES]).astype(np.float32)
-                here = (place[flat] >= at) & (place[flat] < at + len(part)) if len(seen) > 16384 else slice(None)
-                counts = np.bincount(row[here] * len(part) + place[flat[here]] - at, minlength=len(sizes) * len(part))
-                out[lo : lo + len(sizes)] += counts.reshape(len(sizes), len(part)).astype(np.float32) @ vectors
-            lo += len(sizes)
+            rows: list[np.ndarray] = []
+            while lo + len(rows) < len(texts) and len(rows) < ROWS and sum(map(len, rows)) < LETTERS:
+                rows.append(self.codes(texts[lo + len(rows)]))
+            self._add(rows, out[lo : lo + len(rows)])
+            lo += len(rows)
         return out
 
+    def _add(self, rows: list[np.ndarray], out: np.ndarray) -> None:
+        """Adds the bundles of some texts' n-grams."""
+        seen = np.zeros(POINTS, dtype=bool)
+        for c in rows:
+            seen[c] = True
+        letters = np.flatnonzero(seen)
+        size = len(letters)
+        if not size:
+            return
+        self.place[letters] = np.arange(size)
+        table = np.stack([self.vector(int(c)) for c in letters])
+        placed = [np.roll(table, GRAM - 1 - i, axis=1) for i in range(GRAM)]
+        grams = []
+        for c in rows:
+            d = self.place[c]
+            grams.append(d[:-2] * size * size + d[1:-1] * size + d[2:] if len(d) >= GRAM else d[:0])
+        flat, row = np.concatenate(grams), np.repeat(np.arange(len(rows)), list(map(len, grams)))
+        if size**GRAM <= TABLE:
+            kinds = np.flatnonzero(np.bincount(flat, minlength=size**GRAM))
+            number = np.zeros(size**GRAM, np.int64)
+            number[kinds] = np.arange(len(kinds))
+            flat = number[flat]
+        else:
+            kinds, flat = np.unique(flat, return_inverse=True)
+        for at in range(0, len(kinds), 16384):
+            part = kinds[at : at + 16384]
+            vectors = (placed[0][part // size**2] * placed[1][part // size % size] * placed[2][part % size]).astype(np.float32)
+            here = (flat >= at) & (flat < at + len(part)) if len(kinds) > 16384 else slice(None)
+            counts = np.bincount(row[here] * len(part) + flat[here] - at, minlength=len(rows) * len(part))
+            out += counts.reshape(len(rows), len(part)).astype(np.float32) @ vectors
+
 
 _profiles: list[Profiles] = []
 
