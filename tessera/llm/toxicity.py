@@ -6,7 +6,7 @@ labels: the gradient of the noisy-or passes their error to the sentences. Senten
 the offending ones.
 
 Edge cases: a null or empty text has no sentence and scores 0; null labels and labels without a document
-are not learned from; repeated rows each get their row; without any labelled row every score is 0; other
+are not learned from; of rows that repeat a labelled id, the greatest text is; repeated rows each get their row; without any labelled row every score is 0; other
 columns don't matter; an empty table gives an empty result.
 """
 
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import remainder
 
-#: The fit takes about so many labelled rows of each label at most, those with the smallest seeded hashes.
-SAMPLE_ROWS = 3_000
+#: The fit takes about so many labelled documents of each label at most, those with the smallest seeded hashes, with
+#: texts up to so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 200_000
 #: Words of at least so many sampled documents get a weight; at most so many words.
 LEAST_DOCS, MOST_WORDS = 4, 60_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -36,44 +37,56 @@ def features(word: str) -> tuple[str, ...]:
     return (word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k))
 
 
-class _Words(dict):
-    """Weights of words as they occur, ends trimmed, summed over their features; remembered for a while."""
+class _Kept(dict):
+    """Results of a function of words, remembered for a while."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, compute):
         super().__init__()
-        self.weights = weights
+        self.compute = compute
 
-    def __missing__(self, raw: str) -> float:
+    def __missing__(self, word: str):
         if len(self) > 150_000:
             self.clear()
-        word = raw.strip(_TRIM)
-        got = self[raw] = sum(self.weights.get(f, 0.0) for f in features(word)) if word else 0.0
+        got = self[word] = self.compute(word)
         return got
 
 
-def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
-    """Start, end and distinct lower-case words of each sentence that has a word."""
+def _trimmed(word: str) -> str:
+    return word.strip(_TRIM)
+
+
+def lowered(text: str | None) -> str:
+    """The text in lower case; a letter that would become several stays, so that places stay the same."""
+    low = (text or "").lower()
+    if len(low) != len(text or ""):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def sentences(text: str | None, trimmed: dict | None = None) -> list[tuple[int, int, set[str]]]:
+    """Start, end and distinct words of each sentence that has a word: what the fit and the score both see."""
+    get = _trimmed if trimmed is None else trimmed.__getitem__
     out = []
-    for m in _SENTENCE.finditer(text or ""):
-        words = {w.strip(_TRIM) for w in m[0].lower().split()}
+    for m in _SENTENCE.finditer(lowered(text)):
+        words = set(map(get, m[0].split()))
         words.discard("")
         if words:
-            out.append((m.start(), m.end(), list(words)))
+            out.append((m.start(), m.end(), words))
     return out
 
 
 class NoisyOr:
-    """Word weights and the sentence bias."""
+    """Feature weights and the sentence bias. A sentence adds up its distinct words, a word its features."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.words = weights, bias, _Words(weights)
+        self.weights, self.bias = weights, bias
+        self.trimmed = _Kept(_trimmed)
+        self.words = _Kept(lambda word: sum(weights.get(f, 0.0) for f in features(word)))
 
     def score(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
         """The document's probability, its number of sentences, and spans of the offending ones."""
-        get, bias, low = self.words.__getitem__, self.bias, (text or "").lower()
-        if len(low) != len(text or ""):  # a letter that grows in lower case would shift the spans
-            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        parts = [(m.start(), m.end(), bias + sum(map(get, words))) for m in _SENTENCE.finditer(low) if (words := set(m[0].split()))]
+        get, bias = self.words.__getitem__, self.bias
+        parts = [(s, e, bias + sum(map(get, words))) for s, e, words in sentences(text, self.trimmed)]
         if not parts:
             return 0.0, 0, []
         z = np.array([p[2] for p in parts])
@@ -93,7 +106,7 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, epochs: int = 30, l2: flo
     # for each document: its sentences' features end to end, and how many each sentence has
     flats, sizes = [], []
     for text in texts:
-        rows = [sorted({at[f] for word in s[2] for f in features(word) if f in at}) for s in sentences(text)]
+        rows = [sorted(at[f] for word in s[2] for f in features(word) if f in at) for s in sentences(text)]
         flats.append(np.array([i for r in rows for i in r], dtype=np.int32))
         sizes.append(np.array([len(r) for r in rows], dtype=np.int32))
     rng = np.random.default_rng(seed)
@@ -126,7 +139,7 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, epochs: int = 30, l2: flo
             fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
             w -= lr * (m / fix) / (np.sqrt(v / fix2) + 1e-4)
             b -= lr * (mb / fix) / (np.sqrt(vb / fix2) + 1e-4)
-    return NoisyOr({x: float(w[i]) for x, i in at.items() if abs(w[i]) > 0.2}, float(b))
+    return NoisyOr({x: float(w[i]) for x, i in at.items()}, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 7, sample_rows: int = SAMPLE_ROWS) -> NoisyOr:
@@ -137,10 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 7, sample_rows: int =
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") > 0, sample_rows / max(totals.get(True, 0), 1)).otherwise(sample_rows / max(totals.get(False, 0), 1))
     picked = known.where(draw < share).withColumnRenamed("doc_id", "_id")
-    # rows that lack a label never shuffle their texts: the picked ids are few by construction
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
-    return fit_noisy_or([t or "" for t in rows["text"]], (rows["toxic"].to_numpy() > 0).astype(float))
+    # rows that lack a label never shuffle their texts: the picked ids are few by construction, and each gives one text
+    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.max("text").alias("text"))
+    rows = rows.toPandas().sort_values("_id", ignore_index=True)
+    return fit_noisy_or(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(float))
 
 
 def score_documents(docs: DataFrame, model: NoisyOr) -> DataFrame:
