@@ -2,7 +2,8 @@
 
 Plain patterns give base spans. Base64 and hex candidates are decoded and confirmed by structure: PEM
 blocks and bare DER by nested lengths that add up, SSH keys by their length-prefixed fields, signed tokens
-by a JSON header that names an algorithm and a JSON object behind it. Only what parses is reported.
+by a JSON header that names a signing algorithm, a JSON object behind it, and a signature. Only what parses is
+reported; an encrypted key can't be parsed, so its block needs a header with cipher and start value.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows each get their row; other
 columns don't matter; an empty table gives an empty result. Spans count code points, end exclusive.
@@ -26,9 +27,11 @@ _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: An armoured block: its kind, header lines, and body.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_CIPHER = re.compile(r"^DEK-Info: *[A-Z0-9-]+, *(?:[0-9A-Fa-f]{2}){8,}\s*$", re.MULTILINE)
 #: A JSON object in base64 begins with these letters, whether a quote or white space follows the brace.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])")
 
@@ -92,12 +95,20 @@ def is_ssh(raw: bytes) -> bool:
 
 
 def is_token(header: str, payload: str) -> bool:
-    """Whether a signed token's first two parts are JSON objects and the first names its algorithm."""
+    """Whether a signed token's first two parts are JSON objects and the first names its algorithm (one that signs)."""
     try:
         parts = [json.loads(decoded(x) or b"") for x in (header, payload)]
     except (ValueError, RecursionError):
         return False
-    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
+    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str) and parts[0]["alg"].lower() != "none"
+
+
+def is_armoured(header: str, body: str) -> bool:
+    """Whether an armoured block holds a key: its encoding parses, or its header names a cipher and the body is whole blocks."""
+    raw = decoded(body)
+    if not raw:
+        return False
+    return is_der(raw) or is_ssh(raw) or ("ENCRYPTED" in header and _CIPHER.search(header) is not None and len(raw) % 8 == 0)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -113,10 +124,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            raw = decoded(m[2])
-            if raw and (is_der(raw) or is_ssh(raw)):
-                out.append(("pem", m.start(), m.end()))
+        out += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if is_armoured(m[2], m[3])]
     out += [("jwt", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_token(m[1], m[2])]
     inside = lambda a, b: any(s <= a and b <= e for _, s, e in out)
     for m in _BASE64.finditer(text):
