@@ -26,6 +26,8 @@ MARK = "▁"
 KEPT_WORDS, KEPT_LENGTH = 120_000, 64
 KEPT_PAIRS = 500_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Texts that other settings than those assumed here would encode otherwise.
+_PROBES = ("a  b", " a b ", "a\tb\n", "\uff46\ufb01 \u212b", "e\u0301 \u00e9", "A \u3000b", "", "low lower")
 
 
 class _Chunks(dict):
@@ -77,6 +79,10 @@ class PieceCodec:
             self.machine.add_word(p, (len(p), i))
         self.machine.make_automaton()
         self.chunks = _Chunks(self._chunk)
+        # texts are taken as they are, with a mark in front and for each space; a model that changes them is refused
+        for probe in _PROBES:
+            if self.encode(probe) != sp.encode(probe, add_eos=True):
+                raise ValueError(f"the model of {model_path} is not of merge type, or normalises texts")
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short text, best score first, the leftmost of equals; used to test pairs."""
