@@ -4,9 +4,9 @@ Documents are added up by membership pattern (the set of sources that hold them)
 patterns' tokens to the sources' quotas with a cost that rises with every repetition, and each pattern's
 share is then taken from its documents in a seeded order. Only one row a pattern reaches the driver.
 
-Edge cases: a null text has size 0 and is never taken; null sources form a source of their own, last in
-order; a row in no source at all (empty array) is not taken; repeated rows are separate documents, told
-apart by their content and a number among equals; an empty table gives an empty result.
+Edge cases: a null text has size 0, so no words of it are taken (``mixed_copies`` keeps such rows once); null
+sources form a source of their own, last in order; a row in no source at all (empty array) is not taken; repeated
+rows are separate documents, any of which may be taken first, as they are equal; an empty table gives an empty result.
 """
 
 from __future__ import annotations
