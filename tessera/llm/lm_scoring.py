@@ -3,11 +3,14 @@
 A fixed subword vocabulary with unigram scores spans a lattice over every word; the forward
 recursion in log space adds up all segmentations, so a word's probability is marginal over them.
 The scores start from the vocabulary's own ranks and are re-estimated by expectation maximisation on
-the distinct training words. Words seen in training form one more arc of their lattice, with an
-absolutely discounted count; what the discount frees goes to the subword arcs.
+all training words, by their counts. Any character may also be spelled, at a cost that all characters share,
+so every word has a probability, and those of all words add up to one; so do those of all documents.
+
+``score`` is this marginal probability. ``score_words`` mixes each word's with its absolutely discounted
+training count: what the discount frees goes to the lattice.
 
 Edge cases: a null text counts as empty (one end token); a null id as the empty id text; repeated
-rows each get their row; characters outside the vocabulary are spelled in bytes; an empty table gives
+rows each get their row; characters outside the vocabulary are spelled; an empty table gives
 an empty result; without training rows, only the vocabulary's own scores weigh.
 """
 
@@ -26,22 +29,26 @@ from pyspark.sql import functions as F
 from .common import remainder, written
 
 MARK = "▁"
-#: Words with at least this share of the training tokens go to every task; there are at most 1/share.
+#: Words with at least this share of all tokens, held out or not, go to every task; there are at most 1/share.
 HEAVY_SHARE = 2e-6
+#: Characters that a word can hold: all but surrogates, six kinds of white space, and A to Z, which are lowered.
+CHARACTERS = 0x110000 - 0x800 - 6 - 26
+_NEVER = set("\x20\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: A task hands on its word counts whenever it holds so many distinct words.
 HELD_WORDS = 300_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
-    """Pieces and log weights of a sentencepiece model; ranks become weights by Zipf's law."""
+    """Pieces that words can hold, and log weights of a sentencepiece model; ranks become weights by Zipf's law."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     out = []
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and MARK not in piece[1:]:
+        plain = not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))
+        if plain and MARK not in piece[1:] and _NEVER.isdisjoint(piece):
             out.append((piece, -math.log(i + 3)))
     return out
 
@@ -49,12 +56,13 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
 class Lattice:
     """Log weights of pieces, found by rolling hashes; whole batches of words at once.
 
-    ``first`` holds pieces that begin a word (their mark dropped), ``rest`` those inside one. A word is
-    a first piece, then rest pieces or bytes, then a stop; so all words' probabilities add up to one.
+    ``first`` holds pieces that begin a word (their mark dropped), ``rest`` those inside one. A word is a first
+    piece, then rest pieces or spelled characters, then a stop; or a bare mark, and at least one of the latter before
+    the stop. So all words' probabilities add up to one. ``spell`` is the log weight of one spelled character.
     """
 
-    def __init__(self, pieces: list[str], weights: np.ndarray, byte: float, stop: float):
-        self.pieces, self.weights, self.byte, self.stop = pieces, weights, byte, stop
+    def __init__(self, pieces: list[str], weights: np.ndarray, spell: float, stop: float, characters: int = CHARACTERS):
+        self.pieces, self.weights, self.spell, self.stop, self.characters = pieces, weights, spell, stop, characters
         self.longest = max([1, *(len(p.removeprefix(MARK)) for p in pieces)])
         self.tables = []
         for first in (True, False):
@@ -67,23 +75,24 @@ class Lattice:
         self.mark = pieces.index(MARK) if MARK in pieces else None
 
     @classmethod
-    def start(cls, vocab: list[tuple[str, float]]) -> Lattice:
+    def start(cls, vocab: list[tuple[str, float]], characters: int = CHARACTERS) -> Lattice:
         pieces = [p for p, _ in vocab]
         if MARK not in pieces:
             pieces.append(MARK)
         weights = np.array([w for _, w in vocab] + [-math.log(len(pieces) + 3)] * (len(pieces) - len(vocab)))
-        return cls(pieces, *cls._normalised(pieces, np.exp(weights), 1e-4, 0.3))
+        return cls(pieces, *cls._normalised(pieces, np.exp(weights), 1e-4, 0.3, characters), characters)
 
     @staticmethod
-    def _normalised(pieces: list[str], mass: np.ndarray, byte: float, words: float) -> tuple[np.ndarray, float, float]:
+    def _normalised(pieces: list[str], mass: np.ndarray, spelled: float, words: float, characters: int) -> tuple[np.ndarray, float, float]:
         first = np.array([p.startswith(MARK) for p in pieces])
         top = mass[first].sum()
-        rest = mass[~first].sum() + byte + words
-        return np.log(np.where(first, mass / top, mass / rest)), math.log(byte / rest / 256), math.log(words / rest)
+        rest = mass[~first].sum() + spelled + words
+        return np.log(np.where(first, mass / top, mass / rest)), math.log(spelled / rest / characters), math.log(words / rest)
 
-    def refitted(self, counts: np.ndarray, byte: float, words: float) -> Lattice:
+    def refitted(self, counts: np.ndarray, spelled: float, words: float) -> Lattice:
         """The model with weights in proportion to expected counts, every piece smoothed a little."""
-        return Lattice(self.pieces, *self._normalised(self.pieces, counts + 0.01, byte + 0.1, words + 1.0))
+        fitted = self._normalised(self.pieces, counts + 0.01, spelled + 0.1, words + 1.0, self.characters)
+        return Lattice(self.pieces, *fitted, self.characters)
 
     @staticmethod
     def _mix(codes: np.ndarray) -> np.ndarray:
@@ -108,8 +117,11 @@ class Lattice:
         hit = known[spot] == hashes[at]
         return at[hit], ids[spot[hit]]
 
-    def _arcs(self, codes: np.ndarray) -> tuple[list, np.ndarray]:
-        """Log weights [length][word, start] of all arcs, with what each arc is, for words of one length."""
+    def _arcs(self, codes: np.ndarray) -> tuple[list, list]:
+        """Log weights [length][word, start] of all arcs, with what each arc is, for words of one length.
+
+        The second list holds those that follow a bare mark. Arcs of one character add up its piece and its spelling.
+        """
         n, size = codes.shape
         mixed = self._mix(codes)
         arcs, h = [], None
@@ -124,23 +136,25 @@ class Lattice:
             at, which = self._find(np.ascontiguousarray(h[:, 0]), 0)
             w[at, 0], ids[at, 0] = self.weights[which], which
             arcs.append((w, ids))
-        width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
-        # behind a bare mark, the word's first character begins a rest piece
+        # behind a bare mark, the word's first character begins a rest piece; the stop can't be next
         bare = []
         if self.mark is not None:
+            begin = self.weights[self.mark] - math.log1p(-math.exp(self.stop))
             h = None
             for k in range(1, min(self.longest, size) + 1):
                 h = mixed[:, 0].copy() if h is None else h * _B + mixed[:, k - 1]
                 w, ids = np.full(n, -np.inf), np.full(n, -1, dtype=np.int32)
                 at, which = self._find(h, 1)
-                w[at], ids[at] = self.weights[which] + self.weights[self.mark], which
+                w[at], ids[at] = self.weights[which] + begin, which
                 bare.append((w, ids))
-            unknown = bare[0][1] < 0
-            bare[0][0][unknown] = self.weights[self.mark] + width[unknown, 0] * self.byte
-        w, ids = arcs[0]
-        unknown = ids[:, 1:] < 0
-        w[:, 1:][unknown] = width[:, 1:][unknown] * self.byte
-        return arcs, (width, bare)
+            bare[0] = (np.logaddexp(bare[0][0], begin + self.spell), bare[0][1])
+        arcs[0][0][:, 1:] = np.logaddexp(arcs[0][0][:, 1:], self.spell)
+        return arcs, bare
+
+    def _spelled(self, ids: np.ndarray) -> np.ndarray:
+        """Share of an arc of one character that is its spelling."""
+        known = np.where(ids >= 0, self.weights[np.maximum(ids, 0)], -np.inf)
+        return np.exp(self.spell - np.logaddexp(known, self.spell))
 
     @staticmethod
     def _logsum(terms: np.ndarray) -> np.ndarray:
@@ -173,37 +187,43 @@ class Lattice:
         """Natural log of each word's marginal probability; 0 for the empty word."""
         out = np.zeros(len(words))
         for part, codes in self._batches(words):
-            arcs, (_, bare) = self._arcs(codes)
+            arcs, bare = self._arcs(codes)
             out[part] = self._forward(arcs, bare, *codes.shape)[-1] + self.stop
         return out
 
-    def expected(self, words: list[str]) -> tuple[np.ndarray, float, float]:
-        """Expected uses of each piece, of bytes and of words over all segmentations of ``words``."""
-        counts, byte, total = np.zeros(len(self.pieces)), 0.0, 0
-        for _, codes in self._batches(words):
+    def expected(self, words: list[str], times: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
+        """Expected uses of each piece, of spellings and of words over all segmentations of ``words``, each taken ``times``."""
+        times = np.ones(len(words)) if times is None else times
+        counts, spelled, total = np.zeros(len(self.pieces)), 0.0, 0.0
+        for part, codes in self._batches(words):
             n, size = codes.shape
-            arcs, (width, bare) = self._arcs(codes)
+            arcs, bare = self._arcs(codes)
             alpha = self._forward(arcs, bare, n, size)
             beta = np.full((size + 1, n), -np.inf)
             beta[size] = 0.0
             for i in range(size - 1, 0, -1):
                 beta[i] = self._logsum(np.array([beta[i + k] + arcs[k - 1][0][:, i] for k in range(1, min(len(arcs), size - i) + 1)]))
-            whole = alpha[size]
+            whole, c = alpha[size], times[part]
             for k, (w, ids) in enumerate(arcs, 1):
-                post = np.exp(alpha[: size - k + 1].T + w + beta[k:].T - whole[:, None])
-                known = ids >= 0
-                counts += np.bincount(ids[known], weights=post[known], minlength=len(counts))
+                post = np.exp(alpha[: size - k + 1].T + w + beta[k:].T - whole[:, None]) * c[:, None]
                 if k == 1:
-                    byte += float((post * width * ~known)[:, 1:].sum())
-            for k, (w, ids) in enumerate(bare, 1):
-                post = np.exp(w + beta[k] - whole)
+                    spelling = self._spelled(ids)
+                    spelling[:, 0] = 0.0
+                    spelled += float((post * spelling).sum())
+                    post = post * (1 - spelling)
                 known = ids >= 0
                 counts += np.bincount(ids[known], weights=post[known], minlength=len(counts))
+            for k, (w, ids) in enumerate(bare, 1):
+                post = np.exp(w + beta[k] - whole) * c
                 counts[self.mark] += post.sum()
                 if k == 1:
-                    byte += float((post * width[:, 0] * ~known).sum())
-            total += n
-        return counts, byte, float(total)
+                    spelling = self._spelled(ids)
+                    spelled += float((post * spelling).sum())
+                    post = post * (1 - spelling)
+                known = ids >= 0
+                counts += np.bincount(ids[known], weights=post[known], minlength=len(counts))
+            total += c.sum()
+        return counts, spelled, float(total)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -226,55 +246,51 @@ def _runs(values: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.nda
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, c)``: all distinct words (UTF-8) and the end (empty), with their training counts."""
+    """``(word, c, u)``: all distinct words (UTF-8) and the end (empty), with their counts in training rows and in all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, other = Counter(), set()
+        train, other = Counter(), Counter()
 
         def flushed() -> pa.RecordBatch:
             names = [*train, *(w for w in other if w not in train)]
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([train[w] for w in names], pa.int64())], ["word", "c"])
+            columns = [pa.array(names, pa.binary()), pa.array([train[w] for w in names], pa.int64()), pa.array([train[w] + other[w] for w in names], pa.int64())]
             train.clear()
             other.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, ["word", "c", "u"])
 
         for batch in batches:
             for text, held in zip(batch["text"], batch["held_out"], strict=True):
-                words = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split()
-                if held.as_py():
-                    other.update(words)
-                    other.add(b"")
-                else:
-                    train.update(words)
-                    train[b""] += 1
+                here = other if held.as_py() else train
+                here.update((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split())
+                here[b""] += 1
                 if len(train) + len(other) > HELD_WORDS:
                     yield flushed()
         yield flushed()
 
     rows = docs.select(F.col("text").cast("binary").alias("text"), "held_out")
-    return rows.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(count, "word binary, c long, u long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("u").alias("u"))
 
 
 def fit(words: DataFrame, vocab: list[tuple[str, float]], rounds: int = 3) -> Lattice:
-    """Re-estimates the vocabulary's scores on all distinct training words.
+    """Re-estimates the vocabulary's scores on all training words; a distinct one is segmented once, and counts as often as it occurs.
 
     Each round sums expected piece counts per task in Spark; only one row a piece comes to the driver.
     """
     spark, model = words.sparkSession, Lattice.start(vocab)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((model.pieces, model.weights, model.byte, model.stop))
+        sent = spark.sparkContext.broadcast((model.pieces, model.weights, model.spell, model.stop))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*sent.value)
             total = np.zeros(len(lattice.pieces) + 2)
             for batch in _gathered(batches):
                 texts = [w.decode() for w in batch["word"].to_pylist()]
-                counts, byte, n = lattice.expected(texts)
-                total += np.concatenate([counts, [byte, n]])
+                counts, spelled, n = lattice.expected(texts, batch["c"].to_numpy().astype(float))
+                total += np.concatenate([counts, [spelled, n]])
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.float64())], ["piece", "uses"])
 
-        got = words.where("c > 0 and length(word) > 0").select("word").mapInArrow(expect, "piece int, uses double")
+        got = words.where("c > 0 and length(word) > 0").select("word", "c").mapInArrow(expect, "piece int, uses double")
         rows = got.groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         total = np.zeros(len(model.pieces) + 2)
         total[rows["piece"].to_numpy(dtype=np.int64)] = rows["uses"].to_numpy()
@@ -285,7 +301,7 @@ def fit(words: DataFrame, vocab: list[tuple[str, float]], rounds: int = 3) -> La
 
 
 def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFrame:
-    """Every document's log10 probability and its add-one base score.
+    """Every document's log10 probability (``score`` and ``score_words``) and its add-one base score.
 
     ``docs`` needs ``doc_id``, ``text`` and ``held_out``; other columns are ignored. Frequent words (at
     most ``1 / HEAVY_SHARE``) are scored where the document is read; the rest meet the table of all
@@ -294,14 +310,14 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFr
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "held_out")
     words = written(word_counts(docs), "words")
-    n, v, ends, ones, twos = (
+    n, v, every, ends, ones, twos = (
         x or 0
         for x in words.agg(
-            F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(F.length("word") == 0, F.col("c"))), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+            F.sum("c"), F.count_if(F.col("c") > 0), F.sum("u"), F.sum(F.when(F.length("word") == 0, F.col("c"))), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
         ).first()
     )
     model = fit(words, vocab=vocabulary(model_path), rounds=rounds)
-    sent = spark.sparkContext.broadcast((model.pieces, model.weights, model.byte, model.stop))
+    sent = spark.sparkContext.broadcast((model.pieces, model.weights, model.spell, model.stop))
     tokens, types = n - ends, v - (ends > 0)
     discount = min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
     free = math.log(discount * types / tokens) if tokens else 0.0
@@ -310,19 +326,19 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFr
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
         for batch in _gathered(batches):
-            sub = lattice.score([w.decode() for w in batch["word"].to_pylist()]) + free
+            sub = lattice.score([w.decode() for w in batch["word"].to_pylist()])
             c = batch["c"].to_numpy()
             with np.errstate(divide="ignore"):
-                full = np.logaddexp(sub, np.log(np.maximum(c - discount, 0.0) / max(tokens, 1))) + math.log1p(-end)
+                full = np.logaddexp(sub + free, np.log(np.maximum(c - discount, 0.0) / max(tokens, 1)))
             is_end = np.array([not w for w in batch["word"].to_pylist()], dtype=bool)
-            full[is_end] = math.log(end)
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(full / math.log(10))], ["word", "c", "logp"])
+            logs = [pa.array(np.where(is_end, math.log(end), x + math.log1p(-end)) / math.log(10)) for x in (sub, full)]
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], batch["u"], *logs], ["word", "c", "u", "logp", "logw"])
 
-    table = written(words.mapInArrow(weigh, "word binary, c long, logp double"), "weights")
-    heavy = table.where((F.length("word") == 0) | ((F.col("c") > 0) & (F.col("c") >= F.lit(HEAVY_SHARE * n)))).toPandas()
+    table = written(words.mapInArrow(weigh, "word binary, c long, u long, logp double, logw double"), "weights")
+    heavy = table.where((F.length("word") == 0) | (F.col("u") >= F.lit(HEAVY_SHARE * every))).drop("u").toPandas()
     below = math.log10(n + v + 1)
     index = {bytes(w): i for i, w in enumerate(heavy["word"])}
-    dense = np.stack([(heavy["c"] > 0).to_numpy(float), np.log10(heavy["c"].to_numpy(float) + 1) - below, heavy["logp"].to_numpy(float)])
+    dense = np.stack([(heavy["c"] > 0).to_numpy(float), np.log10(heavy["c"].to_numpy(float) + 1) - below, heavy["logp"].to_numpy(float), heavy["logw"].to_numpy(float)])
     shared = spark.sparkContext.broadcast((index, dense))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +355,7 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFr
                 tokens.append(b"")
                 spots = list(map(index.get, tokens))
                 found = np.array([s for s in spots if s is not None], dtype=np.int64)
-                known, base, score = dense[:, found].sum(axis=1)
+                known, base, score, by_words = dense[:, found].sum(axis=1)
                 rare = Counter(t for t, s in zip(tokens, spots, strict=True) if s is None)
                 k = 1 + len(rare)
                 for col, values in zip(
@@ -353,32 +369,35 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFr
                     col.extend(values)
                 cols_extra[0].extend([float(base)] + [0.0] * (k - 1))
                 cols_extra[1].extend([float(score)] + [0.0] * (k - 1))
+                cols_extra[2].extend([float(by_words)] + [0.0] * (k - 1))
                 if len(cols[0]) > 50_000:
                     yield packed(cols)
                     cols = [[] for _ in range(8)]
             yield packed(cols)
 
-    cols_extra: list[list] = [[], []]
-    names = ["doc_id", "key", "held_out", "word", "times", "n_tokens", "n_known", "copies", "base", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    cols_extra: list[list] = [[], [], []]
+    names = ["doc_id", "key", "held_out", "word", "times", "n_tokens", "n_known", "copies", "base", "score", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def packed(cols: list[list]) -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, *cols_extra], kinds, strict=True)], names)
-        cols_extra[0].clear()
-        cols_extra[1].clear()
+        for c in cols_extra:
+            c.clear()
         return out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "held_out").mapInArrow(
         spread,
-        "doc_id long, key long, held_out boolean, word binary, times long, n_tokens long, n_known long, copies long, base double, score double",
+        "doc_id long, key long, held_out boolean, word binary, times long, n_tokens long, n_known long, copies long, base double, score double, words double",
     )
-    met = rows.join(table.withColumnsRenamed({"c": "count_", "logp": "logp_"}), "word", "left")
+    # words that tasks already know meet nothing, and no rare word is hot
+    met = rows.join(table.drop("u").withColumnsRenamed({"c": "count_", "logp": "logp_", "logw": "logw_"}), "word", "left")
     per = met.groupBy("doc_id", "key", "held_out").agg(
         F.sum("copies").alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("count_") > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.coalesce(F.col("times") * (F.log10(F.col("count_") + 1.0) - below), F.lit(0.0))).alias("base"),
         F.sum(F.col("score") + F.coalesce(F.col("times") * F.col("logp_"), F.lit(0.0))).alias("score"),
+        F.sum(F.col("words") + F.coalesce(F.col("times") * F.col("logw_"), F.lit(0.0))).alias("words"),
     )
     return per.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
@@ -388,6 +407,7 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 3) -> DataFr
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies")).alias("base_score"),
         (F.col("score") / F.col("copies")).alias("score"),
+        (F.col("words") / F.col("copies")).alias("score_words"),
     )
 
 

@@ -51,31 +51,54 @@ def test_lm_base_and_counts(spark, rows):
     assert (got.score < 0).all()
 
 
-def test_lattice_adds_up_all_segmentations():
-    model = lm_scoring.Lattice.start([("▁a", -1.0), ("▁ab", -2.0), ("b", -1.5), ("c", -1.0), ("bc", -3.0), ("▁", -2.0), ("a", -2.0)])
-    weight = dict(zip(model.pieces, model.weights))
-
-    def total(word):
-        out = 0.0
-        for cuts in itertools.product([0, 1], repeat=len(word)):  # a cut before each character; the first parts the mark
-            parts, at = ["▁"], 0
-            for ch, cut in zip(word, cuts):
-                parts = [*parts, ch] if cut else [*parts[:-1], parts[-1] + ch]
-            p = 1.0
-            for i, part in enumerate(parts):
-                if part in weight:
-                    p *= math.exp(weight[part])
-                elif len(part) == 1 and i:
-                    p *= math.exp(model.byte * len(part.encode()))
-                else:
-                    p = 0.0
-            out += p
-        return math.log(out * math.exp(model.stop))
+VOCAB = [("▁a", -1.0), ("▁ab", -2.0), ("b", -1.5), ("c", -1.0), ("bc", -3.0), ("▁", -2.0), ("a", -2.0)]
+
+
+def _marginal(model, word):
+    """The sum over all segmentations, by hand."""
+    weight, out = dict(zip(model.pieces, model.weights)), 0.0
+    for cuts in itertools.product([0, 1], repeat=len(word)):  # a cut before each character; the first parts the mark
+        parts = ["▁"]
+        for ch, cut in zip(word, cuts):
+            parts = [*parts, ch] if cut else [*parts[:-1], parts[-1] + ch]
+        p = 1 / (1 - math.exp(model.stop)) if parts[0] == "▁" else 1.0
+        for i, part in enumerate(parts):
+            p *= (math.exp(weight[part]) if part in weight else 0.0) + (math.exp(model.spell) if i and len(part) == 1 else 0.0)
+        out += p
+    return math.log(out * math.exp(model.stop))
+
 
+def test_lattice_adds_up_all_segmentations():
+    model = lm_scoring.Lattice.start(VOCAB)
     words = ["a", "ab", "abc", "cab", "z", "azé", "bcbc"]
-    assert np.allclose(model.score(words), [total(w) for w in words])
-    counts, byte, n = model.expected(["abc", "z"])
-    assert n == 2 and byte > 0.9 and abs(counts[[p.startswith("▁") for p in model.pieces]].sum() - 2) < 1e-9
+    assert np.allclose(model.score(words), [_marginal(model, w) for w in words])
+    counts, spelled, n = model.expected(["abc", "z"], np.array([3.0, 1.0]))
+    assert n == 4 and 0.9 < spelled < 1.1 and abs(counts[[p.startswith("▁") for p in model.pieces]].sum() - 4) < 1e-9
+
+
+def test_words_add_up_to_one():
+    model = lm_scoring.Lattice.start(VOCAB, characters=3)
+    for m in (model, model.refitted(*model.expected(["abc", "cab", "a", "bb"]))):
+        total = sum(np.exp(m.score(["".join(w) for w in itertools.product("abc", repeat=k)])).sum() for k in range(1, 11))
+        # words of more than ten characters take what is left
+        assert 0.93 < total < 1 + 1e-9
+    # a shorter alphabet of longer words: the rest shrinks
+    lone = lm_scoring.Lattice.start([("▁a", -1.0), ("a", -2.0)], characters=1)
+    assert abs(np.exp(lone.score(["a" * k for k in range(1, 400)])).sum() - 1) < 1e-9
+
+
+def test_lm_score_equals_brute_force(spark, rows):
+    few = spark.createDataFrame([(int(i), " ".join(t.split()[:6])) for i, t in zip(rows.doc_id[:60], rows.text[:60])], "doc_id long, text string")
+    docs = lm_scoring.held_out(few)
+    got = lm_scoring.score_documents(docs, queries.piece_model(), rounds=0).toPandas().sort_values("doc_id")
+    table = few.toPandas().sort_values("doc_id")
+    toks, held, c, n, _ = _brute_base(table.text, table.doc_id)
+    model, end = lm_scoring.Lattice.start(lm_scoring.vocabulary(queries.piece_model())), (c[None] + 0.5) / (n + 1)
+    short = {w: _marginal(model, w) for t in toks for w in t if w and len(w) <= 9}
+    keep = [all(w is None or w in short for w in t) for t in toks]
+    want = [sum(math.log(end) if w is None else short[w] + math.log1p(-end) for w in t) / math.log(10) for t, k in zip(toks, keep) if k]
+    assert sum(keep) > 10 and np.allclose(got.score[keep], want)
+    assert (got.score_words[[not h for h in held]] > got.score[[not h for h in held]]).mean() > 0.9
 
 
 def test_em_raises_likelihood(spark, docs):
@@ -169,6 +192,13 @@ def test_pieces_on_random_texts():
         assert codec.decode(want) == sp.decode(want)
 
 
+def test_other_settings_are_refused(monkeypatch):
+    real = pieces.PieceCodec.whole
+    monkeypatch.setattr(pieces.PieceCodec, "whole", lambda self, text: real(self, " ".join(text.split())))
+    with pytest.raises(ValueError):
+        pieces.PieceCodec(queries.piece_model())
+
+
 def test_pieces_odd_rows(odd_documents, no_documents):
     got = pieces.digests(odd_documents, queries.piece_model()).toPandas()
     assert len(got) == 13 and (got[got.doc_id == 2].n_tokens == 1).all()
@@ -303,6 +333,13 @@ def test_structures_are_confirmed():
     assert [k for k, _, _ in secrets.confirmed_spans(pem)] == ["pem"]
     assert not secrets.confirmed_spans("eyJhbGciOiJub25l.e30.x " + "A" * 60 + " " + base64.b64encode(der[:-1] + b"\0\0").decode())
     assert secrets.blank(f"x {jwt} y") == "x [SECRET] y"
+    bare = f"{part({'alg': 'none'})}.{part({'sub': 1})}"
+    assert not [s for t in (bare, bare + ".", bare + ".c2ln") for s in secrets.confirmed_spans(t) if s[0] == "jwt"]
+    body = base64.encodebytes(bytes(range(64))).decode()
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + body + "-----END RSA PRIVATE KEY-----"
+    plain = "-----BEGIN RSA PRIVATE KEY-----\nComment: mine\n\n" + base64.encodebytes(der).decode() + "-----END RSA PRIVATE KEY-----"
+    assert [secrets.confirmed_spans(t) for t in (locked, plain)] == [[("pem", 0, len(locked))], [("pem", 0, len(plain))]]
+    assert not secrets.confirmed_spans(locked.replace("AES-128-CBC,00112233445566778899AABBCCDDEEFF", "?"))
 
 
 def test_secrets_odd_rows(odd_documents, no_documents):
@@ -418,6 +455,26 @@ def test_noisy_or_locates():
     assert model.score("We went home. The sun is out")[0] < 0.5
 
 
+def test_noisy_or_equals_its_definition(spark, docs):
+    model = toxicity.NoisyOr({"fool": 1.5, "^fool": 0.25, "vile": 2.0, "day": -1.0, "^fools": 0.5}, -2.0)
+    texts = ["You fool, fool! A fine day. Fools and (fools)", "VILE fool", "", None, "day", "ok. ok. ok"]
+
+    def by_hand(text):
+        stay = 1.0
+        for part in re.split(r"[.!?\n]", (text or "").lower()):
+            words = {w.strip(toxicity._TRIM) for w in part.split()} - {""}
+            if words:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+                stay *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - stay
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = toxicity.score_documents(df, model).toPandas().sort_values("doc_id").score
+    assert np.allclose(got, [by_hand(t) for t in texts])
+    sample = docs.limit(60).toPandas().text.tolist()
+    assert [s[2] for s in toxicity.sentences(sample[0])] == [s[2] for s in toxicity.sentences(sample[0], toxicity._Kept(toxicity._trimmed))]
+
+
 def test_toxicity_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 0, 1), (5, 1, 0), (None, 1, 1), (8, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd_documents, labels)
@@ -439,8 +496,18 @@ def test_language_held_out(spark, rows):
 def test_bundle_equals_its_definition():
     p = langid.Profiles(64)
     c = p.codes("Ab é!!ü")
-    want = sum(p.placed[0][x] * p.placed[1][y] * p.placed[2][z] for x, y, z in zip(c, c[1:], c[2:]))
+    assert c.tolist() == [0, ord("a"), ord("b"), 0, ord("é"), 0, ord("ü"), 0]
+    letter = lambda x, roll: np.roll(p.vector(x), roll)
+    want = sum(letter(x, 2) * letter(y, 1) * letter(z, 0) for x, y, z in zip(c.tolist(), c[1:].tolist(), c[2:].tolist()))
     assert (p.bundle(["x1", "Ab é!!ü", None])[1] == want).all() and not p.bundle(["12", None]).any()
+    many = "".join(chr(0x4E00 + i) for i in range(400))  # more n-grams than the table holds
+    assert np.allclose(p.bundle([many, "ab"])[1], p.bundle(["ab"])[0])
+
+
+def test_scripts_are_kept_apart(spark):
+    p = langid.Profiles(1024)
+    x, y, z = langid._scaled(p.bundle(["αβγδ εζηθ", "бвгд ежзи", "\U00030000\U00030001\U00030002"]))
+    assert abs(x @ y) < 0.5 and abs(x @ z) < 0.5 and z.any()
 
 
 def test_rare_languages_are_learned_whole(spark):
