@@ -45,7 +45,7 @@ class _Kept(dict):
         self.compute = compute
 
     def __missing__(self, word: str):
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
         got = self[word] = self.compute(word)
         return got
