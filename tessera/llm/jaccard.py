@@ -32,7 +32,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Trees, values of a label, and the recall to reach at the threshold.
 TREES, DEPTH, RECALL = 24, 7, 0.9999
 #: Rows of a prefix that meet at once in one task: by labels, and by shingles (as many as that on the whole).
-LABEL_BLOCK, BLOCK, BLOCK_SHINGLES = 4096, 256, 400_000
+LABEL_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 256, 400_000
 #: Rows whose partners are counted among all rows to measure recall; those with more shingles are not asked.
 ASKED, ASKED_SHINGLES = 400, 2_000
 #: Ids of rows to look up or leave out are sent to all tasks up to so many rows; beyond, they are joined by key.
