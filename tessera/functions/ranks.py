@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets over all distinct values of a table.
-BUCKETS = 64
+#: Buckets over all distinct values of a table: at least so many, more where a session shuffles to more partitions.
+BUCKETS, MOST_BUCKETS = 64, 1024
 
 
 def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """Adds ``_b``, a bucket number that rises with ``value``."""
+    buckets = min(max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
     # the cut points are one row: a broadcast of a fixed size
     cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
     return df.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -59,3 +60,20 @@ def shuffled_number(df: DataFrame, digest: Column, *key: str, base: DataFrame |
     inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", *key))
     # at most 65,536 buckets over all rows: a broadcast of a fixed size
     return df.withColumns({"_d": digest, "_b": bucket}).join(counts if by else F.broadcast(counts), [*by, "_b"]).withColumn("number", (inside + F.col("_below") - 1).cast("long")).drop("_d", "_b", "_below")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact quantile of each name's share, between two neighbours by linear interpolation; nulls are left out.
+
+    Spark's own exact percentile merges all distinct values in one task; here only counts of buckets meet.
+    """
+    ranks = value_ranks(df, value).withColumn("_last", 2 * F.col("rank_avg") - F.col("rank_min") - 1)
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("rank_n") - 1)
+        # the first value whose rows reach this index (from 0), and the next index's
+        low = F.min(F.when(F.col("_last") >= F.floor(at), F.col(value)))
+        high = F.min(F.when(F.col("_last") >= F.ceil(at), F.col(value)))
+        part = F.max(at) - F.floor(F.max(at))
+        out.append((low + (high - low) * part).alias(name))
+    return ranks.agg(*out)

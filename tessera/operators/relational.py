@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: Interval tables of at most so many rows are broadcast; larger ones are joined by bins.
 SMALL = 10_000
@@ -21,10 +23,29 @@ def annotate_interval(df: DataFrame, intervals: DataFrame, pos: str = "pos", def
     return hit.withColumn("domain", F.coalesce("name", F.lit(default))).drop("name", "lo", "hi")
 
 
+#: Positions of a range; ranges are dealt to tasks.
+RANGE = 1 << 14
+
+
 def spine(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """All positions from 1 to the largest."""
+    """All positions from 1 to the largest, range by range."""
     top = df.agg(F.max(pos).cast("int").alias("top"))
-    return top.select(F.explode(F.sequence(F.lit(1), F.col("top"))).alias(pos))
+    ranges = top.select("top", F.explode(F.sequence(F.lit(0), F.expr(f"top div {RANGE}"))).alias("_r"))
+    first, last = F.greatest(F.col("_r") * RANGE, F.lit(1)), F.least((F.col("_r") + 1) * RANGE - 1, F.col("top"))
+    return ranges.repartition("_r").select(F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias(pos))
+
+
+def on_axis(dense: DataFrame, reach: int, columns: dict[str, Callable[[WindowSpec], Column]], pos: str = "pos") -> DataFrame:
+    """``dense`` (one row a position) with columns over windows that reach at most ``reach`` positions to either side.
+
+    Windows run within ranges; rows near a range's end are copied to the next one, and take no part in its result.
+    """
+    width = max(RANGE, 4 * reach)
+    here = F.floor(F.col(pos) / width)
+    near = F.array(here, F.when(F.pmod(F.col(pos), F.lit(width)) < reach, here - 1), F.when(F.pmod(F.col(pos), F.lit(width)) >= width - reach, here + 1))
+    rows = dense.withColumn("_r", F.explode(F.array_compact(near)))
+    axis = Window.partitionBy("_r").orderBy(pos)
+    return rows.withColumns({name: make(axis) for name, make in columns.items()}).where(F.col("_r") == here).drop("_r")
 
 
 def densify(df: DataFrame, pos: str = "pos") -> DataFrame:
@@ -44,17 +65,27 @@ def neighbour_in_other_fold(df: DataFrame, pos: str, fold: str, reach: int) -> D
     return keys.join(hit, ["pos", "fold"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def rolling_mean(df: DataFrame, value: str, width: int, pos: str = "pos", by: Column | None = None) -> Column:
-    """Centred mean over ``width`` rows of the dense axis, nulls left out."""
-    w = Window.partitionBy(by if by is not None else F.lit(0)).orderBy(pos).rowsBetween(-(width // 2), width // 2)
-    return F.avg(value).over(w)
+def rolling_means(dense: DataFrame, value: str, widths: Sequence[int], name: str = "m_w{}") -> DataFrame:
+    """``dense`` with centred means over each number of rows, nulls left out."""
+    mean = lambda w: lambda axis: F.avg(value).over(axis.rowsBetween(-(w // 2), w // 2))
+    return on_axis(dense, max(widths) // 2, {name.format(w): mean(w) for w in widths})
 
 
 def islands(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """Runs of consecutive positions: ``lo, hi, n, label``."""
-    runs = df.select(pos).distinct().withColumn("g", F.col(pos) - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(pos)))
-    lo, hi = F.min(pos), F.max(pos)
-    return runs.groupBy("g").agg(lo.alias("lo"), hi.alias("hi"), F.count("*").alias("n"), F.when(lo == hi, lo.cast("string")).otherwise(F.concat_ws("-", lo, hi)).alias("label")).drop("g")
+    """Runs of consecutive positions: ``lo, hi, n, label``.
+
+    Runs are found range by range; only those that touch an end of their range, two a range at most, are joined in one task.
+    """
+    rows = df.select(pos).distinct().withColumn("_r", F.floor(F.col(pos) / RANGE))
+    rows = rows.withColumn("_g", F.col(pos) - F.row_number().over(Window.partitionBy("_r").orderBy(pos)))
+    runs = rows.groupBy("_r", "_g").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"))
+    touches = (F.pmod("lo", F.lit(RANGE)) == 0) | (F.pmod("hi", F.lit(RANGE)) == RANGE - 1)
+    inner, edge = runs.where(~touches).select("lo", "hi"), runs.where(touches).select("lo", "hi")
+    order = Window.partitionBy(F.lit(0)).orderBy("lo")
+    starts = F.coalesce((F.col("lo") != F.lag("hi").over(order) + 1).cast("int"), F.lit(1))
+    edge = edge.withColumn("_s", starts).withColumn("_g", F.sum("_s").over(order)).groupBy("_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    label = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
+    return inner.unionByName(edge.select("lo", "hi")).select("lo", "hi", (F.col("hi") - F.col("lo") + 1).cast("long").alias("n"), label.alias("label"))
 
 
 def mutate(reference: Column, pos: Column, symbol: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranks import add_ranks
-from ..operators.relational import densify, islands, rolling_mean, spine
+from ..functions.ranks import add_ranks, exact_quantiles
+from ..operators.relational import densify, islands, on_axis, rolling_means, spine
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, domains, table
 from .base import annotated, folded
 from .registry import query
@@ -90,17 +90,19 @@ def agg_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("*").cast("double")
     skew = F.skewness("score") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = ((n + 1) * F.kurtosis("score") + 6) * (n - 1) / ((n - 2) * (n - 3))
-    return assay(spark, sf_dir).agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.percentile("score", 0.01).alias("q01"), F.percentile("score", 0.99).alias("q99"),
+    df = assay(spark, sf_dir)
+    moments = df.agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean"),
         F.stddev_samp("score").alias("sd"), F.stddev_pop("score").alias("sd_pop"), skew.alias("skew"), kurt.alias("kurt"),
         F.count_distinct("score").alias("n_distinct"), (F.count("*") - F.count_distinct("score")).alias("n_duplicates"),
     )
+    return moments.join(F.broadcast(exact_quantiles(df, "score", {"median": 0.5, "q01": 0.01, "q99": 0.99})))
 
 
 @query(f"WITH {ANNOTATED_SQL} SELECT count(*) AS n, count(DISTINCT pos) AS n_pos, max(pos) AS length, count(*) / (max(pos) * 19.0::DOUBLE) AS coverage, avg(CAST(wt_sym = 'F' AS INTEGER)) AS frac_f, bool_and((score > m) = (bin = 1)) AS bin_consistent FROM full_, med")
 def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = annotated(spark, sf_dir)
-    df = df.join(F.broadcast(df.agg(F.median("score").alias("m"))))
+    df = df.join(F.broadcast(exact_quantiles(assay(spark, sf_dir), "score", {"m": 0.5})))
     return df.agg(
         F.count("*").alias("n"), F.count_distinct("pos").alias("n_pos"), F.max("pos").alias("length"), (F.count("*") / (F.max("pos") * 19.0)).alias("coverage"),
         F.avg((F.col("wt_sym") == "F").cast("int")).alias("frac_f"), F.bool_and((F.col("score") > F.col("m")).eqNullSafe(F.col("bin") == 1)).alias("bin_consistent"),
@@ -166,8 +168,8 @@ def win_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ASSAY_SQL}, s AS (SELECT unnest(range(1, (SELECT max(pos) FROM assay) + 1)) AS pos), g AS (SELECT pos, avg(score) AS m FROM assay GROUP BY pos) SELECT CAST(pos AS INTEGER) AS pos, m, {', '.join(f'lag(m, {k}) OVER (ORDER BY pos) AS lag_{k}' for k in (1, 5, 100))} FROM s LEFT JOIN g USING (pos)")
 def win_lags_on_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = densify(assay(spark, sf_dir).groupBy("pos").agg(F.avg("score").alias("m")))
-    axis = Window.partitionBy(F.lit(0)).orderBy("pos")
-    return dense.select("pos", "m", *[F.lag("m", k).over(axis).alias(f"lag_{k}") for k in (1, 5, 100)])
+    lag = lambda k: lambda axis: F.lag("m", k).over(axis)
+    return on_axis(dense, 100, {f"lag_{k}": lag(k) for k in (1, 5, 100)})
 
 
 @query(f"WITH {ASSAY_SQL} SELECT row_id, rank() OVER (ORDER BY pred_b) + (count(*) OVER (PARTITION BY pred_b) - 1) / 2.0::DOUBLE AS avg_rank, (rank() OVER (ORDER BY score) - 1) / (count(*) OVER ())::DOUBLE AS ecdf FROM assay")
@@ -187,7 +189,7 @@ def win_rank_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ASSAY_SQL}, s AS (SELECT unnest(range(1, (SELECT max(pos) FROM assay) + 1)) AS pos), g AS (SELECT pos, avg(score) AS m FROM assay GROUP BY pos) SELECT CAST(pos AS INTEGER) AS pos, {', '.join(f'avg(m) OVER (ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS m_w{w}' for w in (5, 11, 25))} FROM s LEFT JOIN g USING (pos)")
 def win_rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = densify(assay(spark, sf_dir).groupBy("pos").agg(F.avg("score").alias("m")))
-    return dense.select("pos", *[rolling_mean(dense, "m", w).alias(f"m_w{w}") for w in (5, 11, 25)])
+    return rolling_means(dense, "m", (5, 11, 25)).drop("m")
 
 
 @query("WITH m AS (SELECT o_custkey + 1 AS pos FROM orders WHERE o_custkey % 7 <> 3 AND o_custkey % 11 <> 4 GROUP BY 1), s AS (SELECT unnest(range(1, (SELECT max(pos) FROM m) + 1)) AS pos), miss AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM s ANTI JOIN m USING (pos)) SELECT CAST(min(pos) AS INTEGER) AS lo, CAST(max(pos) AS INTEGER) AS hi, count(*) AS n, CASE WHEN min(pos) = max(pos) THEN CAST(min(pos) AS VARCHAR) ELSE concat(min(pos), '-', max(pos)) END AS label FROM miss GROUP BY g")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_quantiles
 from ..operators import folds
 from ..operators.relational import annotate_interval
 from ..sources.assay import DOMAINS, assay, domains
@@ -16,7 +17,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = assay(spark, sf_dir)
     df = annotate_interval(base, domains(spark, sf_dir)).withColumn("fold_domain", F.coalesce("ordinal", F.lit(DOMAINS)).cast("int"))
     # one row: the exact median
-    return df.join(F.broadcast(base.agg(F.median("score").alias("_m")))).withColumn("bin", (F.col("score") > F.col("_m")).cast("int")).drop("_m", "ordinal")
+    return df.join(F.broadcast(exact_quantiles(base, "score", {"_m": 0.5}))).withColumn("bin", (F.col("score") > F.col("_m")).cast("int")).drop("_m", "ordinal")
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:

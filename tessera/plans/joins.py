@@ -50,9 +50,11 @@ def join_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row_id", F.coalesce("p1", "p2", "p3").alias("pred"))
 
 
-@query(f"WITH {ASSAY_SQL}, e AS (SELECT vec_id, embedding FROM embeddings) SELECT row_id, embedding[CAST(mt_sym AS INTEGER)]::DOUBLE AS at_mt, embedding[CAST(mt_sym AS INTEGER)]::DOUBLE - embedding[ascii(wt_sym) - 60]::DOUBLE AS llr FROM assay JOIN e ON vec_id = pos % 500")
+@query(f"WITH {ASSAY_SQL}, e AS (SELECT vec_id, embedding FROM embeddings) SELECT row_id, embedding[CAST(mt_sym AS INTEGER)]::DOUBLE AS at_mt, embedding[CAST(mt_sym AS INTEGER)]::DOUBLE - embedding[ascii(wt_sym) - 60]::DOUBLE AS llr FROM assay JOIN e ON vec_id = pos % (SELECT max(vec_id) + 1 FROM embeddings)")
 def join_array_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = assay(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("pos") % 500)
+    vectors = table(spark, sf_dir, "embeddings")
+    df = assay(spark, sf_dir).join(F.broadcast(vectors.agg((F.max("vec_id") + 1).alias("_top")))).withColumn("_at", F.col("pos") % F.col("_top"))
+    df = df.join(vectors, F.col("vec_id") == F.col("_at"))
     at = F.element_at("embedding", F.col("mt_sym").cast("int")).cast("double")
     return df.select("row_id", at.alias("at_mt"), (at - F.element_at("embedding", F.ascii("wt_sym") - 60).cast("double")).alias("llr"))
 
@@ -70,7 +72,7 @@ def join_semi_shared_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("fold_random = 0").join(df.where("fold_random <> 0").select("pos").distinct(), "pos", "left_semi").select("row_id")
 
 
-@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id FROM folds a WHERE fold_region = 3 AND EXISTS (SELECT 1 FROM folds b WHERE b.fold_region <> 3 AND b.domain = a.domain)")
+@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, fo AS MATERIALIZED (SELECT row_id, domain, fold_region FROM folds) SELECT row_id FROM fo WHERE fold_region = 3 AND domain IN (SELECT DISTINCT domain FROM fo WHERE fold_region <> 3)")
 def join_semi_shared_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = folded_table(spark, sf_dir, "row_id", "domain", "fold_region")
     return df.where("fold_region = 3").join(df.where("fold_region <> 3").select("domain").distinct(), "domain", "left_semi").select("row_id")

@@ -8,13 +8,15 @@ from pyspark.sql.window import Window
 
 from ..functions.ranks import add_ranks, shuffled_number
 from ..functions.stats import pearson
+from ..operators.folds import SCHEMES
 from ..operators.models import boosted_out_of_fold, principal_components, ridge_out_of_fold
-from ..operators.relational import densify, out_of_fold, rolling_mean
+from ..operators.relational import densify, out_of_fold, rolling_means
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
+from ..sources.shared import stored
 from .base import folded, folded_table
-from .joins import SCALE_SQL, _scale
+from .joins import SCALE_SQL, _oof_sql as oof_sql, _scale
 from .registry import query
-from .scores import metric_bundle
+from .scores import _metrics_sql as metrics_sql, metric_bundle
 
 #: Named groups of feature columns; ablation keeps or drops whole groups.
 GROUPS = {"symbols": ["wt_F", "wt_O", "hyd_wt", "hyd_mt"], "position": ["rel_pos", "m_w5", "m_w11"], "signal": ["pred_a", "pred_b"]}
@@ -36,7 +38,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = F.broadcast(_scale(spark))
     df = df.join(sc.select(F.col("sym").alias("wt_sym"), F.col("hyd").alias("hyd_wt")), "wt_sym", "left").join(sc.select(F.col("sym").alias("mt_sym"), F.col("hyd").alias("hyd_mt")), "mt_sym", "left")
     dense = densify(df.groupBy("pos").agg(F.avg("pred_b").alias("m")))
-    axis = dense.select("pos", *[rolling_mean(dense, "m", w).alias(f"m_w{w}") for w in (5, 11)])
+    axis = rolling_means(dense, "m", (5, 11)).drop("m")
     top = F.broadcast(df.agg(F.max("pos").alias("top")))
     df = df.join(axis, "pos", "left").join(top).withColumn("rel_pos", F.try_divide(F.col("pos") - 1, F.col("top") - 1.0)).drop("top")
     return df.withColumns({"wt_F": (F.col("wt_sym") == "F").cast("int"), "wt_O": (F.col("wt_sym") == "O").cast("int")})
@@ -58,21 +60,81 @@ def model_domain_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row_id", F.coalesce("p1", "p2").alias("pred"))
 
 
+#: The model zoo: keys of out-of-fold means, from the finest to the mean of all, or a column that needs no fit.
+MEANS = {"mean": [None], "domain_mean": ["domain", None], "position_mean": ["pos", "domain", None]}
+COLUMNS = {"signal": "pred_a", "column_score": "-pred_b"}
+_GRID = "lg AS (" + " UNION ALL ".join(
+    [f"SELECT row_id, score, bin, '{s}' AS split, '{m}' AS model, {oof_sql([k or '' for k in keys], f'fold_{s}')} AS pred FROM fo" for s in SCHEMES for m, keys in MEANS.items()]
+    + [f"SELECT row_id, score, bin, '{s}', '{m}', {c} FROM fo" for s in SCHEMES for m, c in COLUMNS.items()]
+) + ")"
+
+
+@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, fo AS MATERIALIZED (SELECT * FROM folds), {_GRID}, {metrics_sql('split, model')} SELECT a.*, round(a.spearman - b.spearman, 9) + 0.0::DOUBLE AS delta_vs_domain_mean FROM mb a JOIN mb b ON b.split = a.split AND b.model = 'domain_mean'")
+def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model under every split: its metrics out of fold, and what it gains over the domain mean there."""
+    df = folded_table(spark, sf_dir, "row_id", "pos", "domain", "score", "bin", "pred_a", "pred_b", *[f"fold_{s}" for s in SCHEMES])
+    names = []
+    for s in SCHEMES:
+        for key in ("pos", "domain", None):
+            df = out_of_fold(df, key, "score", f"fold_{s}", f"_{s}_{key}")
+        fitted = {m: F.coalesce(*[F.col(f"_{s}_{k}") for k in keys]) for m, keys in MEANS.items()} | {m: F.expr(c) for m, c in COLUMNS.items()}
+        df = df.withColumns({f"{s}:{m}": c for m, c in fitted.items()})
+        names += [f"{s}:{m}" for m in fitted]
+    wide = stored(df.select("row_id", "score", "bin", *[F.col(f"`{n}`") for n in names]), "grid")
+    long = wide.unpivot(["row_id", "score", "bin"], [F.col(f"`{n}`") for n in names], "_m", "pred")
+    long = long.select("row_id", "score", "bin", F.split_part("_m", F.lit(":"), F.lit(1)).alias("split"), F.split_part("_m", F.lit(":"), F.lit(2)).alias("model"), "pred")
+    out = stored(metric_bundle(long, ["split", "model"]), "metrics")
+    base = out.where("model = 'domain_mean'").select("split", F.col("spearman").alias("_b"))
+    return out.join(F.broadcast(base), "split").withColumn("delta_vs_domain_mean", F.round(F.col("spearman") - F.col("_b"), 9) + 0.0).drop("_b")
+
+
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def substitutions(spark: SparkSession, matrix: str) -> DataFrame:
+    """``a, b, s`` of each cell of a text matrix: a line of symbols, then a line of whole numbers for each."""
+    lines = spark.createDataFrame([(matrix,)], "m string").select(F.split("m", "\n").alias("l"))
+    lines = lines.select(F.split(F.col("l")[0], " +").alias("names"), F.posexplode(F.slice("l", 2, 999)).alias("i", "row"))
+    cells = lines.select("names", "i", F.posexplode(F.split("row", " +")).alias("j", "v"))
+    return cells.select(F.get("names", F.col("i")).alias("a"), F.get("names", F.col("j")).alias("b"), F.col("v").cast("int").alias("s"))
+
+
+def rule_matrix() -> str:
+    """A symmetric matrix of twenty symbols by rule; any published one, read from its file, takes its place."""
+    n = range(len(LETTERS))
+    return "\n".join([" ".join(LETTERS), *(" ".join(str(5 + i % 4 if i == j else (i * j + i + j) % 7 - 4) for j in n) for i in n)])
+
+
+_SUBSTITUTION = f"""n AS (SELECT CAST(i AS INTEGER) AS i, substr('{LETTERS}', CAST(i + 1 AS INTEGER), 1) AS c FROM range(0, 20) t(i)),
+mx AS (SELECT x.c AS a, y.c AS b, CASE WHEN x.i = y.i THEN 5 + x.i % 4 ELSE (x.i * y.i + x.i + y.i) % 7 - 4 END AS s FROM n x, n y),
+v AS (SELECT row_id, substr('{LETTERS}', 1 + pos % 20, 1) AS wt, substr('{LETTERS}', CAST(1 + row_id % 20 AS INTEGER), 1) AS mt FROM assay)"""
+
+
+@query(f"WITH {ASSAY_SQL}, {_SUBSTITUTION} SELECT row_id, p.s AS pair_score, w.s AS self_score, CAST(p.s - w.s AS DOUBLE) AS pred FROM v LEFT JOIN mx p ON p.a = wt AND p.b = mt LEFT JOIN mx w ON w.a = wt AND w.b = wt")
+def model_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The substitution model: a pair's score less the symbol's own, by two lookups with a key of two columns."""
+    mx = F.broadcast(substitutions(spark, rule_matrix()))
+    v = assay(spark, sf_dir).select("row_id", F.substring(F.lit(LETTERS), 1 + F.col("pos") % 20, F.lit(1)).alias("wt"), F.substring(F.lit(LETTERS), (1 + F.col("row_id") % 20).cast("int"), F.lit(1)).alias("mt"))
+    v = v.join(mx.select(F.col("a").alias("wt"), F.col("b").alias("mt"), F.col("s").alias("pair_score")), ["wt", "mt"], "left")
+    v = v.join(mx.where("a = b").select(F.col("a").alias("wt"), F.col("s").alias("self_score")), "wt", "left")
+    return v.select("row_id", "pair_score", "self_score", (F.col("pair_score") - F.col("self_score")).cast("double").alias("pred"))
+
+
 @query(f"WITH {ASSAY_SQL} SELECT row_id, -pred_b AS pred FROM assay")
 def model_column_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assay(spark, sf_dir).select("row_id", (-F.col("pred_b")).alias("pred"))
 
 
-@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, tr AS (SELECT k.f, row_id, score FROM folds, (VALUES (0), (1), (2)) k(f) WHERE fold_position <> k.f), q AS (SELECT f, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM tr GROUP BY f) SELECT CAST(f AS INTEGER) AS fold, row_id, (rank() OVER (PARTITION BY f ORDER BY score) + (count(*) OVER (PARTITION BY f, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY f) AS rank_target, least(greatest(score, lo), hi) AS winsorised FROM tr JOIN q USING (f)")
+@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, tr AS (SELECT k.f, row_id, score FROM folds, range(0, 10) k(f) WHERE fold_position <> k.f), q AS (SELECT f, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM tr GROUP BY f) SELECT CAST(f AS INTEGER) AS fold, row_id, (rank() OVER (PARTITION BY f ORDER BY score) + (count(*) OVER (PARTITION BY f, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY f) AS rank_target, least(greatest(score, lo), hi) AS winsorised FROM tr JOIN q USING (f)")
 def model_target_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets as each of three training sets sees them: ranks over n, and clipped at its 1st and 99th percentiles."""
-    tr = folded_table(spark, sf_dir, "row_id", "score", "fold_position").withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("fold_position <> fold").select("fold", "row_id", "score")
+    """Targets as each of ten training sets sees them: ranks over n, and clipped at its 1st and 99th percentiles."""
+    tr = folded_table(spark, sf_dir, "row_id", "score", "fold_position").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(9)))).where("fold_position <> fold").select("fold", "row_id", "score")
     q = tr.groupBy("fold").agg(F.percentile("score", 0.01).alias("lo"), F.percentile("score", 0.99).alias("hi"))
     r = add_ranks(tr, "score", ["fold"], "s").join(F.broadcast(q), "fold")
     return r.select("fold", "row_id", (F.col("s_avg") / F.col("s_n")).alias("rank_target"), F.least(F.greatest("score", "lo"), F.col("hi")).alias("winsorised"))
 
 
-@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, tr AS (SELECT f, row_id, domain, score FROM folds, range(0, 10) k(f) WHERE fold_position <> f), a AS (SELECT f, domain, row_number() OVER (PARTITION BY f ORDER BY row_id) AS i FROM tr), b AS (SELECT f, score, row_number() OVER (PARTITION BY f ORDER BY md5('y:' || f || ':' || row_id), row_id) AS i FROM tr), g AS (SELECT f, domain, avg(score) AS m FROM a JOIN b USING (f, i) GROUP BY ALL) SELECT row_id, m AS pred FROM folds JOIN g ON g.f = fold_position AND g.domain = folds.domain")
+@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, fo AS MATERIALIZED (SELECT row_id, domain, score, fold_position FROM folds), tr AS MATERIALIZED (SELECT f, row_id, domain, score FROM fo, range(0, 10) k(f) WHERE fold_position <> f), a AS (SELECT f, domain, row_number() OVER (PARTITION BY f ORDER BY row_id) AS i FROM tr), b AS (SELECT f, score, row_number() OVER (PARTITION BY f ORDER BY md5('y:' || f || ':' || row_id), row_id) AS i FROM tr), g AS (SELECT f, domain, avg(score) AS m FROM a JOIN b USING (f, i) GROUP BY ALL) SELECT row_id, m AS pred FROM fo JOIN g ON g.f = fold_position AND g.domain = fo.domain")
 def model_y_randomised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain means of training labels that were shuffled within each fold's training set."""
     df = folded_table(spark, sf_dir, "row_id", "domain", "score", "fold_position")
@@ -99,12 +161,13 @@ def model_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of ridge on all groups, without each, and with only each."""
-    df = features(spark, sf_dir).cache()
+    df = stored(features(spark, sf_dir), "features")
     sets = {("full", "all"): columns_excluding(GROUPS, [])}
     sets |= {("without", g): columns_excluding(GROUPS, [g]) for g in GROUPS} | {("only", g): columns_only(GROUPS, [g]) for g in GROUPS}
     for i, cols in enumerate(sets.values()):
         df = ridge_out_of_fold(df, cols, "score", "fold_position", name=f"p{i}")
-    long = df.unpivot(["row_id", "score", "bin"], [f"p{i}" for i in range(len(sets))], "v", "pred").cache()
+    long = df.unpivot(["row_id", "score", "bin"], [f"p{i}" for i in range(len(sets))], "v", "pred")
+    long = stored(long, "predictions")
     names = spark.createDataFrame([(f"p{i}", v, g, len(c)) for i, ((v, g), c) in enumerate(sets.items())], "v string, variant string, group string, n_features int")
     out = metric_bundle(long, ["v"]).join(F.broadcast(names), "v").drop("v")
     whole = F.first(F.when(F.col("variant") == "full", F.col("spearman")), ignorenulls=True).over(Window.partitionBy(F.lit(0)))
@@ -113,15 +176,22 @@ def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return principal_components(table(spark, sf_dir, "embeddings"), "embedding", 8).select("vec_id", "pcs")
+    return principal_components(table(spark, sf_dir, "embeddings"), "embedding", 32).select("vec_id", "pcs")
 
 
 @query()
 def model_score_new_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions and percentiles of rows that were not measured, featurised and fitted with the table."""
-    df = features(spark, sf_dir)
-    new = df.where("row_id = 1").withColumns({"row_id": F.lit(-1).cast(df.schema["row_id"].dataType), "fold_position": F.lit(-1)})
-    both = ridge_out_of_fold(df.unionByName(new), columns_excluding(GROUPS, []), "score", "fold_position")
+    """Prediction of a change that was not measured, and its percentile among the predictions for the table's rows.
+
+    The model is fitted on the table alone; the new row takes a measured row's place, another symbol, and mean signals.
+    """
+    df = features(spark, sf_dir).withColumn("part", F.lit(0))
+    means = F.broadcast(df.agg(*[F.avg(c).alias(f"_{c}") for c in GROUPS["signal"]]))
+    new = df.where("row_id = 1").join(means).withColumns({"row_id": F.lit(-1).cast(df.schema["row_id"].dataType), "score": F.lit(None).cast("double"), "hyd_mt": -F.col("hyd_mt")})
+    new = new.withColumns({c: F.col(f"_{c}") for c in GROUPS["signal"]}).select(df.columns)
+    # what is to be predicted forms a part of its own, so the fit sees part 0 only
+    asked = df.unionByName(new).withColumn("part", F.lit(1))
+    both = ridge_out_of_fold(stored(df.unionByName(asked), "parts"), columns_excluding(GROUPS, []), "score", "part").where("part = 1")
     one = both.where("row_id = -1").select(F.col("pred").alias("value"))
     return both.where("row_id <> -1").join(F.broadcast(one)).groupBy("value").agg(F.avg((F.col("pred") < F.col("value")).cast("int")).alias("percentile"), F.count("*").alias("n"))
 

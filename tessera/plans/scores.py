@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranks import add_ranks
+from ..functions.ranks import add_ranks, exact_quantiles
 from ..functions.stats import auroc, paired_ranks, pearson, pearson_sql
 from ..operators.relational import out_of_fold
-from ..operators.reliability import icc, split_half
+from ..operators.reliability import icc
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
 from ..sources.shared import stored
 from .base import annotated, folded
@@ -90,9 +90,9 @@ def stat_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.inline("p"))
 
 
-@query("WITH l AS (SELECT vec_id, label::DOUBLE AS y, i AS feature, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 9) t(i)), r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0::DOUBLE AS ry FROM l) SELECT CAST(feature AS INTEGER) AS feature, " + pearson_sql("rx", "ry") + " AS rho, count(*) AS n FROM r GROUP BY feature HAVING count(*) >= 50")
+@query("WITH l AS (SELECT vec_id, label::DOUBLE AS y, i AS feature, embedding[i]::DOUBLE AS x FROM embeddings, range(1, (SELECT max(len(embedding)) FROM embeddings) + 1) t(i) WHERE i <= len(embedding)), r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0::DOUBLE AS ry FROM l) SELECT CAST(feature AS INTEGER) AS feature, " + pearson_sql("rx", "ry") + " AS rho, count(*) AS n FROM r GROUP BY feature HAVING count(*) >= 50")
 def stat_feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("y"), F.posexplode(F.slice("embedding", 1, 8)).alias("p", "v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("y"), F.posexplode("embedding").alias("p", "v"))
     e = e.select("vec_id", "y", (F.col("p") + 1).alias("feature"), F.col("v").cast("double").alias("x"))
     return paired_ranks(e, "y", "x", ["feature"]).groupBy("feature").agg(pearson("rp", "ry").alias("rho"), F.count("*").alias("n")).where("n >= 50")
 
@@ -117,7 +117,7 @@ def stat_label_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANNOTATED_SQL} SELECT (SELECT m FROM med) AS median, count(*) FILTER (WHERE bin = 1) AS n_above, bool_and((score > (SELECT m FROM med)) = (bin = 1)) AS consistent FROM full_")
 def stat_median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = annotated(spark, sf_dir)
-    return df.join(F.broadcast(df.agg(F.median("score").alias("m")))).agg(F.max("m").alias("median"), F.count_if(F.col("bin") == 1).alias("n_above"), F.bool_and((F.col("score") > F.col("m")) == (F.col("bin") == 1)).alias("consistent"))
+    return df.join(F.broadcast(exact_quantiles(assay(spark, sf_dir), "score", {"m": 0.5}))).agg(F.max("m").alias("median"), F.count_if(F.col("bin") == 1).alias("n_above"), F.bool_and((F.col("score") > F.col("m")) == (F.col("bin") == 1)).alias("consistent"))
 
 
 _LADDER_W = (1, 3, 5, 11, 25, 51, 137)
@@ -132,16 +132,6 @@ def stat_aggregation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("window_size").agg(F.count("*").alias("n_units"), F.avg("k").alias("mean_labels"), pearson("y", "a").alias("pearson"), pearson("ry", "rp").alias("spearman"), (F.count("*") >= 100).alias("interpretable"))
 
 
-@query()
-def stat_ceiling_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reliability ceiling of each window and what the prediction leaves to it."""
-    units = assay(spark, sf_dir).withColumn("window_size", F.explode(F.array(F.lit(3), F.lit(11), F.lit(25)))).withColumn("unit", F.expr("cast((pos - 1) div window_size as int)"))
-    full = split_half(units, ["unit"], "score", "row_id", 8, by=["window_size"]).select("window_size", F.col("spearman_brown").alias("reliability"))
-    ladder = stat_aggregation_ladder(spark, sf_dir).join(full, "window_size")
-    ceiling = F.when(F.col("reliability") > 0, F.sqrt("reliability"))
-    return ladder.select("window_size", "spearman", "reliability", ceiling.alias("ceiling"), (ceiling - F.col("spearman")).alias("headroom"))
-
-
 @query(f"WITH p(name, p) AS (VALUES ('a', 0.001::DOUBLE), ('b', 0.004), ('c', 0.02), ('d', 0.3), ('e', 0.049)) SELECT count(*) AS m, 0.05::DOUBLE / count(*) AS alpha, count(*) FILTER (WHERE p < 0.05) AS n_raw, count(*) FILTER (WHERE p < 0.05::DOUBLE / (SELECT count(*) FROM p)) AS n_corrected FROM p")
 def stat_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.createDataFrame([("a", 0.001), ("b", 0.004), ("c", 0.02), ("d", 0.3), ("e", 0.049)], "name string, p double")
@@ -158,7 +148,7 @@ def stat_groups_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``name, ok, observed``: identities that must hold on any table."""
-    df = folded(spark, sf_dir).cache()
+    df = stored(folded(spark, sf_dir), "folds")
     sizes = df.groupBy("fold_random").agg(F.count("*").alias("n")).agg((F.max("n") - F.min("n")).cast("double").alias("x"))
     shared = df.groupBy("pos").agg(F.count_distinct("fold_position").alias("f")).agg(F.max("f").cast("double").alias("x"))
     one = metric_bundle(df.select("row_id", "score", "bin", F.col("score").alias("pred"), F.lit("self").alias("model")), ["model"])
