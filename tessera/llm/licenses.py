@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Known licence sentences, normalised (lower case, single spaces, letters, digits and dots
-# inside numbers), with their identifiers.
+# inside numbers), with their identifiers. A tilde stands for up to twelve words.
 SENTENCES = {
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
@@ -43,14 +43,44 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "ccbync4-ref",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "neither the name of ~ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "all rights reserved": "reserved",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2-ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3-ref",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "gnu general public license version 2 june 1991": "gpl2-ref",
+    "gnu general public license version 3 29 june 2007": "gpl3-ref",
+    "gnu lesser general public license version 2.1 february 1999": "lgpl21-ref",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-ref",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-ref",
+    "apache license version 2.0 january 2004": "apache-ref",
+    "mozilla public license version 2.0": "mpl2-ref",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-form",
+    "if a copy of the mpl was not distributed with this file you can obtain one at ~ mozilla org mpl 2.0": "mpl2-copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "to the extent possible under law ~ waived all copyright and related or neighboring rights to ~": "cc0-waiver",
+    "this is free and unencumbered software released into the public domain": "unlicense-domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
 }
 # Licence rules, each an ordered sequence of sentence identifiers.
 RULES = {
     "Apache-2.0": ("apache-ref",),
     "Apache-2.0-header": ("apache-ref", "apache-comply", "apache-obtain"),
+    "0BSD": ("0bsd-grant", "isc-warranty"),
+    "AGPL-3.0-only": ("agpl3-ref",),
+    "AGPL-3.0-or-later": ("agpl3-later",),
     "BSD-2-Clause": ("bsd-grant", "bsd-source", "bsd-binary"),
+    "BSD-3-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"),
+    "BSL-1.0": ("bsl-grant",),
     "CC-BY-4.0": ("ccby4-ref",),
     "CC-BY-NC-4.0": ("ccbync4-ref",),
     "CC-BY-SA-4.0": ("ccbysa4-ref",),
@@ -58,10 +88,26 @@ RULES = {
     "GPL-2.0-or-later": ("gpl2-later", "gpl-warranty"),
     "GPL-3.0-only": ("gpl3-ref",),
     "GPL-3.0-or-later": ("gpl3-later", "gpl-warranty"),
+    "ISC": ("isc-grant", "isc-warranty"),
+    "CC0-1.0": ("cc0-waiver",),
+    "LGPL-2.1-only": ("lgpl21-ref",),
+    "LGPL-2.1-or-later": ("lgpl21-later",),
+    "LGPL-3.0-only": ("lgpl3-ref",),
+    "LGPL-3.0-or-later": ("lgpl3-later",),
     "MIT": ("mit-grant", "mit-notice", "mit-warranty"),
     "MIT-reference": ("mit-ref",),
+    "MPL-2.0": ("mpl2-ref",),
+    "MPL-2.0-header": ("mpl-form", "mpl2-copy"),
+    "Unlicense": ("unlicense-domain", "unlicense-grant"),
+    "Zlib": ("zlib-grant",),
     "proprietary": ("reserved",),
 }
+#: Words that a tilde in a known sentence stands for.
+ANY_WORDS = 12
+#: A tag line names a licence by its identifier: one more sentence and rule for each.
+for _name in [n for n in RULES if n not in ("Apache-2.0-header", "MIT-reference", "MPL-2.0-header", "proprietary")]:
+    SENTENCES["spdx license identifier " + " ".join(re.split(r"[^a-z0-9.]+", _name.lower()))] = f"tag-{_name.lower()}"
+    RULES[f"{_name}-tag"] = (f"tag-{_name.lower()}",)
 #: Sentences end at line ends, and at a full stop, question or exclamation mark before white space or the end.
 SENTENCE_END = r"[\r\n]+|[.!?]+(?:[ \t]+|$)|[.!?]+[\r\n]+"
 
@@ -88,10 +134,20 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, " +", " "), f" ?([{SOFT}{HARD}]) ?", "$1")
 
 
+def _open(sentence: str, blank: str = " ") -> str:
+    """A pattern of a known sentence: tildes are words, and ``blank`` matches what parts words."""
+    words = rf"(?:[a-z0-9.]+{blank}){{0,{ANY_WORDS - 1}}}[a-z0-9.]+"
+    return re.escape(sentence).replace(r"\~", "~").replace(r"\ ", blank).replace("~", words)
+
+
+#: What may stand before a sentence of a list.
+_ITEM = "(?:[a-z]|[ivx]{1,4}|[0-9]{1,2})"
+
+
 def _known() -> str:
-    """Matches a known sentence in a marked text, the longest one first."""
-    any_of = "|".join(re.escape(s).replace(r"\ ", f"[ {SOFT}]") for s in sorted(SENTENCES, key=len, reverse=True))
-    return f"(?<=[{SOFT}{HARD}])(?:{any_of})(?=[{SOFT}{HARD}])"
+    """Matches a known sentence in a marked text, the longest one first, behind the mark of a list's item or without."""
+    any_of = "|".join(_open(s, f"[ {SOFT}]") for s in sorted(SENTENCES, key=len, reverse=True))
+    return f"(?<=[{SOFT}{HARD}])(?:{_ITEM} )?(?:{any_of})(?=[{SOFT}{HARD}])"
 
 
 def _rules_for(ids: Column) -> Column:
@@ -110,6 +166,10 @@ def _pattern(seq: tuple[str, ...]) -> str:
     return "(?:;.*)?".join(f";{s}" for s in seq) + ";"
 
 
+#: Texts without one of these are not looked at: every known sentence holds one.
+WORDS = "licen|permi|copyright|reserved|free software|gnu|warrant|redistribut|compliance|mpl|public domain|anyone is free"
+
+
 def scan(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     """``key`` columns, ``n_sentences`` (known ones), ``sentence_ids`` and ``licenses`` (both joined by commas) for every row.
 
@@ -117,10 +177,17 @@ def scan(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
     nothing is exploded, joined or shuffled.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    word = r"licen|permi|copyright|reserved|free software|gnu|warranty|redistribution|compliance"
+    open_ = [(f"^(?:{_ITEM} )?{_open(s)}$", i) for s, i in SENTENCES.items() if "~" in s]
+
+    def id_of(sentence: Column) -> Column:
+        whole = F.try_element_at(known, sentence)
+        item = F.try_element_at(known, F.regexp_replace(sentence, f"^{_ITEM} ", ""))
+        return F.coalesce(whole, item, *[F.when(sentence.rlike(p), F.lit(i)) for p, i in open_])
+
+    word = WORDS
     found = F.when(F.lower("text").rlike(word), F.regexp_extract_all(marked(F.col("text")), F.lit(_known()), F.lit(0)))
     found = F.coalesce(found, F.array().cast("array<string>"))
-    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, SOFT, " ")))
+    ids = F.transform(found, lambda s: id_of(F.translate(s, SOFT, " ")))
     rows = docs.select(*key, ids.alias("_ids"))
     joined = F.concat(F.lit(";"), F.array_join("_ids", ";"), F.lit(";"))
     return rows.select(
@@ -133,7 +200,8 @@ def scan(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same in DuckDB SQL."""
-    values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items() if "~" not in s)
+    open_ = " ".join(f"WHEN regexp_full_match(sentence, '{_open(s)}') THEN '{i}'" for s, i in SENTENCES.items() if "~" in s)
     rules = []
     for name, seq in sorted(RULES.items()):
         tests = [f"regexp_matches(ids, '{_pattern(seq)}')"]
@@ -145,9 +213,10 @@ parts AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{SENTENC
                  generate_subscripts(string_split_regex(coalesce(text, ''), '{SENTENCE_END}'), 1) AS k FROM documents),
 norm AS (SELECT doc_id, k, regexp_replace(trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'),
                 '(^|[^0-9])[.]+|[.]+($|[^0-9])', '\\1 \\2', 'g')), ' +', ' ', 'g') AS sentence
-         FROM parts WHERE regexp_matches(lower(s), 'licen|permi|copyright|reserved|free software|gnu|warranty|redistribution|compliance')),
+         FROM parts WHERE regexp_matches(lower(s), '{WORDS}')),
+named AS (SELECT doc_id, k, coalesce(known.sid, CASE {open_} END) AS sid FROM norm LEFT JOIN known USING (sentence)),
 hits AS (SELECT doc_id, count(*) AS n, string_agg(sid, ',' ORDER BY k) AS sids, ';' || string_agg(sid, ';' ORDER BY k) || ';' AS ids
-         FROM norm JOIN known USING (sentence) GROUP BY doc_id)
+         FROM named WHERE sid IS NOT NULL GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(sids, '') AS sentence_ids,
        CASE WHEN ids IS NULL THEN '' ELSE concat_ws(',', {', '.join(rules)}) END AS licenses
 FROM documents d LEFT JOIN hits h USING (doc_id)

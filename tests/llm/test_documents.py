@@ -422,6 +422,27 @@ def test_wrapped_licences(spark):
     assert {r["name"]: r.sentence_ids for r in got if not r.i}["GPL-3.0-or-later"] == "gpl3-later,gpl-warranty,gpl-see"
 
 
+def test_more_licences(spark):
+    names = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+    lgpl = GPL.replace("This program is", "This library is").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+    texts = {
+        "BSD-3-Clause": BSD + names,
+        "ISC": isc,
+        "MPL-2.0-header": mpl,
+        "LGPL-2.1-or-later": lgpl,
+        "AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General"),
+        "CC0-1.0": "To the extent possible under law, Jane Person has waived all copyright and related or neighboring rights to\nthis work.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n",
+        "MIT-tag": "// SPDX-License-Identifier: MIT\nint x;",
+        "Apache-2.0-tag": "# SPDX-License-Identifier: Apache-2.0",
+        "BSD-2-Clause": BSD.replace("1. ", "a) ").replace("2. ", "b) "),
+    }
+    got = licenses.scan(spark.createDataFrame(list(texts.items()), "name string, text string"), ["name"]).collect()
+    assert {r["name"]: r["licenses"] for r in got} == {n: n for n in texts}
+
+
 def test_runs_stop_at_sentence_ends(spark):
     texts = {1: "Licensed under\nthe MIT License", 2: "Licensed under\n\nthe MIT License", 3: "Licensed under.\nthe MIT License", 4: "Licensed under\n--\nthe MIT License", 5: "Not licensed under\nthe MIT License"}
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
