@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit, domain, joins, models, reliability, scores  # noqa: F401  they register their queries
+from .plans import audit, domain, joins, models, reliability, scores, structure  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL, Query
 
 

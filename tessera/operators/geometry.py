@@ -1,53 +1,96 @@
-"""Distances between points in space."""
+"""Distances between points in space, and areas of atoms."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 
-def contact_counts(points: DataFrame, key: str, radii: dict[str, float]) -> DataFrame:
-    """For each radius: how many other points lie strictly within it, at a distance above zero.
+#: Dots of a sphere that share one number, a bit each.
+BITS = 60
 
-    Points meet those of their own and the 26 next cells of a grid as wide as the largest radius.
+
+def near_pairs(points: DataFrame, others: DataFrame, by: Sequence[str], width: float | Column) -> DataFrame:
+    """``points`` beside ``others``, whose places become ``qx, qy, qz``, at the distance ``_d``: at least all pairs nearer than ``width``.
+
+    Points meet those of their own and the 26 next cells of a grid; only ``by`` may be in both tables beside ``x, y, z``.
     """
-    r = max(radii.values())
-    cell = {f"c{a}": F.floor(F.col(a) / r) for a in "xyz"}
-    here = points.withColumns(cell)
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    there = points.withColumns({f"q{a}": F.col(a) for a in "xyz"}).withColumns(cell).select(F.col(key).alias("_k"), "qx", "qy", "qz", "cx", "cy", "cz")
+    cells = {f"c{a}": F.floor(F.col(a) / width) for a in "xyz"}
+    there = others.withColumns(cells)
     for a in "xyz":
-        there = there.withColumn("_s", F.explode(step)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_s")).drop("_s")
+        there = there.withColumnRenamed(a, f"q{a}").withColumn("_s", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+        there = there.withColumn(f"c{a}", F.col(f"c{a}") + F.col("_s")).drop("_s")
     d = F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(a) - F.col(f"q{a}"), 2) for a in "xyz"]))
-    pairs = here.join(there, ["cx", "cy", "cz"]).where(F.col(key) != F.col("_k")).withColumn("_d", d).where(F.col("_d") > 0)
-    counts = pairs.groupBy(key).agg(*[F.count_if(F.col("_d") < v).alias(n) for n, v in radii.items()])
-    return points.select(key).join(counts, key, "left").fillna(0, list(radii))
+    return points.withColumns(cells).join(there, [*by, *cells]).withColumn("_d", d).drop(*cells)
+
+
+def contact_counts(points: DataFrame, key: str, radii: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """For each radius: how many other points lie strictly within it, at a distance above zero."""
+    others = points.select(*by, F.col(key).alias("_k"), "x", "y", "z")
+    pairs = near_pairs(points, others, by, max(radii.values())).where((F.col(key) != F.col("_k")) & (F.col("_d") > 0))
+    counts = pairs.groupBy(*by, key).agg(*[F.count_if(F.col("_d") < v).alias(n) for n, v in radii.items()])
+    return points.select(*by, key).join(counts, [*by, key], "left").fillna(0, list(radii))
+
+
+def nearest_distance(points: DataFrame, others: DataFrame, key: str, by: Sequence[str], width: float) -> DataFrame:
+    """``by, key, distance`` to the nearest of ``others``; null where there is none.
+
+    A nearest point within a cell's width is certain; points without one ask again in cells four times as wide.
+    """
+    places = [*by, "x", "y", "z"]
+    sides = points.select("x", "y", "z").union(others.select("x", "y", "z")).agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
+    span = max((s for s in sides if s is not None), default=0.0)
+    left, found = points.select(key, *places), []
+    while True:
+        least = near_pairs(left, others.select(*places), by, width).groupBy(*by, key).agg(F.min("_d").alias("distance"))
+        asked = stored(left.join(least, [*by, key], "left"), "nearest")
+        if width > span:
+            found.append(asked)
+            break
+        found.append(asked.where(F.col("distance") <= width))
+        left = asked.where(F.col("distance").isNull() | (F.col("distance") > width)).drop("distance")
+        if left.isEmpty():
+            break
+        width *= 4
+    return reduce(DataFrame.unionByName, [f.select(*by, key, "distance") for f in found])
 
 
 def sphere(n: int = 100) -> np.ndarray:
-    """Even points on the unit sphere, along a golden spiral."""
-    i = np.arange(n) + 0.5
-    polar, turn = np.arccos(1 - 2 * i / n), np.pi * (1 + 5**0.5) * i
-    return np.stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)], axis=1)
-
-
-def accessible_area(atoms: DataFrame, probe: float = 1.4, n: int = 100) -> DataFrame:
-    """Solvent-accessible area of each atom of ``atoms(chain, atom_id, x, y, z, radius)``, by rolling a probe; one group a chain."""
-
-    def area(rows: pd.DataFrame) -> pd.DataFrame:
-        xyz, r = rows[["x", "y", "z"]].to_numpy(float), rows["radius"].to_numpy(float) + probe
-        dots, out = sphere(n), np.zeros(len(rows))
-        for i in range(len(rows)):
-            near = np.flatnonzero((np.linalg.norm(xyz - xyz[i], axis=1) < r + r[i]) & (np.arange(len(rows)) != i))
-            surface = xyz[i] + dots * r[i]
-            free = np.ones(n, bool)
-            for j in near:
-                free &= np.linalg.norm(surface - xyz[j], axis=1) >= r[j]
-            out[i] = 4 * np.pi * r[i] ** 2 * free.mean()
-        return pd.DataFrame({"chain": rows["chain"], "atom_id": rows["atom_id"], "area": out})
-
-    return atoms.groupBy("chain").applyInPandas(area, "chain string, atom_id long, area double")
+    """Even points on the unit sphere: equal steps from pole to pole, turned by the golden angle."""
+    k = np.arange(n)
+    z, turn = 1 - (2 * k + 1) / n, k * np.pi * (3 - 5**0.5)
+    r = np.sqrt(1 - z**2)
+    return np.stack([np.cos(turn) * r, np.sin(turn) * r, z], axis=1)
+
+
+def accessible_area(atoms: DataFrame, probe: float = 1.4, n: int = 100, by: Sequence[str] = ("chain",), key: str = "atom_id") -> DataFrame:
+    """Solvent-accessible area of each atom of ``atoms(by, key, x, y, z, radius)``, by rolling a probe over those of its group.
+
+    A neighbour hides dots of an atom's sphere, one bit each; hidden dots of all neighbours add up by bitwise or, so
+    neither dots nor neighbours are ever collected.
+    """
+    wide = atoms.select(*by, key, "x", "y", "z", (F.col("radius") + probe).alias("_r"))
+    wide = wide.join(F.broadcast(wide.agg((2 * F.max("_r")).alias("_w"))))  # one row
+    others = wide.select(*by, "x", "y", "z", "_w", F.col(key).alias("_k"), F.col("_r").alias("_q"))
+    # the width is the same in every row, so it may stand among the join's keys
+    pairs = near_pairs(wide, others, [*by, "_w"], F.col("_w")).where((F.col(key) != F.col("_k")) & (F.col("_d") < F.col("_r") + F.col("_q")))
+    dots = [[float(v) for v in d] for d in sphere(n)]
+    names = []
+    for i in range(0, n, BITS):
+        part = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", d)], F.lit(1 << j).cast("long").alias("bit")) for j, d in enumerate(dots[i : i + BITS])])
+        names.append(f"_m{i}")
+        pairs = pairs.withColumn(names[-1], F.aggregate(part, F.lit(0).cast("long"), lambda m, d: F.when(_hides(d), m.bitwiseOR(d["bit"])).otherwise(m)))
+    hidden = pairs.groupBy(*by, key).agg(*[F.bit_or(m).alias(m) for m in names])
+    free = n - reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(m), F.lit(0)) for m in names])
+    return wide.join(hidden, [*by, key], "left").select(*by, key, (4 * np.pi * F.col("_r") * F.col("_r") * free / n).alias("area"))
+
+
+def _hides(dot: Column) -> Column:
+    """Does the neighbour at ``qx, qy, qz`` cover this dot of the sphere around ``x, y, z``?"""
+    parts = [F.col(a) + F.col("_r") * dot[a] - F.col(f"q{a}") for a in "xyz"]
+    return reduce(lambda x, y: x + y, [p * p for p in parts]) < F.col("_q") * F.col("_q")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,6 +59,56 @@ def bad_sequences(records: DataFrame) -> DataFrame:
     return records.where(~F.col("sequence").rlike(f"^[{LETTERS}]+$"))
 
 
+def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n, value``: the numbered lines of the first model of each structure file.
+
+    A file is one row at first; its format bounds it to 99,999 atoms a model.
+    """
+    lines = F.split("value", "\r?\n")
+    end = F.array_position(F.transform(lines, F.rtrim), "ENDMDL")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.when(end > 0, F.slice(lines, F.lit(1), end)).otherwise(lines).alias("l"))
+    return files.select("file", F.posexplode("l").alias("n", "value"))
+
+
+def parse_atoms(lines: DataFrame) -> DataFrame:
+    """``file, atom_id, atom, residue, chain, pos, hetero, element, x, y, z, b`` from fixed-width atom lines (``file, value``).
+
+    Of several places of one atom the one with the highest occupancy stays (ties: the first by its letter). Residues
+    with an insertion code are left out, as they share a number with another.
+    """
+    cut = lambda start, n: F.trim(F.substring("value", start, n))
+    rows = lines.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM") & (F.substring("value", 27, 1) == " "))
+    rows = rows.select(
+        "file",
+        cut(7, 5).cast("long").alias("atom_id"),
+        cut(13, 4).alias("atom"),
+        cut(18, 3).alias("residue"),
+        cut(22, 1).alias("chain"),
+        cut(23, 4).cast("int").alias("pos"),
+        F.col("value").startswith("HETATM").alias("hetero"),
+        cut(77, 2).alias("element"),
+        *[cut(31 + 8 * i, 8).cast("double").alias(a) for i, a in enumerate("xyz")],
+        cut(61, 6).cast("double").alias("b"),
+        F.struct(-F.coalesce(cut(55, 6).cast("double"), F.lit(0.0)), cut(17, 1), cut(7, 5).cast("long")).alias("_order"),
+    )
+    keys = ["file", "chain", "pos", "hetero", "residue", "atom"]
+    rest = [c for c in rows.columns if c not in (*keys, "_order")]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "_order").alias("_v"))
+    return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def read_optional(spark: SparkSession, path: str, switch: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``; None where it is missing, or where the setting ``switch`` turns this source off."""
+    if switch and spark.conf.get(switch, "").lower() in ("1", "true"):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def positions(records: DataFrame) -> DataFrame:
     """``pos`` (from 1) and ``ref`` of each letter."""
     return records.select(F.posexplode(F.split("sequence", "")).alias("p", "ref")).where("ref <> ''").select((F.col("p") + 1).alias("pos"), "ref")
