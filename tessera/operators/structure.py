@@ -86,3 +86,28 @@ def with_windows(features: DataFrame, windows: Sequence[int] = WINDOWS) -> DataF
     base = [c for c in features.columns if c not in ("file", "pos", "has_coords")]
     axis = Window.partitionBy("file").orderBy("pos")
     return features.select("*", *[F.avg(c).over(axis.rowsBetween(-(w // 2), w // 2)).alias(f"{c}_w{w}") for w in windows for c in base])
+
+
+def reference_check(atoms: DataFrame, reference: DataFrame, chain: str) -> DataFrame:
+    """For each file: modelled positions and their share, those with another symbol than ``ref``, runs that are missing.
+
+    Lists of positions are text; an axis is as long as one sequence.
+    """
+    seen = atoms.where((F.col("chain") == chain) & ~F.col("hetero") & F.col("residue").isin(list(LETTER)))
+    seen = seen.groupBy("file", "pos").agg(F.max(looked_up(LETTER, "residue")).alias("_s"))
+    rows = reference.join(seen, ["file", "pos"], "left")
+    order = Window.partitionBy("file", F.col("_s").isNull()).orderBy("pos")
+    other = F.col("_s") != F.col("ref")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda p: p.cast("string")), ",")
+    counts = rows.groupBy("file").agg(
+        F.count("_s").alias("n_modelled"),
+        (F.count("_s") / F.count("*")).alias("coverage"),
+        F.count_if(other).alias("n_mismatch"),
+        joined(F.collect_list(F.when(other, F.col("pos")))).alias("mismatches"),
+    )
+    gaps = rows.withColumn("_g", F.col("pos") - F.row_number().over(order)).where("_s is null")
+    runs = gaps.groupBy("file", "_g").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).groupBy("file").agg(
+        F.count("*").alias("n_runs"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi"))), lambda r: F.concat_ws("-", r["lo"].cast("string"), r["hi"].cast("string"))), ",").alias("missing"),
+    )
+    return counts.join(runs, "file", "left").fillna(0, ["n_runs"]).fillna("", ["missing"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.structure import LARGEST_AREA, LETTER, RADII, WINDOWS, position_features, with_windows
+from ..operators.structure import LARGEST_AREA, LETTER, RADII, WINDOWS, position_features, reference_check, with_windows
 from ..sources.assay import draw, table
 from ..sources.text import LETTERS, parse_atoms
 from .registry import query
@@ -106,3 +106,19 @@ def geom_position_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geom_structure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features and their centred means."""
     return with_windows(features(spark, sf_dir))
+
+
+_REPORT = f"""present AS (SELECT DISTINCT file, pos FROM atoms WHERE chain = 'B' AND NOT hetero),
+ref AS (SELECT file, CAST(i AS INTEGER) AS pos FROM (SELECT DISTINCT file FROM raw), range(1, {LENGTH + 1}) t(i)),
+miss AS (SELECT file, pos, pos - row_number() OVER (PARTITION BY file ORDER BY pos) AS g FROM ref ANTI JOIN present USING (file, pos)),
+runs AS (SELECT file, min(pos) AS lo, max(pos) AS hi FROM miss GROUP BY file, g),
+r AS (SELECT file, count(*) AS n_runs, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS missing FROM runs GROUP BY file),
+c AS (SELECT file, count(*) AS n_modelled, count(*) / {LENGTH}::DOUBLE AS coverage, count(*) FILTER (pos % 50 = 7) AS n_mismatch,
+  string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (pos % 50 = 7) AS mismatches FROM present GROUP BY file)"""
+
+
+@query(f"WITH {_ATOMS}, {_REPORT} SELECT file, n_modelled, coverage, n_mismatch, coalesce(mismatches, '') AS mismatches, n_runs, missing FROM c JOIN r USING (file)")
+def geom_reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far structures agree with their references: modelled positions, other symbols, runs without coordinates."""
+    atoms = parse_atoms(structure_lines(spark, sf_dir))
+    return reference_check(atoms, reference(spark, sf_dir), "B").select("file", "n_modelled", "coverage", "n_mismatch", "mismatches", "n_runs", "missing")
