@@ -33,7 +33,10 @@ def split_half(df: DataFrame, group: list[str], value: str, key: str, reps: int,
     Halves are dealt by an md5 order within the group; an odd row is left out.
     """
     by = by or []
-    rows = df.withColumn("_n", F.count("*").over(Window.partitionBy(*by, *group))).where(F.col("_n") >= least)
+    # few bytes become reps times the work, so small tables must not be merged to a task; the repeats stay where their group is
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*by, *group, key, value).repartition(parts, *by, *group)
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by, *group))).where(F.col("_n") >= least)
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     order = Window.partitionBy("rep", *by, *group).orderBy(F.md5(F.concat_ws(":", F.lit("h"), "rep", F.col(key).cast("string"))), key)
     rows = rows.withColumns({"_r": F.row_number().over(order), "_h": F.floor(F.col("_n") / 2)})

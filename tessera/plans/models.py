@@ -154,8 +154,8 @@ def model_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features(spark, sf_dir).withColumn("fold3", F.col("fold_position") % 3).select("row_id", "score", "fold3", *columns_excluding(GROUPS, []))
-    return boosted_out_of_fold(df, columns_excluding(GROUPS, []), "score", "fold3").select("row_id", "fold3", "pred")
+    df = features(spark, sf_dir).select("row_id", "score", "fold_position", *columns_excluding(GROUPS, []))
+    return boosted_out_of_fold(df, columns_excluding(GROUPS, []), "score", "fold_position").select("row_id", "fold_position", "pred")
 
 
 @query()

@@ -18,7 +18,7 @@ from .base import annotated, folded_table
 from .registry import query
 
 #: Random halves, and draws of clusters and of units. The operators take any number; the reference's are 200, 500 and 2,000.
-SPLITS, REPS, UNIT_DRAWS = 50, 20, 2_000
+SPLITS, REPS, UNIT_DRAWS = 200, 20, 2_000
 
 _ICC = f"""g AS (SELECT pos, count(*)::DOUBLE AS k, avg(score) AS m, var_pop(score) AS v, sum(score) AS s FROM assay GROUP BY pos),
 t AS (SELECT count(*)::DOUBLE AS a, sum(k) AS n, sum(k * k) AS k2, (SELECT avg(score) FROM assay) AS mu, sum(k * v) AS w, avg(k) AS mean_group_size FROM g),
