@@ -154,21 +154,6 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links: each id with the smallest one that it reaches."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for x, y in zip(u.tolist(), v.tolist(), strict=True):
-        x, y = find(x), find(y)
-        root[max(x, y)] = min(x, y)
-    return [(find(x), x) for x in root]
-
-
 class Sample:
     """Shingles of the rows that are asked for partners, in one sorted array, and their labels."""
 

@@ -29,3 +29,11 @@ def test_run_and_edges(spark, odd_documents):
         kept = stage(spark, kept, f"{DATA}/sf0.001")
         assert kept.columns == odd_documents.columns
     assert kept.where("text is null").count() == 2
+
+
+def test_empty_table(spark, no_documents):
+    kept = no_documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{DATA}/sf0.001")
+        assert kept.columns == no_documents.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, f"{DATA}/sf0.001").count() == 0
