@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
 documents. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again.
+
+Edge cases: null, empty and blank texts pass every stage and are encoded as the end id alone (the mix takes such rows
+once); rows without an id are never near copies; rows that repeat an id stay or go together among near copies; null
+sources are a source of their own; further columns, whatever their names, come through all stages but the last; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
