@@ -269,22 +269,22 @@ def sketches(docs: DataFrame, n: int, threshold: float, trees: int, rows: int) -
 
 
 def hopeful_rows(classes: DataFrame, rows: int, trees: int, depth: int, loose: float) -> DataFrame:
-    """``class_id, prefix`` of rows that, by their labels, may be linked with a row that they meet there first."""
+    """``class_id, prefix, size`` of rows that, by their labels, may be linked with a row that they meet there first."""
     spread = classes.select("class_id", F.explode("labels").alias("label")).select("class_id", cut(F.col("label"), depth).alias("prefix"))
     crowds = _different(spread).select("prefix", "members")
     hot = crowds.where(F.col("members") > F.lit(max(HOT_SHARE * rows * trees, 8.0)))
-    met = in_blocks(joined(spread, crowds, hot, "prefix"), F.ceil(F.col("members") / LABEL_BLOCK)).drop("members")
-    met = met.join(classes.select("class_id", "labels"), "class_id")
+    met = joined(spread, crowds, hot, "prefix").join(classes.select("class_id", "labels", "size"), "class_id")
+    met = in_blocks(met, F.ceil(F.col("members") / LABEL_BLOCK)).drop("members")
 
     def look(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(rows, key[1], key[2])
-        got: list = []
+        got = rows.iloc[:0]
         if len(a) and len(b):
             x, y = _hopeful(_matrix(a["labels"]), _matrix(b["labels"]), key[0] & 0xFF, depth, loose, a is b)
-            got = np.union1d(a["class_id"].to_numpy()[x], b["class_id"].to_numpy()[y])
-        return pd.DataFrame({"class_id": np.asarray(got, np.int64), "prefix": np.full(len(got), key[0], np.int64)})
+            got = pd.concat([a.iloc[np.unique(x)], b.iloc[np.unique(y)]])
+        return got[["class_id", "prefix", "size"]].drop_duplicates("class_id")
 
-    return met.groupBy("prefix", "i", "j").applyInPandas(look, "class_id long, prefix long").distinct()
+    return met.groupBy("prefix", "i", "j").applyInPandas(look, "class_id long, prefix long, size long").distinct()
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -324,13 +324,13 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 
     texts = docs.join(known, docs["doc_id"] == known["class_id"]).select("class_id", "key", "text")
     sets = texts.mapInArrow(shingled, "class_id long, sh array<long>").dropDuplicates(["class_id"])
-    sizes = classes.select("class_id", "copies", "size", "labels")
-    near = near.join(sizes.select("class_id", "size"), "class_id")
+    sets = sets.join(classes.select("class_id", "copies", "labels"), "class_id")
     crowds = near.groupBy("prefix").agg(F.count("*").alias("members"), F.sum("size").alias("whole"))
     hot = crowds.where(F.col("members") > F.lit(max(HOT_SHARE * n_near, 8.0)))
-    full = joined(near, crowds, hot, "prefix").drop("size")
+    # a row gets its shingles once for each prefix, before it is dealt to blocks
+    full = joined(near, crowds, hot, "prefix").drop("size").join(sets, "class_id")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("whole") / BLOCK_SHINGLES))
-    full = in_blocks(full, blocks).drop("members", "whole").join(sizes.drop("size"), "class_id").join(sets, "class_id")
+    full = in_blocks(full, blocks).drop("members", "whole")
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(rows, key[1], key[2])
