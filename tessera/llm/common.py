@@ -67,14 +67,15 @@ def written(df: DataFrame, name: str, rows: int | None = None, shuffled: bool =
 HOT_SHARE = 1 / 1000
 
 
-def joined(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def joined(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, how: str = "inner", keys: list | None = None) -> DataFrame:
     """``many`` joined with ``one`` (one row a key; the same join as by key alone).
 
     ``hot``: rows of ``one`` whose keys hold a large share of ``many``, at most ``1 / HOT_SHARE`` of them. They are
-    sent to all tasks, so no task gets all rows of a hot key; the rest meet by key.
+    sent to all tasks, so no task gets all rows of a hot key; the rest meet by key. ``keys``: the keys of ``hot``,
+    where they are known and ``many`` has no null key; then a filter tells the rest.
     """
     near = many.join(F.broadcast(hot), key)
-    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti") if keys is None else many.where(~F.col(key).isin(keys))
     return near.unionByName(rest.join(one, key, how), allowMissingColumns=True)
 
 

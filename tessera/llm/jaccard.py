@@ -271,9 +271,11 @@ def sketches(docs: DataFrame, n: int, threshold: float, trees: int, rows: int) -
 def hopeful_rows(classes: DataFrame, rows: int, trees: int, depth: int, loose: float) -> DataFrame:
     """``class_id, prefix, size`` of rows that, by their labels, may be linked with a row that they meet there first."""
     spread = classes.select("class_id", F.explode("labels").alias("label")).select("class_id", cut(F.col("label"), depth).alias("prefix"))
-    crowds = _different(spread).select("prefix", "members")
+    crowds = written(_different(spread).select("prefix", "members"), "crowds", rows)
     hot = crowds.where(F.col("members") > F.lit(max(HOT_SHARE * rows * trees, 8.0)))
-    met = joined(spread, crowds, hot, "prefix").join(classes.select("class_id", "labels", "size"), "class_id")
+    # all labels pass here: hot prefixes, at most 1 / HOT_SHARE numbers, are told by a filter
+    known = [r["prefix"] for r in hot.select("prefix").collect()]
+    met = joined(spread, crowds, hot, "prefix", keys=known).join(classes.select("class_id", "labels", "size"), "class_id")
     met = in_blocks(met, F.ceil(F.col("members") / LABEL_BLOCK)).drop("members")
 
     def look(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
