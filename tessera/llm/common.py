@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.shared import shared_folder
 
@@ -33,6 +34,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -62,6 +67,36 @@ def written(df: DataFrame, name: str, rows: int | None = None, shuffled: bool =
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A row's place within its task, below the task's number, in ``monotonically_increasing_id``.
+PLACE_BITS = 33
+
+
+def range_sorted(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` dealt out by ranges of ``order`` and sorted, as a written table with ``_p``, a range's number, and ``_r``,
+    a row's place in its range from 0; ranges ascend.
+
+    Ranges are cut between rows of a different key only: end ``order`` with a unique column where a key may be hot.
+    Behind it stands a sample of ``df``, which so runs twice: pass a written table.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    place = F.col("_m").bitwiseAND((1 << PLACE_BITS) - 1)
+    return written(rows.select(*df.columns, F.shiftright("_m", PLACE_BITS).alias("_p"), place.alias("_r")), name)
+
+
+def numbered(ranged: DataFrame, number: str, group: str | None = None, size: str | None = None) -> DataFrame:
+    """Rows of ``range_sorted`` with ``number``, their place from 0 in the whole order (within ``group``, by which the
+    order begins, if given), and, as ``size``, the rows of their group.
+
+    Only counts of ranges meet; no task holds a group.
+    """
+    keys = ["_p"] + ([group] if group else [])
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("_r").alias("_first"))
+    every = Window.partitionBy(*([group] if group else []))
+    below = F.coalesce(F.sum("_c").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, (below - F.col("_first")).alias("_shift"), *([F.sum("_c").over(every).alias(size)] if size else []))
+    return ranged.join(counts, keys).withColumn(number, F.col("_r") + F.col("_shift")).drop("_p", "_r", "_shift")
+
+
 #: A key with more than this share of a table's rows is hot: it meets its partner without a shuffle. There are at most
 #: so many hot keys as the share goes into one, whatever the table's size.
 HOT_SHARE = 1 / 1000

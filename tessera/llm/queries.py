@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, lm_scoring, mixing, neardup, pieces, secrets, topk, toxicity
-from .common import documents, embeddings, labels, remainder
+from . import jaccard, langid, licenses, lm_scoring, manifest, mixing, neardup, pieces, resampling, secrets, sharding, topk, toxicity
+from .common import benchmark, documents, embeddings, labels, remainder
 
 
 def piece_model() -> str:
@@ -69,6 +69,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), manifest.tampered())
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_documents(documents(spark, sf_dir))
+
+
 _OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -88,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_lm_scoring, op2_mixing, op3_sentencepiece, op4_jaccard_join, op5_secret_scan,
             op6_license_scan, op7_toxicity, op8_embedding_dedup, op9_language_id, op10_exact_top_k,
+            op11_resampling, op12_merkle_manifest, op13_sharding,
         )
     } | {"pipeline": corpus_pipeline.run}
 
