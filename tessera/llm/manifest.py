@@ -145,3 +145,46 @@ def tampered() -> Column:
     more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
     hit = F.col("doc_id").isNotNull() & (remainder("doc_id", 7) == 0) & F.col("n_chars").isNotNull()
     return F.when(hit, leaf(n_chars=more))
+
+
+#: Levels that the SQL spells out below subroots and below the root; groups of one node pass through the rest.
+SQL_DEPTH, SQL_ABOVE = 24, 12
+
+
+def _sql_levels(name: str, depth: int) -> str:
+    """Levels above ``{name}0(g, i, n, h)``: pairs are hashed, and what is alone in its group stays as it is."""
+    return ", ".join(
+        f"{name}{k + 1} AS MATERIALIZED (SELECT g, i // 2 AS i, (max(n) + 1) // 2 AS n, "
+        f"CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY g, i // 2)"
+        for k in range(depth)
+    )
+
+
+def _sql_climb(rows: str, name: str, depth: int) -> str:
+    """Tables that take ``{rows}0(id, g, i, n, f, proof)`` up the levels: siblings are added, ``f`` is hashed with them."""
+    return ", ".join(
+        f"{rows}{k + 1} AS MATERIALIZED (SELECT r.id, r.g, r.i // 2 AS i, (r.n + 1) // 2 AS n, r.proof || coalesce(s.h, '') AS proof, "
+        f"CASE WHEN r.n = 1 THEN f ELSE sha256(CASE WHEN r.i % 2 = 1 THEN s.h || f ELSE f || coalesce(s.h, '') END) END AS f "
+        f"FROM {rows}{k} r LEFT JOIN {name}{k} s ON s.g = r.g AND s.i = xor(r.i, 1))"
+        for k in range(depth)
+    )
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB SQL, which has no checksum function: it is spelled out bit by bit."""
+    field = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END"
+    fields = lambda more: " || ".join(field(c, f"CAST({c}{more if c == 'n_chars' else ''} AS VARCHAR)") for c in FIELDS)
+    bit = "lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END"
+    byte = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    checksum = f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), {byte}), 4294967295)"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g, sha256({fields('')}) AS leaf,
+  CASE WHEN n_chars IS NOT NULL AND {checksum} % 7 = 0 THEN sha256({fields(' + 1')}) END AS changed FROM documents),
+x AS MATERIALIZED (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+a0 AS (SELECT g, i, n, leaf AS h FROM x), {_sql_levels('a', SQL_DEPTH)},
+t AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM a{SQL_DEPTH}),
+b0 AS (SELECT '' AS g, i, n, h FROM t), {_sql_levels('b', SQL_ABOVE)},
+r0 AS (SELECT id, g, i, n, coalesce(changed, leaf) AS f, '' AS proof FROM x), {_sql_climb('r', 'a', SQL_DEPTH)},
+u0 AS (SELECT r.id, '' AS g, t.i, t.n, f, proof FROM r{SQL_DEPTH} r JOIN t USING (g)), {_sql_climb('u', 'b', SQL_ABOVE)}
+SELECT doc_id, leaf, t.h AS subroot, b.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b.h AS verified
+FROM x JOIN u{SQL_ABOVE} u USING (id) JOIN t ON t.g = x.g, b{SQL_ABOVE} b"""

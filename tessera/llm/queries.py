@@ -108,5 +108,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op6_license_scan": licenses.oracle_sql(), "op10_exact_top_k": _OP10_SQL}
+    out = {"op6_license_scan": licenses.oracle_sql(), "op10_exact_top_k": _OP10_SQL, "op12_merkle_manifest": manifest.oracle_sql()}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,13 @@ def test_manifest_equals_brute_force(spark):
     assert 0 < got.where("not verified").count() < got.count()
 
 
+def test_manifest_sql_equals_brute_force(spark):
+    docs = _rows(common.documents(spark, f"{DATA}/sf0.01"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/sf0.01/documents.parquet'")
+    assert sorted(map(repr, con.execute(manifest.oracle_sql()).fetchall())) == _manifested(docs)
+
+
 @pytest.mark.parametrize("fanout", [2, 3])
 def test_manifest_of_odd_rows(spark, odd_documents, fanout):
     docs = odd_documents.drop("key").withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in MORE.split(", ")}).repartition(3)
