@@ -11,14 +11,15 @@ from ..functions.ranks import add_ranks, shuffled_number
 from ..functions.stats import chi2_upper, normal_two_sided, pearson, pearson_sql, spearman_brown
 from ..operators import folds
 from ..operators.relational import densify, out_of_fold
-from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half, weighted_spearman
+from ..operators.bootstrap import drawn_spearman
+from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay
 from ..sources.shared import stored
 from .base import annotated, folded_table
 from .registry import query
 
-#: Random halves, and draws of clusters and of units. The operators take any number; the reference's are 200, 500 and 2,000.
-SPLITS, REPS, UNIT_DRAWS = 200, 20, 2_000
+#: Random halves, and draws of clusters and of units. The operators take any number.
+SPLITS, REPS, UNIT_DRAWS = 200, 500, 2_000
 
 _ICC = f"""g AS (SELECT pos, count(*)::DOUBLE AS k, avg(score) AS m, var_pop(score) AS v, sum(score) AS s FROM assay GROUP BY pos),
 t AS (SELECT count(*)::DOUBLE AS a, sum(k) AS n, sum(k * k) AS k2, (SELECT avg(score) FROM assay) AS mu, sum(k * v) AS w, avg(k) AS mean_group_size FROM g),
@@ -151,31 +152,40 @@ def stat_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- cluster bootstrap: draws as weights, never as copied rows
 
-_DRAWS = f"""cl AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i FROM (SELECT DISTINCT pos FROM assay)),
-pk AS (SELECT rep, ('0x' || substr(md5('b:' || rep || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM cl) AS i FROM cl, range(0, {REPS}) t(rep)),
-wt AS (SELECT rep, pos, count(*) AS w FROM pk JOIN cl USING (i) GROUP BY ALL),
+
+def _mix_sql(x: str, to: str) -> str:
+    """Columns that scatter the whole number ``x`` below 2 ** 32, as ``to``."""
+    step = lambda x: f"xor({x} >> 16, {x}) * 73244475 % 4294967296"
+    return f"{step(x)} AS {to}1, {step(f'{to}1')} AS {to}2, xor({to}2 >> 16, {to}2) AS {to}"
+
+
+def draws_sql(cluster: str, source: str, name: str = "", seed: int = 1) -> str:
+    """``wt{name}(rep, {cluster}, w)``: how often each draw takes each cluster of ``source``."""
+    return f"""cl{name} AS MATERIALIZED (SELECT {cluster}, row_number() OVER (ORDER BY {cluster}) - 1 AS i FROM (SELECT DISTINCT {cluster} FROM {source} WHERE {cluster} IS NOT NULL)),
+pa{name} AS (SELECT i, (i + {seed}) % 4294967296 AS a0, {_mix_sql('a0', 'a')} FROM cl{name}),
+pb{name} AS (SELECT rep, (a + rep * 2654435761) % 4294967296 AS b0, {_mix_sql('b0', 'b')} FROM pa{name}, range(0, {REPS}) t(rep)),
+pk{name} AS (SELECT rep, b % (SELECT count(*) FROM cl{name}) AS i, count(*) AS w FROM pb{name} GROUP BY ALL),
+wt{name} AS MATERIALIZED (SELECT rep, {cluster}, w FROM pk{name} JOIN cl{name} USING (i))"""
+
+
+_DRAWS = f"""{draws_sql('pos', 'assay')},
 bw AS (SELECT rep, w, score, pred_a, pred_b FROM assay JOIN wt USING (pos)),
 rk AS (SELECT rep, w, {', '.join(f'sum(w) OVER (PARTITION BY rep ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum(w) OVER (PARTITION BY rep, {c}) - 1) / 2.0::DOUBLE AS {c}' for c in ('score', 'pred_a', 'pred_b'))} FROM bw),
 st AS (SELECT rep, {', '.join(f'(sum(w * score * {p}) - sum(w * score) * sum(w * {p}) / sum(w)) / sqrt((sum(w * score * score) - sum(w * score) ** 2 / sum(w)) * (sum(w * {p} * {p}) - sum(w * {p}) ** 2 / sum(w))) AS {p}' for p in ('pred_a', 'pred_b'))} FROM rk GROUP BY rep)"""
 _CI = "count(*) AS n_draws, avg({x}) AS mean, quantile_cont({x}, 0.025) AS lo, quantile_cont({x}, 0.975) AS hi, least(2 * least(avg(CAST({x} <= 0 AS INTEGER)), avg(CAST({x} >= 0 AS INTEGER))), 1.0::DOUBLE) AS p_two_sided"
 
 
-def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = assay(spark, sf_dir)
-    # ranks read the drawn rows several times; the weights are small and stored once
-    rows = df.join(stored(cluster_weights(df, "pos", REPS), "weights"), "pos")
-    return weighted_spearman(rows, "score", ["pred_a", "pred_b"], ["rep"])
-
-
 @query(f"WITH {ASSAY_SQL}, {_DRAWS} SELECT 'pred_a' AS model, {_CI.format(x='pred_a')} FROM st UNION ALL SELECT 'pred_b', {_CI.format(x='pred_b')} FROM st")
 def stat_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _bootstrap(spark, sf_dir).unpivot("rep", ["pred_a", "pred_b"], "model", "r")
-    return percentile_interval(long, "r", ["model"])
+    draws = drawn_spearman(assay(spark, sf_dir), "score", ["pred_a", "pred_b"], "pos", REPS)
+    return percentile_interval(draws, "r", ["model"])
 
 
 @query(f"WITH {ASSAY_SQL}, {_DRAWS}, d AS (SELECT pred_a - pred_b AS delta FROM st) SELECT {_CI.format(x='delta')} FROM d")
 def stat_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentile_interval(_bootstrap(spark, sf_dir).withColumn("delta", F.col("pred_a") - F.col("pred_b")), "delta", [])
+    draws = drawn_spearman(assay(spark, sf_dir), "score", ["pred_a", "pred_b"], "pos", REPS)
+    wide = draws.groupBy("rep").pivot("model", ["pred_a", "pred_b"]).agg(F.first("r"))
+    return percentile_interval(wide.withColumn("delta", F.col("pred_a") - F.col("pred_b")), "delta", [])
 
 
 _UNIT = f"""un AS (SELECT CAST((pos - 1) // 5 AS INTEGER) AS unit, avg(score) AS y, avg(pred_a) AS a, avg(pred_b) AS b FROM assay GROUP BY 1),
