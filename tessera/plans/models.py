@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.ranks import add_ranks, shuffled_number
 from ..functions.stats import pearson
 from ..operators.folds import SCHEMES
-from ..operators.models import boosted_out_of_fold, principal_components, ridge_out_of_fold
+from ..operators.boosting import boosted_out_of_fold
+from ..operators.models import principal_components, ridge_out_of_fold
 from ..operators.relational import densify, out_of_fold, rolling_means
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
 from ..sources.shared import stored
@@ -155,7 +156,7 @@ def model_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features(spark, sf_dir).select("row_id", "score", "fold_position", *columns_excluding(GROUPS, []))
-    return boosted_out_of_fold(df, columns_excluding(GROUPS, []), "score", "fold_position").select("row_id", "fold_position", "pred")
+    return boosted_out_of_fold(df, columns_excluding(GROUPS, []), "score", {"fold_position": "pred"}).select("row_id", "fold_position", "pred")
 
 
 @query()

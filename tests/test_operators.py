@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ranks import add_ranks, shuffled_number
 from tessera.functions.stats import auroc, chi2_upper, normal_two_sided, paired_ranks, pearson, spearman_brown
 from tessera.operators import folds, geometry
-from tessera.operators.models import boosted_out_of_fold, principal_components, ridge_out_of_fold
+from tessera.operators.models import principal_components, ridge_out_of_fold
 from tessera.operators.relational import annotate_interval, difference_status, islands, neighbour_in_other_fold
 from tessera.operators.reliability import cluster_weights, icc, split_half, weighted_spearman
 from tessera.plans.models import GROUPS, columns_excluding, columns_only
@@ -137,10 +137,16 @@ def test_ridge_equals_closed_form(spark):
         assert np.allclose(got.pred[~tr], ((x[~tr] - m) / s) @ w + y[tr].mean())
 
 
-def test_boosted_trees_learn(spark):
-    df = spark.createDataFrame([(i, i % 2, float(i % 10) if i % 7 else None, 10.0 * (i % 10 > 4)) for i in range(600)], "id int, f int, x double, y double")
-    got = boosted_out_of_fold(df, ["x"], "y", "f", rounds=3).toPandas()
-    assert len(got) == 600 and np.corrcoef(got.y, got.pred)[0, 1] > 0.5
+def test_ridge_of_many_folds_and_odd_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, i % 2, i % 20, float(a) if i % 9 else None, None, float(a + b) if i % 11 else None) for i, (a, b) in enumerate(rng.normal(size=(200, 2)) + 1e6)]
+    df = spark.createDataFrame(rows, "id int, f int, g int, pos int, a double, none double, y double")
+    both = ridge_out_of_fold(df, ["a", "none"], "y", {"f": "p", "g": "q"})
+    one = ridge_out_of_fold(df, ["a", "none"], "y", "g").toPandas().sort_values("id")
+    both = both.toPandas().sort_values("id")
+    assert np.allclose(both.q, one.pred) and both.p.notna().all()
+    assert np.corrcoef(both.p[both.y.notna() & both.a.notna()], both.y[both.y.notna() & both.a.notna()])[0, 1] > 0.5
+    assert ridge_out_of_fold(df.withColumn("f", F.lit(0)), ["a"], "y", "f").where("pred is not null").count() == 0
 
 
 def test_components_are_centred(spark):
