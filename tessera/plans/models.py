@@ -159,22 +159,6 @@ def model_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_out_of_fold(df, columns_excluding(GROUPS, []), "score", {"fold_position": "pred"}).select("row_id", "fold_position", "pred")
 
 
-@query()
-def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of ridge on all groups, without each, and with only each."""
-    df = stored(features(spark, sf_dir), "features")
-    sets = {("full", "all"): columns_excluding(GROUPS, [])}
-    sets |= {("without", g): columns_excluding(GROUPS, [g]) for g in GROUPS} | {("only", g): columns_only(GROUPS, [g]) for g in GROUPS}
-    for i, cols in enumerate(sets.values()):
-        df = ridge_out_of_fold(df, cols, "score", "fold_position", name=f"p{i}")
-    long = df.unpivot(["row_id", "score", "bin"], [f"p{i}" for i in range(len(sets))], "v", "pred")
-    long = stored(long, "predictions")
-    names = spark.createDataFrame([(f"p{i}", v, g, len(c)) for i, ((v, g), c) in enumerate(sets.items())], "v string, variant string, group string, n_features int")
-    out = metric_bundle(long, ["v"]).join(F.broadcast(names), "v").drop("v")
-    whole = F.first(F.when(F.col("variant") == "full", F.col("spearman")), ignorenulls=True).over(Window.partitionBy(F.lit(0)))
-    return out.withColumn("delta_vs_full", F.col("spearman") - whole)
-
-
 @query()
 def model_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return principal_components(table(spark, sf_dir, "embeddings"), "embedding", 32).select("vec_id", "pcs")
