@@ -20,7 +20,7 @@ WINDOWS = (1, 3, 5, 11, 25, 51, 137)
 @query(f"WITH {ANNOTATED_SQL} SELECT row_id, pos, score, wt_sym, mt_sym, pred_a, pred_b, domain, bin, (pos - 1) / ((SELECT max(pos) FROM assay) - 1.0::DOUBLE) AS rel_pos, (SELECT count(*) FROM assay b WHERE b.pos = f.pos) AS n_at_pos FROM full_ f")
 def scan_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = annotated(spark, sf_dir)
-    top = F.broadcast(df.agg(F.max("pos").alias("top")))
+    top = F.broadcast(assay(spark, sf_dir).agg(F.max("pos").alias("top")))
     df = df.join(top).withColumn("rel_pos", F.try_divide(F.col("pos") - 1, F.col("top") - 1.0))
     df = df.withColumn("n_at_pos", F.count("*").over(Window.partitionBy("pos")))
     return df.select("row_id", "pos", "score", "wt_sym", "mt_sym", "pred_a", "pred_b", "domain", "bin", "rel_pos", "n_at_pos")
@@ -48,7 +48,7 @@ def project_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANNOTATED_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE wt_sym IN ('F', 'O')) AS n_in, count(*) FILTER (WHERE NOT (wt_sym IN ('F', 'O'))) AS n_out, count(*) FILTER (WHERE pos BETWEEN 10 AND 60) AS n_between, count(*) FILTER (WHERE score IS NOT NULL AND isfinite(score)) AS n_finite, count(*) FILTER (WHERE NOT regexp_matches(wt_sym || CAST(pos AS VARCHAR) || mt_sym, '^[A-Z][0-9]+[0-9*]$')) AS n_bad_ids, count(*) FILTER (WHERE domain = 'UNANNOTATED') AS n_unannotated FROM full_")
 def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.concat("wt_sym", F.col("pos").cast("string"), "mt_sym")
-    return annotated(spark, sf_dir).agg(
+    return annotated(spark, sf_dir, bins=False).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("wt_sym").isin("F", "O")).alias("n_in"),
         F.count_if(~F.col("wt_sym").isin("F", "O")).alias("n_out"),
@@ -121,7 +121,7 @@ def agg_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, g AS (SELECT fold_position, count(*) AS n, avg(score) AS m FROM folds GROUP BY 1) SELECT avg(m) AS macro_mean, stddev_pop(m) AS macro_sd, min(n) AS n_min, max(n) AS n_max FROM g")
 def agg_macro_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = folded(spark, sf_dir).groupBy("fold_position").agg(F.count("*").alias("n"), F.avg("score").alias("m"))
+    g = folded(spark, sf_dir, "fold_position").groupBy("fold_position").agg(F.count("*").alias("n"), F.avg("score").alias("m"))
     return g.agg(F.avg("m").alias("macro_mean"), F.stddev_pop("m").alias("macro_sd"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
 
 
@@ -134,12 +134,12 @@ def agg_ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANNOTATED_SQL} SELECT domain, arg_max(row_id, (score, -row_id)) AS best_row, max(score) AS best_score FROM full_ GROUP BY domain")
 def agg_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.max(F.struct("score", (-F.col("row_id")).alias("k")))
-    return annotated(spark, sf_dir).groupBy("domain").agg(best.alias("b")).select("domain", (-F.col("b.k")).alias("best_row"), F.col("b.score").alias("best_score"))
+    return annotated(spark, sf_dir, bins=False).groupBy("domain").agg(best.alias("b")).select("domain", (-F.col("b.k")).alias("best_row"), F.col("b.score").alias("best_score"))
 
 
 @query(f"WITH {ANNOTATED_SQL} SELECT domain, {', '.join(f'avg(score) FILTER (WHERE mt_sym = {chr(39)}{s}{chr(39)}) AS mt_{s}' for s in '12345')} FROM full_ GROUP BY domain")
 def agg_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = annotated(spark, sf_dir).groupBy("domain").pivot("mt_sym", list("12345")).agg(F.avg("score"))
+    wide = annotated(spark, sf_dir, bins=False).groupBy("domain").pivot("mt_sym", list("12345")).agg(F.avg("score"))
     return wide.withColumnsRenamed({s: f"mt_{s}" for s in "12345"})
 
 
@@ -200,7 +200,7 @@ def win_gaps_and_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id, fold_random, fold_position, fold_region, fold_domain FROM folds")
 def folds_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folded(spark, sf_dir).select("row_id", "fold_random", "fold_position", "fold_region", "fold_domain")
+    return folded(spark, sf_dir, "fold_random", "fold_position", "fold_region").select("row_id", "fold_random", "fold_position", "fold_region", "fold_domain")
 
 
 @query("WITH s AS (SELECT i AS start_ FROM (VALUES (1), (86), (172), (258), (344)) t(i)), p AS (SELECT unnest(range(1, 1369)) AS pos), c AS (SELECT pos, start_, abs(pos - (start_ + 510.5::DOUBLE)) AS d FROM p, s WHERE pos BETWEEN start_ AND start_ + 1021) SELECT CAST(pos AS INTEGER) AS pos, CAST(start_ AS INTEGER) AS window_start FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d, start_) = 1")
@@ -214,7 +214,7 @@ def win_most_central_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, g AS (SELECT domain, avg(score) AS m FROM full_ GROUP BY domain) (SELECT 'low' AS side, domain, m FROM g ORDER BY m, domain LIMIT 3) UNION ALL (SELECT 'high', domain, m FROM g ORDER BY m DESC, domain LIMIT 3)")
 def sort_smallest_and_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = annotated(spark, sf_dir).groupBy("domain").agg(F.avg("score").alias("m"))
+    g = annotated(spark, sf_dir, bins=False).groupBy("domain").agg(F.avg("score").alias("m"))
     low = g.orderBy("m", "domain").limit(3).select(F.lit("low").alias("side"), "domain", "m")
     return low.unionByName(g.orderBy(F.desc("m"), "domain").limit(3).select(F.lit("high").alias("side"), "domain", "m"))
 
@@ -236,7 +236,7 @@ def set_ragged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT CAST(k AS INTEGER) AS fold, count(*) FILTER (WHERE fold_random = k) AS n_test, count(*) FILTER (WHERE fold_random <> k) AS n_train, avg(score) FILTER (WHERE fold_random <> k) AS train_mean FROM folds, range(0, 10) t(k) GROUP BY k")
 def set_train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = folded(spark, sf_dir).groupBy("fold_random").agg(F.count("*").alias("n_test"), F.sum("score").alias("s"))
+    parts = folded(spark, sf_dir, "fold_random").groupBy("fold_random").agg(F.count("*").alias("n_test"), F.sum("score").alias("s"))
     every = Window.partitionBy(F.lit(0))
     n, s = F.sum("n_test").over(every), F.sum("s").over(every)
     return parts.select(F.col("fold_random").alias("fold"), "n_test", (n - F.col("n_test")).alias("n_train"), ((s - F.col("s")) / (n - F.col("n_test"))).alias("train_mean"))

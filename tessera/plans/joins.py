@@ -21,7 +21,7 @@ def _scale(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL} SELECT domain, count(*) AS n, min(pos) AS start_, max(pos) AS end_, avg(score) AS mean FROM full_ GROUP BY domain")
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotated(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n"), F.min("pos").alias("start_"), F.max("pos").alias("end_"), F.avg("score").alias("mean"))
+    return annotated(spark, sf_dir, bins=False).groupBy("domain").agg(F.count("*").alias("n"), F.min("pos").alias("start_"), F.max("pos").alias("end_"), F.avg("score").alias("mean"))
 
 
 @query(f"WITH {ASSAY_SQL}, {SCALE_SQL} SELECT row_id, w.hyd AS hyd_wt, m.hyd AS hyd_mt, m.hyd - w.hyd AS d_hyd, (ascii(wt_sym) * 7 + ascii(mt_sym) * 3) % 9 - 4 AS pair_score FROM assay LEFT JOIN sc w ON w.sym = wt_sym LEFT JOIN sc m ON m.sym = mt_sym")

@@ -52,7 +52,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id, (sum(score) OVER () - sum(score) OVER (PARTITION BY fold_random)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold_random)) AS pred FROM folds")
 def model_global_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out_of_fold(folded(spark, sf_dir), None, "score", "fold_random", "pred").select("row_id", "pred")
+    return out_of_fold(folded(spark, sf_dir, "fold_random"), None, "score", "fold_random", "pred").select("row_id", "pred")
 
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL} SELECT row_id, coalesce((sum(score) OVER (PARTITION BY domain) - sum(score) OVER (PARTITION BY domain, fold_region)) / nullif(count(*) OVER (PARTITION BY domain) - count(*) OVER (PARTITION BY domain, fold_region), 0), (sum(score) OVER () - sum(score) OVER (PARTITION BY fold_region)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold_region))) AS pred FROM folds")
@@ -135,7 +135,7 @@ def model_target_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("fold", "row_id", (F.col("s_avg") / F.col("s_n")).alias("rank_target"), F.least(F.greatest("score", "lo"), F.col("hi")).alias("winsorised"))
 
 
-@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, fo AS MATERIALIZED (SELECT row_id, domain, score, fold_position FROM folds), tr AS MATERIALIZED (SELECT f, row_id, domain, score FROM fo, range(0, 10) k(f) WHERE fold_position <> f), a AS (SELECT f, domain, row_number() OVER (PARTITION BY f ORDER BY row_id) AS i FROM tr), b AS (SELECT f, score, row_number() OVER (PARTITION BY f ORDER BY md5('y:' || f || ':' || row_id), row_id) AS i FROM tr), g AS (SELECT f, domain, avg(score) AS m FROM a JOIN b USING (f, i) GROUP BY ALL) SELECT row_id, m AS pred FROM fo JOIN g ON g.f = fold_position AND g.domain = fo.domain")
+@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, fo AS MATERIALIZED (SELECT row_id, domain, score, fold_position FROM folds), tr AS MATERIALIZED (SELECT f, domain, score, row_number() OVER (PARTITION BY f ORDER BY row_id) AS i, row_number() OVER (PARTITION BY f ORDER BY md5('y:' || f || ':' || row_id), row_id) AS j FROM fo, range(0, 10) k(f) WHERE fold_position <> f), g AS MATERIALIZED (SELECT a.f, a.domain, avg(b.score) AS m FROM tr a JOIN tr b ON b.f = a.f AND b.j = a.i GROUP BY a.f, a.domain) SELECT row_id, m AS pred FROM fo JOIN g ON g.f = fold_position AND g.domain = fo.domain")
 def model_y_randomised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain means of training labels that were shuffled within each fold's training set."""
     df = folded_table(spark, sf_dir, "row_id", "domain", "score", "fold_position")

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
 
 from ..functions.ranks import add_ranks, shuffled_number
 from ..functions.stats import chi2_upper, normal_two_sided, pearson, pearson_sql, spearman_brown
 from ..operators import folds
 from ..operators.relational import densify, out_of_fold
-from ..operators.bootstrap import drawn_spearman
+from ..operators.bootstrap import REPS, bootstrap_sql, drawn_spearman
 from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay
 from ..sources.shared import stored
 from .base import annotated, folded_table
 from .registry import query
 
-#: Random halves, and draws of clusters and of units. The operators take any number.
-SPLITS, REPS, UNIT_DRAWS = 200, 500, 2_000
+#: Random halves, and draws of units. The operators take any number.
+SPLITS, UNIT_DRAWS = 200, 2_000
 
 _ICC = f"""g AS (SELECT pos, count(*)::DOUBLE AS k, avg(score) AS m, var_pop(score) AS v, sum(score) AS s FROM assay GROUP BY pos),
 t AS (SELECT count(*)::DOUBLE AS a, sum(k) AS n, sum(k * k) AS k2, (SELECT avg(score) FROM assay) AS mu, sum(k * v) AS w, avg(k) AS mean_group_size FROM g),
@@ -153,25 +152,7 @@ def stat_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cluster bootstrap: draws as weights, never as copied rows
 
 
-def _mix_sql(x: str, to: str) -> str:
-    """Columns that scatter the whole number ``x`` below 2 ** 32, as ``to``."""
-    step = lambda x: f"xor({x} >> 16, {x}) * 73244475 % 4294967296"
-    return f"{step(x)} AS {to}1, {step(f'{to}1')} AS {to}2, xor({to}2 >> 16, {to}2) AS {to}"
-
-
-def draws_sql(cluster: str, source: str, name: str = "", seed: int = 1) -> str:
-    """``wt{name}(rep, {cluster}, w)``: how often each draw takes each cluster of ``source``."""
-    return f"""cl{name} AS MATERIALIZED (SELECT {cluster}, row_number() OVER (ORDER BY {cluster}) - 1 AS i FROM (SELECT DISTINCT {cluster} FROM {source} WHERE {cluster} IS NOT NULL)),
-pa{name} AS (SELECT i, (i + {seed}) % 4294967296 AS a0, {_mix_sql('a0', 'a')} FROM cl{name}),
-pb{name} AS (SELECT rep, (a + rep * 2654435761) % 4294967296 AS b0, {_mix_sql('b0', 'b')} FROM pa{name}, range(0, {REPS}) t(rep)),
-pk{name} AS (SELECT rep, b % (SELECT count(*) FROM cl{name}) AS i, count(*) AS w FROM pb{name} GROUP BY ALL),
-wt{name} AS MATERIALIZED (SELECT rep, {cluster}, w FROM pk{name} JOIN cl{name} USING (i))"""
-
-
-_DRAWS = f"""{draws_sql('pos', 'assay')},
-bw AS (SELECT rep, w, score, pred_a, pred_b FROM assay JOIN wt USING (pos)),
-rk AS (SELECT rep, w, {', '.join(f'sum(w) OVER (PARTITION BY rep ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum(w) OVER (PARTITION BY rep, {c}) - 1) / 2.0::DOUBLE AS {c}' for c in ('score', 'pred_a', 'pred_b'))} FROM bw),
-st AS (SELECT rep, {', '.join(f'(sum(w * score * {p}) - sum(w * score) * sum(w * {p}) / sum(w)) / sqrt((sum(w * score * score) - sum(w * score) ** 2 / sum(w)) * (sum(w * {p} * {p}) - sum(w * {p}) ** 2 / sum(w))) AS {p}' for p in ('pred_a', 'pred_b'))} FROM rk GROUP BY rep)"""
+_DRAWS = bootstrap_sql("assay", "pos", ("pred_a", "pred_b"))
 _CI = "count(*) AS n_draws, avg({x}) AS mean, quantile_cont({x}, 0.025) AS lo, quantile_cont({x}, 0.975) AS hi, least(2 * least(avg(CAST({x} <= 0 AS INTEGER)), avg(CAST({x} >= 0 AS INTEGER))), 1.0::DOUBLE) AS p_two_sided"
 
 
@@ -212,10 +193,11 @@ p3 AS (SELECT rep, {pearson_sql('y', 'a')} AS r FROM p1 JOIN p2 USING (rep, i) G
 @query(f"WITH {ASSAY_SQL}, {_PERM} SELECT avg(r) AS null_mean, stddev_samp(r) AS null_sd, (SELECT {pearson_sql('y', 'a')} FROM u0) AS observed, (SELECT {pearson_sql('y', 'a')} FROM u0) - avg(r) AS above_null, (SELECT count(*) FROM u0) >= 100 AS interpretable FROM p3")
 def stat_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = assay(spark, sf_dir).groupBy(F.expr("cast((pos - 1) div 11 as int)").alias("unit")).agg(F.avg("score").alias("y"), F.avg("pred_a").alias("a"))
+    units = stored(units, "units")
     reps = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    one = reps.select("rep", "a", F.row_number().over(Window.partitionBy("rep").orderBy("unit")).alias("i"))
-    shuffled = Window.partitionBy("rep").orderBy(F.md5(F.concat_ws(":", F.lit("q"), "rep", "unit")), "unit")
-    two = reps.select("rep", "y", F.row_number().over(shuffled).alias("i"))
+    # both orders are numbered in buckets: a repeat has all units
+    one = add_ranks(reps, "unit", ["rep"], "i").select("rep", "a", (F.col("i_min") - 1).alias("i"))
+    two = shuffled_number(reps, F.md5(F.concat_ws(":", F.lit("q"), "rep", "unit")), "unit", by=["rep"]).select("rep", "y", F.col("number").alias("i"))
     null = one.join(two, ["rep", "i"]).groupBy("rep").agg(pearson("y", "a").alias("r")).agg(F.avg("r").alias("null_mean"), F.stddev_samp("r").alias("null_sd"))
     real = units.agg(pearson("y", "a").alias("observed"), (F.count("*") >= 100).alias("interpretable"))
     return null.join(real).select("null_mean", "null_sd", "observed", (F.col("observed") - F.col("null_mean")).alias("above_null"), "interpretable")
@@ -257,7 +239,7 @@ _RANKED = "rk AS (SELECT domain, rank() OVER (ORDER BY score) + (count(*) OVER (
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the mean of t tied ranks lies (t - 1) / 2 above the lowest
-    df = add_ranks(annotated(spark, sf_dir), "score", prefix="r").withColumnRenamed("r_avg", "r")
+    df = add_ranks(annotated(spark, sf_dir, bins=False), "score", prefix="r").withColumnRenamed("r_avg", "r")
     return df.withColumn("t", 2 * (F.col("r") - F.col("r_min")) + 1)
 
 

@@ -9,10 +9,11 @@ from pyspark.sql.window import Window
 from ..functions.ranks import add_ranks, exact_quantiles
 from ..functions.stats import auroc, paired_ranks, pearson, pearson_sql
 from ..operators.relational import out_of_fold
-from ..operators.reliability import icc
+from ..operators.bootstrap import REPS, bootstrap_sql, drawn_spearman
+from ..operators.reliability import icc, percentile_interval
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay, table
 from ..sources.shared import stored
-from .base import annotated, folded
+from .base import annotated, folded, folded_table
 from .registry import query
 
 PREDS = ("pred_a", "pred_b", "pred_c")
@@ -54,17 +55,20 @@ _LONG_FOLD = "lg AS (" + " UNION ALL ".join(f"SELECT row_id, score, bin, fold_po
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, {_LONG_FOLD}, {_metrics_sql('model, fold')} SELECT * FROM mb")
 def stat_per_fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_bundle(long_predictions(folded(spark, sf_dir).withColumnRenamed("fold_position", "fold"), "fold"), ["model", "fold"])
+    return metric_bundle(long_predictions(folded(spark, sf_dir, "fold_position", "bin").withColumnRenamed("fold_position", "fold"), "fold"), ["model", "fold"])
 
 
-@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, {_LONG_FOLD}, {_metrics_sql('model, fold')}, pool AS (SELECT model, {pearson_sql('ry', 'rp')} AS pooled FROM (SELECT model, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0::DOUBLE AS ry, rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0::DOUBLE AS rp FROM lg) GROUP BY model) SELECT model, coalesce(any_value(pooled), 0) AS pooled_spearman, avg(spearman) AS per_fold_spearman_mean, stddev_pop(spearman) AS per_fold_spearman_sd, sum(n)::BIGINT AS n, count(*) AS n_folds FROM mb JOIN pool USING (model) GROUP BY model")
+@query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, {_LONG_FOLD}, {_metrics_sql('model, fold')}, pool AS (SELECT model, {pearson_sql('ry', 'rp')} AS pooled FROM (SELECT model, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0::DOUBLE AS ry, rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0::DOUBLE AS rp FROM lg) GROUP BY model), {bootstrap_sql('folds', 'pos', ('pred_a', 'pred_b'))}, ci AS (SELECT model, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM (UNPIVOT st ON pred_a, pred_b INTO NAME model VALUE r) GROUP BY model) SELECT model, coalesce(any_value(pooled), 0) AS pooled_spearman, any_value(ci.lo) AS spearman_ci_lo, any_value(ci.hi) AS spearman_ci_hi, avg(spearman) AS per_fold_spearman_mean, stddev_pop(spearman) AS per_fold_spearman_sd, sum(n)::BIGINT AS n, count(*) AS n_folds FROM mb JOIN pool USING (model) LEFT JOIN ci USING (model) GROUP BY model")
 def stat_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = long_predictions(folded(spark, sf_dir).withColumnRenamed("fold_position", "fold"), "fold")
+    """Pooled metrics of each prediction with the interval over draws of positions, and their mean over folds."""
+    long = long_predictions(folded(spark, sf_dir, "fold_position", "bin").withColumnRenamed("fold_position", "fold"), "fold")
+    ci = percentile_interval(drawn_spearman(assay(spark, sf_dir), "score", PREDS, "pos", REPS), "r", ["model"])
+    ci = ci.select("model", F.col("lo").alias("spearman_ci_lo"), F.col("hi").alias("spearman_ci_hi"))
     pooled = metric_bundle(long, ["model"]).select("model", F.col("spearman").alias("pooled_spearman"))
     macro = metric_bundle(long, ["model", "fold"]).groupBy("model").agg(
         F.avg("spearman").alias("per_fold_spearman_mean"), F.stddev_pop("spearman").alias("per_fold_spearman_sd"), F.sum("n").alias("n"), F.count("*").alias("n_folds")
     )
-    return pooled.join(macro, "model")
+    return pooled.join(macro, "model").join(ci, "model", "left")
 
 
 @query(f"WITH {ANNOTATED_SQL}, {_LONG}, k AS (SELECT greatest(CAST(round_even(0.05::DOUBLE * count(*), 0) AS BIGINT), 1) AS k, count(*) AS n FROM full_), o AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY pred DESC, row_id) AS rp, row_number() OVER (PARTITION BY model ORDER BY score DESC, row_id) AS rt FROM lg) SELECT model, any_value(k) AS k, CASE WHEN any_value(k) < any_value(n) THEN avg(CAST(rt <= k AS INTEGER)) FILTER (WHERE rp <= k) END AS precision_at_5pct FROM o, k GROUP BY model")
@@ -99,7 +103,7 @@ def stat_feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANNOTATED_SQL}, {FOLDS_SQL}, lg AS (SELECT row_id, score, bin, 'train_mean' AS model, fold_region AS fold, ((SELECT sum(score) FROM folds) - sum(score) OVER (PARTITION BY fold_region)) / ((SELECT count(*) FROM folds) - count(*) OVER (PARTITION BY fold_region)) AS pred FROM folds), {_metrics_sql('model')} SELECT model, spearman AS pooled_spearman, 0.0::DOUBLE AS per_fold_spearman FROM mb")
 def stat_constant_artefact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = stored(folded(spark, sf_dir).select("row_id", "score", "bin", "fold_region"), "folds")
+    df = folded_table(spark, sf_dir, "row_id", "score", "bin", "fold_region")
     df = out_of_fold(df, None, "score", "fold_region", "pred").withColumn("model", F.lit("train_mean"))
     pooled = metric_bundle(df, ["model"]).select("model", F.col("spearman").alias("pooled_spearman"))
     folds_ = metric_bundle(df, ["model", "fold_region"]).groupBy("model").agg(F.avg("spearman").alias("per_fold_spearman"))
@@ -110,7 +114,7 @@ def stat_constant_artefact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stat_label_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.createDataFrame([(10, "a"), (20, "a"), (31, "b"), (77, "b"), (102, "c")], "pos int, annotation string")
     e = add_ranks(assay(spark, sf_dir), "score", prefix="s").withColumn("pct", (F.col("s_min") - 1) / F.col("s_n"))
-    rows = F.broadcast(keys).join(e, "pos", "left")
+    rows = keys.join(e.join(F.broadcast(keys.select("pos")), "pos", "left_semi"), "pos", "left")
     return rows.groupBy("pos", "annotation").agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.avg("pct").alias("mean_percentile"), F.min("pct").alias("min_percentile"))
 
 

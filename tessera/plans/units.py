@@ -34,7 +34,7 @@ def project_symbol_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANNOTATED_SQL} SELECT row_id, {', '.join(f'CAST(fold_domain = {d} AS INTEGER) AS in_dom{d:02d}' for d in range(DOMAINS))} FROM full_")
 def project_interval_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flag for each interval; a row outside all of them has none."""
-    return annotated(spark, sf_dir).select("row_id", *[(F.col("fold_domain") == d).cast("int").alias(f"in_dom{d:02d}") for d in range(DOMAINS)])
+    return annotated(spark, sf_dir, bins=False).select("row_id", *[(F.col("fold_domain") == d).cast("int").alias(f"in_dom{d:02d}") for d in range(DOMAINS)])
 
 
 @query(f"WITH {ASSAY_SQL} SELECT row_id, pos, score FROM assay ORDER BY score DESC, row_id LIMIT 1")
