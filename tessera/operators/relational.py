@@ -106,12 +106,13 @@ def difference_status(reference: Column, other: Column, pos: Column, symbol: Col
     )
 
 
+def out_of_fold(df: DataFrame, key: str | None, value: str, fold: str, name: str, base: DataFrame | None = None) -> DataFrame:
+    """Adds ``name``: the mean of ``value`` over rows of the same key in other folds (null if there are none).
 
-
-def out_of_fold(df: DataFrame, key: str | None, value: str, fold: str, name: str) -> DataFrame:
-    """Adds ``name``: the mean of ``value`` over rows of the same key in other folds (null if there are none)."""
+    Means are taken from ``base``, if given: the same rows with fewer steps behind them.
+    """
     keys = [key] if key else []
-    parts = df.groupBy(*keys, fold).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    parts = (df if base is None else base).groupBy(*keys, fold).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     every = Window.partitionBy(*(keys or [F.lit(0)]))
     parts = parts.withColumn(name, F.try_divide(F.sum("_s").over(every) - F.col("_s"), (F.sum("_n").over(every) - F.col("_n")).cast("double")))
     parts = parts.drop("_s", "_n")
