@@ -11,14 +11,17 @@ from pyspark.sql.window import Window
 from ..sources.shared import stored
 from .geometry import accessible_area, contact_counts, nearest_distance
 
-# Residue codes, largest areas of a residue (square angstrom), van der Waals radii (angstrom).
-CODES = """ALA A 129  ARG R 274  ASN N 195  ASP D 193  CYS C 167  GLN Q 225  GLU E 223  GLY G 104  HIS H 224  ILE I 197
-LEU L 201  LYS K 236  MET M 224  PHE F 240  PRO P 159  SER S 155  THR T 172  TRP W 285  TYR Y 263  VAL V 174"""
+# The one-letter codes of residues; the largest area of a residue in square angstroms (Tien and others,
+# 2013, theoretical values); van der Waals radii in angstroms (Bondi).
+LETTER = {
+    "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
+    "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
+}
+LARGEST_AREA = {
+    "A": 129.0, "R": 274.0, "N": 195.0, "D": 193.0, "C": 167.0, "Q": 225.0, "E": 223.0, "G": 104.0, "H": 224.0, "I": 197.0,
+    "L": 201.0, "K": 236.0, "M": 224.0, "F": 240.0, "P": 159.0, "S": 155.0, "T": 172.0, "W": 285.0, "Y": 263.0, "V": 174.0,
+}
 RADII = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "P": 1.8, "S": 1.8}
-
-_ROWS = [CODES.split()[i : i + 3] for i in range(0, 60, 3)]
-LETTER = {three: one for three, one, _ in _ROWS}
-LARGEST_AREA = {one: float(area) for _, one, area in _ROWS}
 WINDOWS = (5, 11, 25)
 
 
