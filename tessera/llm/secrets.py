@@ -3,7 +3,9 @@
 Plain patterns give base spans. Base64 and hex candidates are decoded and confirmed by structure: PEM
 blocks and bare DER by nested lengths that add up, SSH keys by their length-prefixed fields, signed tokens
 by a JSON header that names a signing algorithm, a JSON object behind it, and a signature. Only what parses is
-reported; an encrypted key can't be parsed, so its block needs a header with cipher and start value.
+reported; an encrypted key can't be parsed, so its block needs a header with cipher and start value. What is
+encoded twice, or has its line ends written out, is decoded again. Structures that hold nothing secret (public keys,
+certificates, requests, signatures) are told by their parsed items: `structures` gives them, the scan does not.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows each get their row; other
 columns don't matter; an empty table gives an empty result. Spans count code points, end exclusive.
@@ -16,19 +18,25 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Encodings inside one another that are undone.
+NESTED = 3
 KINDS = ("assign", "access", "hex", "pem", "ssh", "der", "jwt")
 _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: An armoured block: its kind, header lines, and body.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: Marks of an armoured block, its header lines, and its body; marks are paired in order, so a text is read once.
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+_HEADER = re.compile(r"\s*+((?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+\r?\n)*+)")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s]+")
 _CIPHER = re.compile(r"^DEK-Info: *[A-Z0-9-]+, *(?:[0-9A-Fa-f]{2}){8,}\s*$", re.MULTILINE)
 #: A JSON object in base64 begins with these letters, whether a quote or white space follows the brace.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
@@ -103,12 +111,50 @@ def is_token(header: str, payload: str) -> bool:
     return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str) and parts[0]["alg"].lower() != "none"
 
 
-def is_armoured(header: str, body: str) -> bool:
-    """Whether an armoured block holds a key: its encoding parses, or its header names a cipher and the body is whole blocks."""
-    raw = decoded(body)
+def is_public(raw: bytes) -> bool:
+    """Whether a confirmed DER or SSH structure holds nothing secret: what its parsed items are.
+
+    Two numbers are a public RSA key or a signature; an algorithm and bits, a public key; a body, an algorithm and
+    bits, a certificate or request; an identifier and its content, a message. SSH keys are secret in their container only.
+    """
+    if raw[:1] != b"\x30":
+        return not raw.startswith(b"openssh-key-v1\0")
+    at, tags = 2 + (raw[1] & 0x7F if raw[1] & 0x80 else 0), []
+    while at < len(raw) and len(tags) < 4:
+        size, skip = raw[at + 1], 2
+        if size & 0x80:
+            skip += size & 0x7F
+            size = int.from_bytes(raw[at + 2 : at + skip], "big")
+        tags.append(raw[at])
+        at += skip + size
+    return tags in ([0x02, 0x02], [0x30, 0x03], [0x30, 0x30, 0x03], [0x06, 0xA0])
+
+
+def armoured(kind: str, content: str) -> bool | None:
+    """Whether an armoured block's content is secret: its encoding parses, or its header names a cipher and the body is
+    whole blocks. None if it is no key."""
+    content = content.replace("\\r", "").replace("\\n", "\n")
+    lead = _HEADER.match(content)
+    body = content[lead.end() :]
+    raw = decoded(body) if _BODY.fullmatch(body) else None
     if not raw:
-        return False
-    return is_der(raw) or is_ssh(raw) or ("ENCRYPTED" in header and _CIPHER.search(header) is not None and len(raw) % 8 == 0)
+        return None
+    if is_der(raw) or is_ssh(raw):
+        return "PRIVATE" in kind or not is_public(raw)
+    return True if "ENCRYPTED" in lead[1] and _CIPHER.search(lead[1]) is not None and len(raw) % 8 == 0 else None
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Start, end and secrecy of each armoured block that is a key: a mark that begins one and, next to it, its end."""
+    begun = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun is not None:
+            secret = armoured(m[2], text[begun.end() : m.start()]) if begun[2] == m[2] else None
+            if secret is not None:
+                yield begun.start(), m.end(), secret
+            begun = None
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -121,28 +167,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+def _within(spans: list[tuple[str, int, int, bool]]):
+    """A test whether a range lies in one of the spans: the furthest end of those that begin before it."""
+    by_start = sorted((s, e) for _, s, e, _ in spans)
+    starts, ends = [s for s, _ in by_start], list(accumulate((e for _, e in by_start), max))
+    return lambda a, b: (i := bisect_right(starts, a)) > 0 and b <= ends[i - 1]
+
+
+def _kind_of(raw: bytes, depth: int) -> tuple[str, bool] | None:
+    """Kind and secrecy of decoded bytes; of a text, that of a secret structure in it, or else of the first one."""
+    if is_ssh(raw):
+        return "ssh", not is_public(raw)
+    if is_der(raw):
+        return "der", not is_public(raw)
+    if depth < NESTED and raw.isascii():
+        inner = structures(raw.decode("ascii"), depth + 1)
+        return min(((k, secret) for k, _, _, secret in inner), key=lambda x: not x[1], default=None)
+    return None
+
+
+def structures(text: str, depth: int = 1) -> list[tuple[str, int, int, bool]]:
+    """Kind, start, end and secrecy of all encodings that parse."""
     out = []
     if "-----BEGIN " in text:
-        out += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if is_armoured(m[2], m[3])]
-    out += [("jwt", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_token(m[1], m[2])]
-    inside = lambda a, b: any(s <= a and b <= e for _, s, e in out)
+        out += [("pem", s, e, secret) for s, e, secret in blocks(text)]
+    out += [("jwt", m.start(), m.end(), True) for m in _TOKEN.finditer(text) if is_token(m[1], m[2])]
+    inside = _within(out)
     for m in _BASE64.finditer(text):
-        if not inside(m.start(), m.end()) and (raw := decoded(m[0])):
-            if is_ssh(raw):
-                out.append(("ssh", m.start(), m.end()))
-            elif is_der(raw):
-                out.append(("der", m.start(), m.end()))
+        if not inside(m.start(), m.end()) and (raw := decoded(m[0])) and (found := _kind_of(raw, depth)):
+            out.append((found[0], m.start(), m.end(), found[1]))
+    inside = _within(out)
     for m in _LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and not inside(m.start(), m.end()):
-            raw = bytes.fromhex(m[0])
-            if is_ssh(raw):
-                out.append(("ssh", m.start(), m.end()))
-            elif is_der(raw):
-                out.append(("der", m.start(), m.end()))
+        if len(m[0]) % 2 == 0 and not inside(m.start(), m.end()) and (found := _kind_of(bytes.fromhex(m[0]), depth)):
+            out.append((found[0], m.start(), m.end(), found[1]))
     return out
 
 
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    """All structures that parse, public ones too."""
+    return [x[:3] for x in structures(text)]
+
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """Structures that parse and hold a secret."""
+    return [x[:3] for x in structures(text) if x[3]]
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
@@ -156,7 +226,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch["text"].to_pylist():
                 base = base_spans(text or "")
                 kinds = [k for k, _, _ in base]
-                more = confirmed_spans(text or "")
+                more = secret_spans(text or "")
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
             n_assign, n_access, n_hex, digest, spans, confirmed = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
@@ -180,7 +250,7 @@ def blank(text: str | None, mark: str = "[SECRET]") -> str | None:
     if not text:
         return text
     out, at = [], 0
-    for s, e in sorted((s, e) for _, s, e in base_spans(text) + confirmed_spans(text)):
+    for s, e in sorted((s, e) for _, s, e in base_spans(text) + secret_spans(text)):
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)

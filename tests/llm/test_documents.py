@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -342,6 +343,76 @@ def test_structures_are_confirmed():
     assert not secrets.confirmed_spans(locked.replace("AES-128-CBC,00112233445566778899AABBCCDDEEFF", "?"))
 
 
+def _der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def _pem(kind, der):
+    import base64
+
+    return f"-----BEGIN {kind}-----\n{base64.encodebytes(der).decode()}-----END {kind}-----"
+
+
+def test_public_structures_are_no_secrets():
+    import base64
+
+    oid, number, field = _der(6, b"*\x86H\x86\xf7\r\x01\x01\x01"), _der(2, bytes(range(1, 200))), lambda b: len(b).to_bytes(4, "big") + b
+    name = _der(0x30, oid, _der(5))
+    public_key = _der(0x30, name, _der(3, b"\0" + bytes(range(1, 120))))
+    certificate = _der(0x30, _der(0x30, number, name, name), name, _der(3, bytes(99)))
+    pkcs8, encrypted = _der(0x30, _der(2, b"\0"), name, _der(4, number)), _der(0x30, name, _der(4, bytes(160)))
+    elliptic = _der(0x30, _der(2, b"\1"), _der(4, bytes(range(32))), _der(0xA0, oid))
+    open_ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 50) + field(b"k" * 99)
+    public_ssh = field(b"ssh-ed25519") + field(b"p" * 32)
+    hidden = {"PUBLIC KEY": public_key, "CERTIFICATE": certificate, "RSA PUBLIC KEY": _der(0x30, number, number)}
+    shown = {"PRIVATE KEY": pkcs8, "ENCRYPTED PRIVATE KEY": encrypted, "EC PRIVATE KEY": elliptic, "OPENSSH PRIVATE KEY": open_ssh}
+    for kind, der in hidden.items():
+        for text in (_pem(kind, der), base64.b64encode(der).decode(), der.hex(), base64.b64encode(_pem(kind, der).encode()).decode()):
+            assert len(secrets.confirmed_spans(text)) == 1 and not secrets.secret_spans(text), kind
+            assert secrets.blank(f"x ({text}) y") == f"x ({text}) y" or secrets.base_spans(text)
+    assert not secrets.secret_spans("ssh-ed25519 " + base64.b64encode(public_ssh).decode())
+    for kind, der in shown.items():
+        for text in (_pem(kind, der), base64.b64encode(der).decode(), der.hex()):
+            assert [(s, e) for _, s, e in secrets.secret_spans(text)] == [(0, len(text))], kind
+
+
+def test_encodings_inside_one_another():
+    import base64
+
+    der = _der(0x30, *[_der(2, bytes(range(1, 60)))] * 9)
+    pem, packed = _pem("RSA PRIVATE KEY", der), lambda t: base64.b64encode(t.encode()).decode()
+    for text, kind in ((packed(pem), "pem"), (packed(packed(pem)), "pem"), (pem.encode().hex(), "pem"), (packed(base64.b64encode(der).decode()), "der")):
+        assert secrets.secret_spans(f"tls.key: {text} end") == [(kind, 9, 9 + len(text))]
+    for end in ("\\n", "\\r\\n"):
+        escaped = pem.replace("\n", end)
+        assert secrets.secret_spans('{"key": "' + escaped + '"}') == [("pem", 9, 9 + len(escaped))]
+
+
+def test_marks_that_do_not_pair():
+    pem = _pem("RSA PRIVATE KEY", _der(0x30, *[_der(2, bytes(range(1, 20)))] * 9))
+    at = lambda t: [(s, e) for k, s, e in secrets.secret_spans(t) if k == "pem"]
+    assert at("-----BEGIN A-----\n" + pem) == [(18, 18 + len(pem))]
+    assert at("-----END RSA PRIVATE KEY-----" + pem + pem) == [(29, 29 + len(pem)), (29 + len(pem), 29 + 2 * len(pem))]
+    assert not at(pem.replace("END RSA", "END DSA")) and not at(pem[:-1])
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "-----BEGIN A-----" + " " * 1_000_000 + "!", "-----BEGIN A-----" * 60_000, "-----BEGIN A-----\n" + "a:b\n" * 250_000 + "!",
+        "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOjF9.c2ln " * 26_000, "-----BEGIN " + "A " * 500_000, "ey" * 500_000, "eyAAAAAA." * 110_000,
+        "password" + " " * 1_000_000, ("A" * 60 + " ") * 16_000, "0" * 1_000_000, "-" * 1_000_000, "openssh-key-v1" * 70_000,
+    ],
+    ids=range(12),
+)
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    secrets.blank(text)
+    assert time.process_time() - began < 2
+
+
 def test_secrets_odd_rows(odd_documents, no_documents):
     got = secrets.scan(odd_documents).toPandas()
     assert len(got) == 13 and got[got.doc_id == 7].n_assign.tolist() == [1] and (got[got.doc_id == 2].spans == "").all()
