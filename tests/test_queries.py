@@ -61,5 +61,5 @@ def test_every_query_without_sql_is_known():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {
         "stat_kruskal_wallis_p", "stat_mann_whitney_p", "verify_claims", "model_ridge",
         "model_boosted_trees", "model_ablation", "model_pca", "model_score_new_row", "stat_model_correlations",
-        "model_zoo", "model_challengers", "model_capacity",
+        "model_zoo", "model_challengers", "model_capacity", "stat_feature_ladder", "stat_feature_channels",
     }
