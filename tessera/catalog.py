@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit, design, domain, joins, ladder, models, reliability, scores, structure, units  # noqa: F401  they register their queries
+from .plans import audit, design, domain, formats, joins, ladder, models, reliability, scores, structure, units  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -9,22 +9,30 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+#: Lines that are numbered in one task.
+BLOCK_LINES = 65_536
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, required: list[str] | None = None) -> DataFrame:
-    """A CSV file with a header; malformed rows fail the read, missing columns raise."""
-    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """A CSV file with a header; malformed rows fail the read, missing columns raise. Quotes are doubled inside quotes;
+    an empty text is read as null."""
+    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("escape", '"').csv(path)
     return require_columns(df, required or [])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """JSON, one object a line; malformed lines fail the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a file as ``MAP<STRING, STRING>``."""
     return spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("entries"))
@@ -41,19 +49,48 @@ def parse_fasta(lines: DataFrame, line: str = "value", number: str = "n") -> Dat
     """``header, sequence``, one row a record, from numbered lines; blank lines are skipped.
 
     Records are numbered by a running count of headers within the file, so ``lines`` may hold a ``file`` column
-    to keep files apart.
+    to keep files apart. Headers are counted in blocks of lines first, so no task holds the lines of a whole file: a
+    ``block`` column names them (in their order), otherwise they are runs of `BLOCK_LINES` numbers.
     """
     by = ["file"] if "file" in lines.columns else []
-    text = lines.where(F.trim(line) != "")
-    order = Window.partitionBy(*by).orderBy(number)
-    text = text.withColumns({"is_header": F.col(line).startswith(">"), "record": F.sum(F.col(line).startswith(">").cast("int")).over(order)})
-    parts = F.array_sort(F.collect_list(F.when(~F.col("is_header"), F.struct(number, F.upper(F.trim(line)).alias("s")))))
+    block = F.col("block") if "block" in lines.columns else F.floor(F.col(number) / BLOCK_LINES)
+    text = lines.where(F.trim(line) != "").withColumns({"_block": block, "is_header": F.trim(line).startswith(">")})
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a block
+    heads = text.groupBy(*by, "_block").agg(F.sum(F.col("is_header").cast("int")).alias("_h"))
+    heads = heads.select(*by, "_block", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(F.col("is_header").cast("int")).over(Window.partitionBy(*by, "_block").orderBy(number))
+    text = text.withColumn("_inside", inside).join(heads, [*by, "_block"]).withColumn("record", F.col("_inside") + F.col("_before"))
+    parts = F.array_sort(F.collect_list(F.when(~F.col("is_header"), F.struct("_block", number, F.upper(F.trim(line)).alias("s")))))
     return text.groupBy(*by, "record").agg(
-        F.max(F.when(F.col("is_header"), F.expr(f"substring({line}, 2)"))).alias("header"),
+        F.max(F.when(F.col("is_header"), F.expr(f"substring(trim({line}), 2)"))).alias("header"),
         F.array_join(F.transform(parts, lambda p: p["s"]), "").alias("sequence"),
     )
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record, header, sequence`` of all records of the files at ``path``; blocks are the parts in which files are read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return parse_fasta(lines.withColumn("n", F.monotonically_increasing_id()))
+
+
+def write_fasta(records: DataFrame, path: str, width: int = 60) -> None:
+    """``header, sequence`` of each record, in lines of ``width`` letters."""
+    lines = F.regexp_replace("sequence", f"(.{{{width}}})(?=.)", "$1\n")
+    records.select(F.concat(F.lit(">"), F.coalesce("header", F.lit("")), F.lit("\n"), F.coalesce(lines, F.lit(""))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_reference(spark: SparkSession, path: str) -> str:
+    """The sequence of a file that must hold one record, of the twenty standard letters; anything else raises."""
+    records = read_fasta(spark, path).select("record", "sequence").limit(2).collect()
+    if len(records) != 1 or records[0]["record"] != 1:
+        raise ValueError(f"expected one record in {path}, found {'none' if not records else 'text outside of it or more'}")
+    sequence = records[0]["sequence"]
+    if bad := sorted(set(sequence) - set(LETTERS)):
+        raise ValueError(f"other than the standard letters in {path}: {bad}")
+    return sequence
+
+
 def bad_sequences(records: DataFrame) -> DataFrame:
     """Records with other than the twenty standard letters."""
     return records.where(~F.col("sequence").rlike(f"^[{LETTERS}]+$"))
