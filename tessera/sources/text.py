@@ -21,7 +21,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType, required:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; blanks around a text stay."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **keep).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
