@@ -1,14 +1,15 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are split in halves; a codebook for each half, learned on a bounded sample, forms a product
-grid of cells. Multi-sequence traversal lists cells in the order of their distance from a vector; how
-many are visited is set by the recall that sampled distinct vectors reach against brute force, as an
-average over vectors and over groups. Where the target is out of reach or can't be measured, one cell
-holds all vectors, and all pairs are compared. Every vector lies in its own cell and probes its nearest
-cells; both meet in blocks of bounded size, and each pair is verified in double precision and counted in
-one block. Blocks give link counts and a spanning forest. Equal vectors are one, with a number of copies, so a
-vector that many rows share is compared once. Vectors of each length have an index of their own;
-where they are few, one cell.
+grid of cells. Multi-sequence traversal lists cells in the order of their distance from a vector, without
+those that planes between the codes prove to be too far for a link; how many are visited is set by the recall
+that sampled distinct vectors reach against brute force, as an average over vectors and over groups. Where few
+of the sampled vectors have partners, pairs made from them stand in for the missing answers. Every vector lies
+in its own cell and probes its nearest cells; both meet in blocks of bounded size, and each pair is verified in
+double precision and counted in one block. Blocks give link counts and a spanning forest. Equal vectors are one,
+with a number of copies, so a vector that many rows share is compared once. Vectors of each length have an index
+of their own; up to ``SMALL`` of a length are compared in one cell. One cell also serves a length for which even
+the greatest number of visits finds less than ``LEAST`` of the links: an index can't help there.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
 vectors of different lengths don't link; a null id gets its row without links and a null component;
@@ -36,11 +37,16 @@ SAMPLE, QUERIES = 20_000, 1_000
 CELL, CODES, CODE_SAMPLE = 32, (4, 1_024), 40
 #: Vectors that are asked for their partners: at first, and at most (where a table has more).
 ASKED, MOST_ASKED = 1_600, 25_600
-RECALL = 0.999
-#: Probes at most where all pairs are not cheaper.
+#: Recall that sets the number of visits, and the one that the greatest number of visits must reach.
+RECALL, LEAST = 0.999, 0.95
+#: Answers below which made pairs stand in for partners.
+FEW = 100
+#: Cells that are visited at most: more of them pay from half a million vectors on.
 DEEP = 256
-#: Rows that meet at once: in the grid, and where all vectors lie in one cell.
-BLOCK, WHOLE_BLOCK = 512, 2_048
+#: Nearest codes whose planes bound the distance of a cell.
+PLANES = 4
+#: Rows that meet at once: in the grid, and where all vectors lie in one cell. Vectors of a length that need no index.
+BLOCK, WHOLE_BLOCK, SMALL = 512, 2_048, 256
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +77,44 @@ class MultiIndex:
         a, b = _halves(x)
         return _distances(a, self.first).argmin(1) * len(self.second) + _distances(b, self.second).argmin(1)
 
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` nearest cells of each vector by multi-sequence traversal.
+    def nearest(self, x: np.ndarray, n: int, threshold: float = -np.inf) -> np.ndarray:
+        """The ``n`` nearest cells of each vector by multi-sequence traversal; -1 stands for those without a link.
 
         Cell (i, j) of the sorted halves can only be among the first n if (i + 1)(j + 1) <= n, as all cells
-        with smaller ranks come before it; so these are the only ones put in order.
+        with smaller ranks come before it; so these are the only ones put in order. A vector of another cell lies
+        beyond the plane between its code and any other code; where the two halves' distances from these planes
+        add up to more than links have, the cell is left out.
         """
         a, b = _halves(x)
-        da, db = _distances(a, self.first), _distances(b, self.second)
-        oa, ob = np.argsort(da, axis=1, kind="stable")[:, :n], np.argsort(db, axis=1, kind="stable")[:, :n]
-        sa, sb = np.take_along_axis(da, oa, 1), np.take_along_axis(db, ob, 1)
+        oa, sa, fa = _by_distance(a, self.first, n)
+        ob, sb, fb = _by_distance(b, self.second, n)
         i, j = np.array([(i, j) for i in range(sa.shape[1]) for j in range(min(n // (i + 1), sb.shape[1]))], dtype=int).reshape(-1, 2).T
-        order = np.argsort(sa[:, i] + sb[:, j], axis=1, kind="stable")[:, :n]
-        return oa[np.arange(len(x))[:, None], i[order]] * len(self.second) + ob[np.arange(len(x))[:, None], j[order]]
+        far = np.where(fa[:, i] + fb[:, j] > 2 * (1 - threshold) + 1e-6, np.inf, sa[:, i] + sb[:, j])
+        order = np.argsort(far, axis=1, kind="stable")[:, :n]
+        rows = np.arange(len(x))[:, None]
+        cells = oa[rows, i[order]] * len(self.second) + ob[rows, j[order]]
+        return np.where(np.isinf(far[rows, order]), -1, cells)
+
+    def visits(self, x: np.ndarray, n: int, deep: int, threshold: float) -> Iterator[np.ndarray]:
+        """The first ``n`` cells of each vector's order of ``deep`` ones."""
+        for lo in range(0, len(x), 256):
+            for cells in self.nearest(x[lo : lo + 256], deep, threshold)[:, :n]:
+                yield cells[cells >= 0]
+
+
+def _by_distance(x: np.ndarray, centres: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` nearest codes of each half vector: numbers, squared distances, and least squared distances of what they hold."""
+    far = _distances(x, centres)
+    order = np.argsort(far, axis=1, kind="stable")[:, :n]
+    far = np.take_along_axis(far, order, 1)
+    between = _distances(centres, centres) ** 0.5
+    least = np.zeros_like(far)
+    for r in range(min(PLANES, far.shape[1])):
+        gap = between[order, order[:, r : r + 1]]
+        # codes that are one up to rounding have no plane
+        plane = np.where(gap > 1e-6, (far - far[:, r : r + 1]) / (2 * np.maximum(gap, 1e-6)), 0.0)
+        least = np.maximum(least, plane)
+    return order, far, least * least
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -117,7 +148,7 @@ def _places(ones: DataFrame, index: MultiIndex, asked: pd.DataFrame, threshold:
     """Of the asked vectors' partners, how many lie in the k-th visited cell (``deep``: in none): sums of ``n / t ** e``
     for e = 1, 2, 3, with ``t`` partners of a vector, ``n`` of them in that cell. Identical vectors are no partners."""
     q = _matrix(asked["x"])
-    order = np.concatenate([index.nearest(q[lo : lo + 256], deep) for lo in range(0, len(q), 256)]).astype(np.int32)
+    order = np.concatenate([index.nearest(q[lo : lo + 256], deep, threshold) for lo in range(0, len(q), 256)]).astype(np.int32)
     sent = ones.sparkSession.sparkContext.broadcast((index.first, index.second, q, order))
     cells = len(index.first) * len(index.second)
 
@@ -142,53 +173,79 @@ def _places(ones: DataFrame, index: MultiIndex, asked: pd.DataFrame, threshold:
     return each.orderBy("place").toPandas()
 
 
-def build(units: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[MultiIndex, int]:
-    """The index of different vectors and the number of cells to visit for the target recall, measured on sampled ones against all others.
+def made_places(index: MultiIndex, x: np.ndarray, threshold: float, deep: int, seed: int = 13) -> np.ndarray:
+    """Shares of partners made for ``x`` that lie in the k-th visited cell (``deep``: in none).
+
+    A partner's cosine is evenly drawn from ``threshold`` to 1; it departs towards another of the vectors (odd rows)
+    or in any direction (even ones).
+    """
+    rng = np.random.default_rng(seed)
+    aside = rng.standard_normal(x.shape)
+    aside[1::2] = x[rng.permutation(len(x))][1::2]
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    norm = np.sqrt((aside * aside).sum(1, keepdims=True))
+    some = norm[:, 0] > 1e-9  # vectors of one component have no other direction
+    if not some.any():
+        return np.eye(1, deep + 1)[0]
+    cos = rng.uniform(threshold, 1, (len(x), 1))
+    made = (cos * x + np.sqrt(1 - cos * cos) * aside / np.maximum(norm, 1e-9))[some]
+    own = index.cells(made)
+    order = np.concatenate([index.nearest(x[some][lo : lo + 256], deep, threshold) for lo in range(0, len(own), 256)])
+    hit = order == own[:, None]
+    return np.bincount(np.where(hit.any(1), hit.argmax(1), deep), minlength=deep + 1) / len(own)
+
+
+def build(units: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[MultiIndex, int, int]:
+    """The index of different vectors, the number of cells to visit for the target recall, measured on sampled ones
+    against all others, and the length of the order that they are taken from.
 
     Recall is an average over distinct vectors, and over groups (a vector weighs as one by its number of
     partners), the lower of both; so neither copies nor a dense group speak for the rest. More vectors are asked
-    until enough groups have answered. If too few do, or the target needs too many cells, all pairs are compared.
+    until enough groups have answered. Below ``FEW`` answers, made pairs fill up the number, as many vectors without
+    a partner are no reason to compare all pairs.
     """
     ones, n = units, units.count()
     k = int(np.clip(round((n / CELL) ** 0.5), *CODES))
     sample = _matrix(ones.where(_share(11, max(SAMPLE, CODE_SAMPLE * k), n)).orderBy("vec_id").toPandas()["x"])
     index = MultiIndex(*(codebook(h.copy(), k) for h in _halves(sample)))
     cells = len(index.first) * len(index.second)
-    # beyond so many probes, all pairs take fewer copies of a row
     deep = min(cells, max(DEEP, min(n // WHOLE_BLOCK, 4 * DEEP)))
     asks = ASKED
     while True:
         asked = ones.where(_share(12, asks, n)).orderBy("vec_id").toPandas()
         got = _places(ones, index, asked, threshold, deep) if len(asked) else pd.DataFrame(columns=["place", "e1", "e2", "e3"])
         answers = got["e2"].sum() ** 2 / got["e3"].sum() if len(got) else 0.0
-        if answers >= QUERIES or asks >= n:
+        if answers >= QUERIES or asks >= min(n, MOST_ASKED):
             break
-        if asks >= MOST_ASKED:
-            return whole(units)
         asks *= 4
-    if not len(got):
-        return index, min(4, cells)  # every vector was asked, and none has a partner
-    # a pair is found if either of its vectors probes the other's cell, so both ends help
     reached = np.zeros((2, deep + 1))
-    reached[:, got["place"].astype(int)] = got[["e1", "e2"]].to_numpy(dtype=float).T
+    if len(got):
+        reached[:, got["place"].astype(int)] = got[["e1", "e2"]].to_numpy(dtype=float).T
+    if asks < n and answers < FEW:
+        reached += (FEW - answers) * made_places(index, _matrix(asked["x"][:ASKED]) if len(asked) else sample, threshold, deep)
+    if not reached.any():
+        return index, min(4, cells), deep  # every vector was asked, and none has a partner
+    # a pair is found if either of its vectors probes the other's cell, so both ends help
     reached = (reached.cumsum(1) / reached.sum(1, keepdims=True)).min(0)
+    if reached[deep - 1] < min(recall, LEAST):
+        return (*whole(units), 1)
     enough = int(np.searchsorted(reached, min(recall, 1 - 1e-9))) + 1
-    return (index, min(max(enough, 4), deep)) if enough <= deep else whole(units)
+    return index, min(max(enough, 4), deep), deep
 
 
 def _placed(units: DataFrame, recall: float, threshold: float) -> tuple[DataFrame, int]:
     """``vec_id, copies, x, n, own, probes`` of vectors of one length, and the rows of a block."""
-    index, probes = build(units, recall, threshold)
-    sent = units.sparkSession.sparkContext.broadcast((index.first, index.second, probes))
+    index, probes, deep = build(units, recall, threshold)
+    sent = units.sparkSession.sparkContext.broadcast((index.first, index.second, probes, deep))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, n = sent.value
+        first, second, n, deep = sent.value
         index = MultiIndex(first, second)
         for batch in batches:
-            x = _matrix(batch["x"].to_pandas())
-            if len(x):
+            if batch.num_rows:
+                x = _matrix(batch["x"].to_pandas())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["vec_id"], batch["copies"], batch["x"], pa.array(index.cells(x)), pa.array(list(index.nearest(x, n)), pa.list_(pa.int64()))],
+                    [batch["vec_id"], batch["copies"], batch["x"], pa.array(index.cells(x)), pa.array(list(index.visits(x, n, deep, threshold)), pa.list_(pa.int64()))],
                     ["vec_id", "copies", "x", "own", "probes"],
                 )
 
@@ -207,9 +264,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         return every.select("vec_id", *alone, F.lit(True).alias("kept"))
     units = vectors_.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     units = written(units.select("vec_id", "copies", "x"), "ones", rows)
-    # lengths with more vectors than a block get an index each; the others share the plan of one cell
+    # lengths with more than SMALL vectors get an index each; the others share the plan of one cell
     lengths = units.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("c"))
-    large = [r["n"] for r in lengths.where(F.col("c") > WHOLE_BLOCK).orderBy("n").collect()]
+    large = [r["n"] for r in lengths.where(F.col("c") > SMALL).orderBy("n").collect()]
     parts = [_placed(units.where(F.size("x") == n), recall, threshold) for n in large]
     few = units.where(~F.size("x").isin(large)) if large else units
     few = few.withColumns({"own": F.lit(0).cast("long"), "probes": F.array(F.lit(0).cast("long")), "n": F.size("x")})
@@ -218,7 +275,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         placed = placed.unionByName(part.withColumn("block", F.lit(block)))
     placed = written(placed, "cells")
     stored = placed.withColumns({"cell": F.col("own"), "asks": F.lit(False)})
-    asking = placed.withColumns({"cell": F.explode("probes"), "asks": F.lit(True)})
+    # a row that asks needs no list of cells
+    asking = placed.withColumns({"cell": F.explode("probes"), "asks": F.lit(True)}).withColumn("probes", F.lit(None).cast("array<long>"))
     sizes = (
         placed.select("n", "block", F.col("own").alias("cell"), F.lit(1).alias("s"), F.lit(0).alias("a"))
         .union(placed.select("n", "block", F.explode("probes"), F.lit(0), F.lit(1)))
@@ -249,9 +307,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             a, b = here["vec_id"].to_numpy(), there["vec_id"].to_numpy()
             i, j = np.nonzero((_matrix(here["x"]) @ _matrix(there["x"]).T >= threshold) & (a[:, None] != b))
             # a pair that meets in both vectors' cells counts where the smaller id asks
-            probes, own = np.stack(here["probes"].to_numpy()), there["own"].to_numpy()
-            twice = (probes[i] == own[j][:, None]).any(1) if len(i) else np.zeros(0, bool)
-            use = ~twice | (b[j] < a[i])
+            probes, own = here["probes"].to_numpy(), there["own"].to_numpy()
+            grid = np.int64(CODES[1] ** 2)
+            asked = np.concatenate([np.asarray(p, np.int64) + grid * at for at, p in enumerate(probes)])
+            use = ~np.isin(own[j] + grid * i, asked) | (b[j] < a[i])
             i, j = i[use], j[use]
             for ids, at, other in ((a, i, there["copies"].to_numpy()[j]), (b, j, here["copies"].to_numpy()[i])):
                 sums = np.bincount(at, weights=other, minlength=len(ids))

@@ -199,3 +199,32 @@ def test_components(spark):
     assert set(got[i] for i in range(41)) == {0} and got[150] == got[200] == got[100] == 100
     assert all(got[k] == 1000 for k in range(1000, 1400)) and len(got) == 41 + 3 + 400
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_planes_leave_out_no_link():
+    """Cells without a link may be left out, others not; and in groups most are."""
+    x = _clusters(1200, 40, 9).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = neardup.MultiIndex(*(neardup.codebook(h.copy(), 7) for h in neardup._halves(x)))
+    own, near = index.cells(x), index.nearest(x, 49, 0.9)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert (near[i] == own[j][:, None]).any(1).all() and (near == -1).mean() > 0.5
+
+
+def test_index_serves_few_and_sparse_vectors(spark):
+    """A table of a few hundred vectors has a grid; so has one in which hardly a vector has a partner."""
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(neardup_units(_clusters(500, 30, 4)))], "vec_id long, copies long, x array<double>")
+    index, _, _ = neardup.build(df)
+    assert len(index.first) * len(index.second) > 1
+    rng = np.random.default_rng(8)
+    x = np.concatenate([_pairs(rng, 60, 0.95), rng.normal(size=(29_880, 64))])
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(neardup_units(x))], "vec_id long, copies long, x array<double>")
+    index, probes, deep = neardup.build(df.repartition(8))
+    cells = len(index.first) * len(index.second)
+    assert cells > 500 and probes < cells / 2
+    got, want = _linked(spark, x)
+    assert (got <= want).all() and got.sum() >= 0.95 * want.sum() == 114
+
+
+def neardup_units(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
