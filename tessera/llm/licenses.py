@@ -2,9 +2,12 @@
 
 Texts are normalised and split into pieces at line ends and at the ends of sentences. A known licence
 sentence is one piece, or a run of pieces that only single line breaks part, with comment marks or
-without: wrapped texts count as whole ones. Blank lines, full stops and a colon before a line end stop a
-run. A document's identifiers, in order, are then matched with licence rules: sequences of identifiers
-between which others may stand. A rule whose identifiers all belong to a longer matching rule gives way to it.
+without: wrapped texts count as whole ones. Semicolons, colons, full stops of abbreviations and the starts of
+web addresses part pieces as line breaks do: a sentence may end there or go on. Blank lines, other full stops and a
+colon before a line end stop a run. A line that names licences by tags or after "licensed under" may hold several,
+joined by and, or, with; each gives its identifier. A document's identifiers, in order, are then matched with licence
+rules: sequences of identifiers between which others may stand. A rule whose identifiers all belong to a longer
+matching rule gives way to it.
 
 Edge cases: null and empty texts have no sentence and no licence; repeated rows each get their row; a null
 id is kept; other columns don't matter; an empty table gives an empty result.
@@ -45,6 +48,9 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "neither the name of ~ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "neither the name of ~ nor the names of ~ may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "the name of ~ may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "all rights reserved": "reserved",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2-ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3-ref",
@@ -80,9 +86,13 @@ RULES = {
     "AGPL-3.0-or-later": ("agpl3-later",),
     "BSD-2-Clause": ("bsd-grant", "bsd-source", "bsd-binary"),
     "BSD-3-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"),
+    "BSD-4-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"),
     "BSL-1.0": ("bsl-grant",),
     "CC-BY-4.0": ("ccby4-ref",),
     "CC-BY-NC-4.0": ("ccbync4-ref",),
+    "CC-BY-NC-ND-4.0": ("ccbyncnd4-ref",),
+    "CC-BY-NC-SA-4.0": ("ccbyncsa4-ref",),
+    "CC-BY-ND-4.0": ("ccbynd4-ref",),
     "CC-BY-SA-4.0": ("ccbysa4-ref",),
     "GPL-2.0-only": ("gpl2-ref",),
     "GPL-2.0-or-later": ("gpl2-later", "gpl-warranty"),
@@ -104,10 +114,49 @@ RULES = {
 }
 #: Words that a tilde in a known sentence stands for.
 ANY_WORDS = 12
+# Parts of the names of public copyright licences, with their short forms.
+_PARTS = {"noncommercial ": "nc", "noderivatives ": "nd", "sharealike ": "sa", "noncommercial noderivatives ": "ncnd", "noncommercial sharealike ": "ncsa", "": ""}
+for _words, _short in _PARTS.items():
+    for _before in ("", "this work is licensed under a ", "this work is licensed under the ", "licensed under a ", "licensed under the "):
+        for _after in ("", " license"):
+            SENTENCES[f"{_before}creative commons attribution {_words}4.0 international{_after}"] = f"ccby{_short}4-ref"
+# Names by which tag lines and references call a licence beside its identifier.
+NAMES = {
+    "agpl 3.0": "AGPL-3.0-only",
+    "apache 2": "Apache-2.0",
+    "apache license 2.0": "Apache-2.0",
+    "apache license version 2.0": "Apache-2.0",
+    "bsd 2 clause license": "BSD-2-Clause",
+    "bsd 3 clause license": "BSD-3-Clause",
+    "boost software license 1.0": "BSL-1.0",
+    "gnu general public license version 2": "GPL-2.0-only",
+    "gnu general public license version 3": "GPL-3.0-only",
+    "gpl 2.0": "GPL-2.0-only",
+    "gpl 3.0": "GPL-3.0-only",
+    "isc license": "ISC",
+    "lgpl 2.1": "LGPL-2.1-only",
+    "lgpl 3.0": "LGPL-3.0-only",
+    "mit license": "MIT",
+    "mozilla public license 2.0": "MPL-2.0",
+    "mozilla public license version 2.0": "MPL-2.0",
+}
+
+
+def _plain(name: str) -> str:
+    return " ".join(re.split(r"[^a-z0-9.]+", name.lower()))
+
+
 #: A tag line names a licence by its identifier: one more sentence and rule for each.
 for _name in [n for n in RULES if n not in ("Apache-2.0-header", "MIT-reference", "MPL-2.0-header", "proprietary")]:
-    SENTENCES["spdx license identifier " + " ".join(re.split(r"[^a-z0-9.]+", _name.lower()))] = f"tag-{_name.lower()}"
+    NAMES[_plain(_name)] = _name
     RULES[f"{_name}-tag"] = (f"tag-{_name.lower()}",)
+for _name, _of in NAMES.items():
+    SENTENCES[f"spdx license identifier {_name}"] = f"tag-{_of.lower()}"
+#: What may stand before names of licences, and what an exception to one is called.
+_BEFORE = "spdx license identifier|license|(?:this [a-z]+ is )?(?:(?:dual|double|triple|multi) )?licensed under(?: the terms of)?(?: either)?(?: of)?(?: the| a)?"
+_EXCEPTION = "(?:[a-z0-9.]+ ){1,4}(?:exception|note)(?: [0-9.]+)?"
+#: Words after which a full stop need not end a sentence.
+ABBREVIATED = "inc|ltd|corp|co|llc|gmbh|dr|mr|mrs|ms|jr|prof"
 #: Sentences end at line ends, and at a full stop, question or exclamation mark before white space or the end.
 SENTENCE_END = r"[\r\n]+|[.!?]+(?:[ \t]+|$)|[.!?]+[\r\n]+"
 
@@ -125,13 +174,18 @@ SOFT, HARD = "\x01", "\x02"
 def marked(text: Column) -> Column:
     """The whole text as ``normalised`` leaves its sentences, with ``SOFT`` and ``HARD`` between them and ``HARD`` at both ends."""
     out = F.regexp_replace(F.translate(F.lower(text), SOFT + HARD, "  "), r"\r\n?", "\n")
+    # a plus behind a version
+    out = F.regexp_replace(out, r"(?<=[a-z]-[0-9.]{1,4})[+](?![^ \t\n)])", "-or-later")
+    out = F.regexp_replace(out, rf"\b({ABBREVIATED})[.](?=[ \t\n])", f"$1{SOFT}")
     out = F.regexp_replace(out, r"[.!?]+(?=[ \t\n]|$)", HARD)
     # a line without a letter or digit is blank: comment marks, rules of dashes
     out = F.regexp_replace(out, r"\n(?=[^\p{L}\p{N}\n]*+\n)|:(?=[^\p{L}\p{N}\n]{0,8}\n)", HARD)
-    out = F.concat(F.lit(HARD), F.translate(out, "\n", SOFT), F.lit(HARD))
+    out = F.regexp_replace(out, r"(?=\bhttps?://)", SOFT)
+    out = F.concat(F.lit(HARD), F.translate(out, "\n:;", SOFT * 3), F.lit(HARD))
     out = F.regexp_replace(out, rf"[^a-z0-9.{SOFT}{HARD}]+", " ")
     out = F.regexp_replace(out, r"(^|[^0-9])[.]+|[.]+($|[^0-9])", "$1 $2")
-    return F.regexp_replace(F.regexp_replace(out, " +", " "), f" ?([{SOFT}{HARD}]) ?", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, " +", " "), f" ?([{SOFT}{HARD}]) ?", "$1")
+    return F.regexp_replace(out, f"{SOFT}{SOFT}+", SOFT)
 
 
 def _open(sentence: str, blank: str = " ") -> str:
@@ -144,10 +198,21 @@ def _open(sentence: str, blank: str = " ") -> str:
 _ITEM = "(?:[a-z]|[ivx]{1,4}|[0-9]{1,2})"
 
 
+def _names() -> str:
+    return "(?:" + "|".join(re.escape(n).replace(r"\ ", " ") for n in sorted(NAMES, key=len, reverse=True)) + ")(?: license)?"
+
+
+def _tags() -> str:
+    """Matches a run of licence names behind what may stand before them."""
+    one = f"{_names()}(?: with {_EXCEPTION})?"
+    return f"(?:{_BEFORE}) {one}(?: (?:and or|and|or)(?: the)? {one})*"
+
+
 def _known() -> str:
     """Matches a known sentence in a marked text, the longest one first, behind the mark of a list's item or without."""
     any_of = "|".join(_open(s, f"[ {SOFT}]") for s in sorted(SENTENCES, key=len, reverse=True))
-    return f"(?<=[{SOFT}{HARD}])(?:{_ITEM} )?(?:{any_of})(?=[{SOFT}{HARD}])"
+    tags = _tags().replace(" ", f"[ {SOFT}]")
+    return f"(?<=[{SOFT}{HARD}])(?:{_ITEM} )?(?:{any_of}|{tags})(?=[{SOFT}{HARD}])"
 
 
 def _rules_for(ids: Column) -> Column:
@@ -167,7 +232,7 @@ def _pattern(seq: tuple[str, ...]) -> str:
 
 
 #: Texts without one of these are not looked at: every known sentence holds one.
-WORDS = "licen|permi|copyright|reserved|free software|gnu|warrant|redistribut|compliance|mpl|public domain|anyone is free"
+WORDS = "licen|creative commons|permi|copyright|reserved|free software|gnu|warrant|redistribut|compliance|mpl|public domain|anyone is free"
 
 
 def scan(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
@@ -184,10 +249,22 @@ def scan(docs: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
         item = F.try_element_at(known, F.regexp_replace(sentence, f"^{_ITEM} ", ""))
         return F.coalesce(whole, item, *[F.when(sentence.rlike(p), F.lit(i)) for p, i in open_])
 
+    named = F.create_map(*[F.lit(x) for n, of in NAMES.items() for x in (n, f"tag-{of.lower()}")])
+
+    def tags_of(sentence: Column) -> Column:
+        """Identifiers of the names in a run, behind its opening words."""
+        run = F.regexp_replace(sentence, f"^(?:{_ITEM} )?(?:{_BEFORE}) ", "")
+        names = F.regexp_extract_all(run, F.lit(f"(?:^|(?:and|or|the) )({_names()})(?= (?:and|or|with) |$)"), F.lit(1))
+        return F.transform(names, lambda n: F.coalesce(F.try_element_at(named, n), F.try_element_at(named, F.regexp_replace(n, " license$", ""))))
+
+    def ids_of(sentence: Column) -> Column:
+        one = id_of(sentence)
+        return F.when(one.isNotNull(), F.array(one)).otherwise(tags_of(sentence))
+
     word = WORDS
     found = F.when(F.lower("text").rlike(word), F.regexp_extract_all(marked(F.col("text")), F.lit(_known()), F.lit(0)))
     found = F.coalesce(found, F.array().cast("array<string>"))
-    ids = F.transform(found, lambda s: id_of(F.translate(s, SOFT, " ")))
+    ids = F.array_compact(F.flatten(F.transform(found, lambda s: ids_of(F.translate(s, SOFT, " ")))))
     rows = docs.select(*key, ids.alias("_ids"))
     joined = F.concat(F.lit(";"), F.array_join("_ids", ";"), F.lit(";"))
     return rows.select(

@@ -514,6 +514,39 @@ def test_more_licences(spark):
     assert {r["name"]: r["licenses"] for r in got} == {n: n for n in texts}
 
 
+def test_licences_as_they_are_written(spark):
+    names = "3. Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by A. Person.\n"
+    header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing'
+    cases = [
+        (header, "Apache-2.0-header"),
+        (header.replace("; ", ";\n").replace(" at http", " at\n\n    http"), "Apache-2.0-header"),
+        (BSD + advert + names.replace("3.", "4."), "BSD-4-Clause"),
+        (BSD + names, "BSD-3-Clause"),
+        ("Copyright 2020 Some Corp. All rights reserved.", "proprietary"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0-tag,MIT-tag"),
+        ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "BSD-3-Clause-tag,MIT-tag"),
+        ("/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0-only-tag"),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later-tag"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later OR MIT", "GPL-2.0-or-later-tag,MIT-tag"),
+        ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "Apache-2.0-tag"),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT", "GPL-2.0-only-tag,MIT-tag"),
+        ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", "CC-BY-NC-ND-4.0"),
+        ("This project is dual-licensed under the MIT License and the Apache License, Version 2.0.", "Apache-2.0-tag,MIT-tag"),
+        ("Dual-licensed under MIT or Apache-2.0", "Apache-2.0-tag,MIT-tag"),
+        ("License: MIT\nAuthor: A. Person", "MIT-tag"),
+        ("License: none of these", ""),
+        ("A licensed driver: MIT or Apache-2.0", ""),
+        ("Licensed under the MIT License", "MIT-reference"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert [(t, got[i], want) for i, (t, want) in enumerate(cases) if got[i] != want] == []
+    bare = spark.createDataFrame([(1, "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT")], "doc_id long, text string")
+    assert licenses.scan(bare).first().sentence_ids == "tag-gpl-2.0-only,tag-mit"
+
+
 def test_runs_stop_at_sentence_ends(spark):
     texts = {1: "Licensed under\nthe MIT License", 2: "Licensed under\n\nthe MIT License", 3: "Licensed under.\nthe MIT License", 4: "Licensed under\n--\nthe MIT License", 5: "Not licensed under\nthe MIT License"}
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
