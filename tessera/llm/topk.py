@@ -3,8 +3,9 @@
 Components become integers. Each falls into one of 256 cells of about equal frequency, cut from a bounded sample, so
 a vector's approximation takes a byte a component; approximations are stored as a table of their own. Queries
 scan only these: a cell's ends bound a component, and so every inner product, from both sides. The k-th best
-lower bound of a query, over all rows, leaves few rows whose upper bound reaches it. Only their exact vectors are
-read, and ranked. (Cells are read in blocks, so all rows that a scan in bound order would come to are read at once.)
+lower bound of a query, over all rows, leaves few rows whose upper bound reaches it. Their exact vectors are read in
+the order of that bound, in growing portions for all queries at once, until no bound of a vector that is left
+reaches a query's k-th exact score: then its result is certain.
 
 Rows with the same integers are one point; of these, the k + 1 smallest ids can be results. Queries and points meet
 in a grid of bounded blocks.
@@ -33,6 +34,8 @@ CELLS = 256
 SAMPLE = 20_000
 #: Points and queries that meet at once, and how many points are bounded together.
 ROWS, QUERIES, STRIDE = 65_536, 1_024, 8_192
+#: Exact vectors that a query reads first, a result, and how much more it reads up to in the next portion.
+FIRST, GROWTH = 4, 8
 #: Inner products up to here are exact in doubles.
 EXACT = float(1 << 53)
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
@@ -166,7 +169,7 @@ def _of_length(rows: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def survivors(rows: DataFrame, is_query: Column, k: int) -> DataFrame | None:
-    """``query_id, vec_id`` of the exact vectors to be read; None without a query."""
+    """``query_id, vec_id, upper, place`` of rows that bounds leave, in the order of their bounds; None without a query."""
     lengths = [r["n"] for r in rows.where(is_query).select("n").distinct().orderBy("n").collect()]
     parts = [_of_length(rows.where(F.col("n") == n), rows.where((F.col("n") == n) & is_query), n, k) for n in lengths]
     if not parts:
@@ -180,22 +183,17 @@ def survivors(rows: DataFrame, is_query: Column, k: int) -> DataFrame | None:
     whole = Window.partitionBy("query_id")
     found = found.withColumns({"_floor": F.min(F.when(F.col("_p") == k, F.col("lower"))).over(whole), "_last": F.min(F.when(F.col("_p") == k, F.col("vec_id"))).over(whole)})
     reach = F.col("_floor").isNull() | (F.col("upper") > F.col("_floor")) | ((F.col("upper") == F.col("_floor")) & (F.col("vec_id") <= F.col("_last")))
-    return found.where(reach).select("query_id", "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    return found.where(reach).select("query_id", "vec_id", "upper", F.row_number().over(order).alias("place"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` greatest integer inner products of each query row."""
-    rows = whole_vectors(vectors, scale)
-    found = survivors(rows, is_query, k)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = written(found, "survivors")
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+def _scored(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, vec_id, score`` of stored pairs, from exact vectors."""
     # points near many queries are hot; they are at most 1 / HOT_SHARE
-    n = found.count()
-    often = found.groupBy("vec_id").agg(F.count("*").alias("_c")).where(F.col("_c") > F.lit(max(HOT_SHARE * n, 8.0)))
+    n = pairs.count()
+    often = pairs.groupBy("vec_id").agg(F.count("*").alias("_c")).where(F.col("_c") > F.lit(max(HOT_SHARE * n, 8.0)))
     exact = rows.select("vec_id", "x")
-    near = joined(found, exact, exact.join(F.broadcast(often.select("vec_id")), "vec_id"), "vec_id").join(asked, "query_id")
+    near = joined(pairs, exact, exact.join(F.broadcast(often.select("vec_id")), "vec_id"), "vec_id").join(asked, "query_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +203,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
                 scores = pa.array(_scores(_matrix(part["x"]), _matrix(part["q"])), pa.int64())
                 yield pa.RecordBatch.from_arrays([part["query_id"], part["vec_id"], scores], ["query_id", "vec_id", "score"])
 
-    scored = near.select("query_id", "vec_id", "x", "q").mapInArrow(score, "query_id long, vec_id long, score long")
+    return near.select("query_id", "vec_id", "x", "q").mapInArrow(score, "query_id long, vec_id long, score long")
+
+
+def _uncertain(left: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Rows of ``left`` that may still be among their query's ``k`` best."""
+    kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+    as_double = F.col("_kth").cast("double")
+    # scores beyond 2 ** 53 are rounded as doubles; one at the least end of long may tie with any
+    reach = F.col("_kth").isNull() | (F.col("_kth") == _LEAST) | (F.col("upper") >= as_double - F.abs(as_double) * 2.0**-50)
+    return left.join(kth, "query_id", "left").where(reach).drop("_kth")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` greatest integer inner products of each query row."""
+    rows = whole_vectors(vectors, scale)
+    found = survivors(rows, is_query, k)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = written(found, "survivors")
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left, upto, best = found, FIRST * k, None
+    while True:
+        portion = written(left.where(F.col("place") <= upto).select("query_id", "vec_id"), "portion")
+        scored = _scored(portion, rows, asked)
+        if best is not None:
+            scored = scored.unionByName(best.select("query_id", "vec_id", "score"))
+        best = written(scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+        left = _uncertain(found.where(F.col("place") > upto), best, k)
+        if left.isEmpty():
+            return best
+        upto *= GROWTH

@@ -163,6 +163,22 @@ def test_few_exact_vectors_are_read(spark):
     assert 20 * asked <= read < 0.1 * n * asked
 
 
+def test_exact_vectors_are_read_until_certain(spark, monkeypatch):
+    """With four cells a component, bounds leave many rows; in their order, few are read."""
+    monkeypatch.setattr(topk, "CELLS", 4)
+    monkeypatch.setattr(topk, "FIRST", 1)
+    monkeypatch.setattr(topk, "GROWTH", 2)
+    x = np.round(_clusters(900, 30, 3), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    read, real = [], topk._scored
+    monkeypatch.setattr(topk, "_scored", lambda pairs, *a: read.append(pairs.count()) or real(pairs, *a))
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()
+    whole = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
+    assert sorted(map(tuple, got)) == sorted(_brute_top(list(range(900)), whole, range(0, 900, 20), 5))
+    left = topk.survivors(topk.whole_vectors(df), F.col("vec_id") % 20 == 0, 5).count()
+    assert len(read) > 1 and read[0] == 45 * 5 and sum(read) < left
+
+
 def test_top_k_of_copies_and_large_components(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 64)
     rng = np.random.default_rng(4)
