@@ -11,7 +11,7 @@ from ..functions.stats import chi2_upper, normal_two_sided, pearson, pearson_sql
 from ..operators import folds
 from ..operators.relational import densify, out_of_fold
 from ..operators.bootstrap import REPS, bootstrap_sql, drawn_spearman
-from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half
+from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half, split_half_windows
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay
 from ..sources.shared import stored
 from .base import annotated, folded_table
@@ -50,14 +50,9 @@ _UNITS = f"un AS (SELECT a.*, CAST(w AS INTEGER) AS window_size, CAST((pos - 1)
 _RELIABLE = "rel AS (SELECT window_size, CASE WHEN max(n_groups) >= 8 THEN avg(r) END AS split_half_r, max(n_groups) AS n_groups, CASE WHEN max(n_groups) >= 8 THEN 2 * avg(r) / (1 + avg(r)) END AS spearman_brown FROM q GROUP BY window_size)"
 
 
-def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = F.explode(F.array(*[F.lit(w) for w in WINDOWS]))
-    return assay(spark, sf_dir).withColumn("window_size", windows).withColumn("unit", F.expr("cast((pos - 1) div window_size as int)"))
-
-
 @query(f"WITH {ASSAY_SQL}, {_UNITS}, {_halves_sql('unit', 'window_size', 'un')}, {_RELIABLE} SELECT * FROM rel")
 def stat_split_half_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = split_half(_units(spark, sf_dir), ["unit"], "score", "row_id", SPLITS, by=["window_size"])
+    out = split_half_windows(assay(spark, sf_dir), "pos", "score", "row_id", SPLITS, WINDOWS)
     enough = F.col("n_groups") >= 8
     return out.withColumns({c: F.when(enough, F.col(c)) for c in ("split_half_r", "spearman_brown")})
 
