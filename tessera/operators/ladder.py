@@ -166,7 +166,7 @@ def with_ceiling(metrics: DataFrame, reliability: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(reliability), "window_size", "left").withColumns({"ceiling": ceiling, "headroom": ceiling - F.col("pearson")})
 
 
-def paired_unit_draws(units: DataFrame, y: str, a: str, b: str, reps: int = DRAWS, cluster: str = "unit", seed: int = 1) -> np.ndarray:
+def paired_unit_draws(units: DataFrame, y: str, a: str, b: str, reps: int = DRAWS, cluster: str = "unit", seed: int | str = 1) -> np.ndarray:
     """Differences of the correlations of ``y`` with ``a`` and with ``b``, over draws of units with replacement; NaN where one is constant.
 
     A unit carries how often each draw takes it; weighted sums of nine products give all draws in one pass.

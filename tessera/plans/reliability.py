@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isnan
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -11,7 +13,8 @@ from ..functions.stats import chi2_upper, normal_two_sided, pearson, pearson_sql
 from ..operators import folds
 from ..operators.relational import densify, out_of_fold
 from ..operators.bootstrap import REPS, bootstrap_sql, drawn_spearman
-from ..operators.reliability import cluster_weights, icc, percentile_interval, split_half, split_half_windows
+from ..operators.ladder import paired_unit_draws
+from ..operators.reliability import icc, percentile_interval, split_half, split_half_windows
 from ..sources.assay import ANNOTATED_SQL, ASSAY_SQL, FOLDS_SQL, assay
 from ..sources.shared import stored
 from .base import annotated, folded_table
@@ -174,8 +177,9 @@ d AS (SELECT rep, {pearson_sql('y', 'a')} - {pearson_sql('y', 'b')} AS delta FRO
 @query(f"WITH {ASSAY_SQL}, {_UNIT} SELECT {_CI.format(x='delta')} FROM d WHERE delta IS NOT NULL")
 def stat_unit_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = assay(spark, sf_dir).groupBy(F.expr("cast((pos - 1) div 5 as int)").alias("unit")).agg(F.avg("score").alias("y"), F.avg("pred_a").alias("a"), F.avg("pred_b").alias("b"))
-    rows = units.join(cluster_weights(units, "unit", UNIT_DRAWS, "u"), "unit")
-    r = rows.groupBy("rep").agg((pearson("y", "a", "w") - pearson("y", "b", "w")).alias("delta"))
+    # a unit carries how often each draw takes it: no draw is a row
+    deltas = paired_unit_draws(stored(units, "units"), "y", "a", "b", UNIT_DRAWS, seed="u")
+    r = spark.createDataFrame([(float(d),) for d in deltas if not isnan(d)], "delta double")
     return percentile_interval(r, "delta", [])
 
 
