@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 
-#: Dots of a sphere that share one number, a bit each.
-BITS = 60
+#: Dots of a sphere that share one number, a bit each; pairs whose dots are tested at once, in the cache.
+BITS, PAIRS = 60, 512
 
 
 def near_pairs(points: DataFrame, others: DataFrame, by: Sequence[str], width: float | Column) -> DataFrame:
@@ -69,28 +70,51 @@ def sphere(n: int = 100) -> np.ndarray:
 
 
 def accessible_area(atoms: DataFrame, probe: float = 1.4, n: int = 100, by: Sequence[str] = ("chain",), key: str = "atom_id") -> DataFrame:
-    """Solvent-accessible area of each atom of ``atoms(by, key, x, y, z, radius)``, by rolling a probe over those of its group.
+    """Solvent-accessible area of each atom of ``atoms(by, key, x, y, z, radius)``, by rolling a probe over those of its group."""
+    return accessible_areas(atoms, atoms, {"area": F.lit(True)}, probe, n, by, key)
+
+
+def accessible_areas(
+    atoms: DataFrame, others: DataFrame, seen: Mapping[str, Column], probe: float = 1.4, n: int = 100, by: Sequence[str] = ("chain",), key: str = "atom_id"
+) -> DataFrame:
+    """``by, key`` and an area of each name in ``seen``: that of ``atoms`` beside those of ``others`` for which its condition holds.
 
     A neighbour hides dots of an atom's sphere, one bit each; hidden dots of all neighbours add up by bitwise or, so
-    neither dots nor neighbours are ever collected.
+    neither dots nor neighbours are ever collected. Each pair's dots are tested once, whatever the number of areas.
     """
     wide = atoms.select(*by, key, "x", "y", "z", (F.col("radius") + probe).alias("_r"))
-    wide = wide.join(F.broadcast(wide.agg((2 * F.max("_r")).alias("_w"))))  # one row
-    others = wide.select(*by, "x", "y", "z", "_w", F.col(key).alias("_k"), F.col("_r").alias("_q"))
+    width = F.broadcast(atoms.select("radius").union(others.select("radius")).agg((2 * (F.max("radius") + probe)).alias("_w")))  # one row
+    there = others.select(*by, "x", "y", "z", F.col(key).alias("_k"), (F.col("radius") + probe).alias("_q"), *[c.alias(f"_s{i}") for i, c in enumerate(seen.values())])
     # the width is the same in every row, so it may stand among the join's keys
-    pairs = near_pairs(wide, others, [*by, "_w"], F.col("_w")).where((F.col(key) != F.col("_k")) & (F.col("_d") < F.col("_r") + F.col("_q")))
-    dots = [[float(v) for v in d] for d in sphere(n)]
-    names = []
-    for i in range(0, n, BITS):
-        part = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", d)], F.lit(1 << j).cast("long").alias("bit")) for j, d in enumerate(dots[i : i + BITS])])
-        names.append(f"_m{i}")
-        pairs = pairs.withColumn(names[-1], F.aggregate(part, F.lit(0).cast("long"), lambda m, d: F.when(_hides(d), m.bitwiseOR(d["bit"])).otherwise(m)))
-    hidden = pairs.groupBy(*by, key).agg(*[F.bit_or(m).alias(m) for m in names])
-    free = n - reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(m), F.lit(0)) for m in names])
-    return wide.join(hidden, [*by, key], "left").select(*by, key, (4 * np.pi * F.col("_r") * F.col("_r") * free / n).alias("area"))
-
-
-def _hides(dot: Column) -> Column:
-    """Does the neighbour at ``qx, qy, qz`` cover this dot of the sphere around ``x, y, z``?"""
-    parts = [F.col(a) + F.col("_r") * dot[a] - F.col(f"q{a}") for a in "xyz"]
-    return reduce(lambda x, y: x + y, [p * p for p in parts]) < F.col("_q") * F.col("_q")
+    pairs = near_pairs(wide.join(width), there.join(width), [*by, "_w"], F.col("_w")).where((F.col(key) != F.col("_k")) & (F.col("_d") < F.col("_r") + F.col("_q")))
+    numbers = range(-(-n // BITS))
+    pairs = pairs.withColumn("_m", _hidden_dots(n)("x", "y", "z", "_r", "qx", "qy", "qz", "_q"))
+    masks = {f"_m{i}_{j}": F.bit_or(F.when(F.col(f"_s{i}"), F.col(f"_m._{j}"))) for i in range(len(seen)) for j in numbers}
+    hidden = pairs.groupBy(*by, key).agg(*[m.alias(name) for name, m in masks.items()])
+    free = [n - reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"_m{i}_{j}"), F.lit(0)) for j in numbers]) for i in range(len(seen))]
+    areas = [(4 * np.pi * F.col("_r") * F.col("_r") * f / n).alias(name) for f, name in zip(free, seen)]
+    return wide.join(hidden, [*by, key], "left").select(*by, key, *areas)
+
+
+def _hidden_dots(n: int) -> Callable[..., Column]:
+    """Which dots of the sphere of radius ``r`` around ``x, y, z`` the one of ``q`` around ``qx, qy, qz`` covers: numbers of `BITS` bits."""
+    parts, dots = -(-n // BITS), sphere(n).T.copy()
+
+    @F.pandas_udf(", ".join(f"_{j} long" for j in range(parts)))
+    def hidden(x: pd.Series, y: pd.Series, z: pd.Series, r: pd.Series, qx: pd.Series, qy: pd.Series, qz: pd.Series, q: pd.Series) -> pd.DataFrame:
+        bits = np.zeros((len(x), parts, 64), bool)
+        ends, radius, reach = [(a.to_numpy(), b.to_numpy()) for a, b in ((x, qx), (y, qy), (z, qz))], r.to_numpy(), q.to_numpy() ** 2
+        for at in range(0, len(x), PAIRS):
+            p, far = slice(at, at + PAIRS), 0.0
+            for (a, b), d in zip(ends, dots):
+                apart = a[p, None] + radius[p, None] * d - b[p, None]
+                apart *= apart
+                far = far + apart
+            covered = far < reach[p, None]
+            for j in range(parts):
+                of = covered[:, j * BITS : (j + 1) * BITS]
+                bits[p, j, : of.shape[1]] = of
+        packed = np.packbits(bits, axis=2, bitorder="little").view("<i8")[:, :, 0]
+        return pd.DataFrame({f"_{j}": packed[:, j] for j in range(parts)})
+
+    return hidden

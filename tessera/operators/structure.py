@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import stored
-from .geometry import accessible_area, contact_counts, nearest_distance
+from .geometry import accessible_areas, contact_counts, nearest_distance
 
 # The one-letter codes of residues; the largest area of a residue in square angstroms (Tien and others,
 # 2013, theoretical values); van der Waals radii in angstroms (Bondi).
@@ -44,11 +44,10 @@ def position_features(
     sized = stored(sized.where(F.col("chain").isin(chain, *partners)), "atoms")
     own = sized.where((F.col("chain") == chain) & F.col("residue").isin(list(LETTER)))
     other = sized.where(F.col("chain") != chain)
-    alone = accessible_area(own, probe, by=["file"]).withColumnRenamed("area", "_alone")
-    # the whole complex, of which own atoms are kept
-    bound = accessible_area(sized, probe, by=["file"]).withColumnRenamed("area", "_bound")
+    # own atoms, beside one another and in the whole complex
+    areas = accessible_areas(own, sized, {"_alone": (F.col("chain") == chain) & F.col("residue").isin(list(LETTER)), "_bound": F.lit(True)}, probe, by=["file"])
     near = nearest_distance(own, other, "atom_id", ["file"], 8.0)
-    each = own.join(alone, ["file", "atom_id"]).join(bound, ["file", "atom_id"]).join(near, ["file", "atom_id"])
+    each = own.join(areas, ["file", "atom_id"]).join(near, ["file", "atom_id"])
     place = F.struct("x", "y", "z")
     rows = each.groupBy("file", "pos").agg(
         F.sum("_alone").alias("area"),

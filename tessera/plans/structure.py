@@ -17,7 +17,8 @@ CENTRES = {"core": [10, 21, 33], "rim": [38, 47]}
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    # a part is a few bytes, its line costs much more: small files would leave the lines to few tasks
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").select(
         (p / (LENGTH * 4)).cast("long").cast("string").alias("file"), (p % (LENGTH * 4) / 4 + 1).cast("int").alias("pos"), (p % 4).cast("int").alias("a"), p.alias("id")
     )
 
@@ -43,7 +44,8 @@ def structure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("id") % 90 + 10.0).cast("double"),
         F.substring(F.get(F.array(*[F.lit(a) for a in ATOMS]), F.col("a")), 1, 1),
     )
-    return rows.select("file", line.alias("value"))
+    # an exploded line is made once; else each filter on it would make it anew, before rows are dealt to tasks
+    return rows.select("file", F.explode(F.array(line)).alias("value"))
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,19 @@ def test_line_needs_five_units_and_some_variance(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (r.pred is None) == (r.by != "line") and (r.pred is None or r.pred == pytest.approx(r.y))
+
+
+def test_areas_beside_two_sets_of_neighbours_from_one_test_of_dots(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import geometry
+
+    rng = np.random.default_rng(8)
+    rows = [("f", i, "AB"[i % 2], *map(float, rng.uniform(0, 8, 3)), float(rng.choice([1.2, 1.7]))) for i in range(60)]
+    atoms = spark.createDataFrame(rows, "file string, atom_id long, chain string, x double, y double, z double, radius double")
+    own, tested, make = atoms.where("chain = 'B'"), [], geometry._hidden_dots
+    monkeypatch.setattr(geometry, "_hidden_dots", lambda n: tested.append(n) or make(n))
+    got = geometry.accessible_areas(own, atoms, {"alone": F.col("chain") == "B", "bound": F.lit(True)}, by=["file"])
+    assert tested == [100] and {r.atom_id: r.alone for r in got.collect()} == {r.atom_id: r.area for r in accessible_area(own, by=["file"]).collect()}
+    whole = {r.atom_id: r.area for r in accessible_area(atoms, by=["file"]).collect()}
+    assert all(r.bound == whole[r.atom_id] <= r.alone for r in got.collect()) and any(r.bound < r.alone for r in got.collect())
