@@ -39,16 +39,21 @@ _CHANNEL = ["rel_pos", "pos_abs", "is_core", *[f"dom_{d:02d}" for d in range(DOM
 )
 def agg_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the target and of eighteen features over the rows of each unit, for seven widths."""
-    df = design(spark, sf_dir, signal=False)
+    df = design(spark, sf_dir, signal=False, schemes=(), bins=False)
     names = channel(df)
     units = unit_vectors(df, WINDOWS, "score", names)
     return units.select("window_size", "unit", "n", F.col("y").alias("target"), *[F.col("x")[i].alias(c) for i, c in enumerate(names)])
 
 
-def fitted_ladder(df: DataFrame, features: Sequence[str], windows: Sequence[int] = WINDOWS, nulls: int = NULLS) -> DataFrame:
-    """Units of each width with what a ridge predicts of them, stored."""
+def dealt_units(df: DataFrame, features: Sequence[str], windows: Sequence[int] = WINDOWS, nulls: int = NULLS) -> DataFrame:
+    """Units of each width with folds and shuffled targets, stored."""
     units = stored(unit_vectors(df, windows, "score", features), "units")
-    return stored(ridge_ladder(stored(with_shuffled_targets(with_unit_folds(units), nulls), "units")), "fitted")
+    return stored(with_shuffled_targets(with_unit_folds(units), nulls), "units")
+
+
+def fitted_ladder(units: DataFrame) -> DataFrame:
+    """What a ridge predicts of the units of each width, stored."""
+    return stored(ridge_ladder(units).drop("x"), "fitted")
 
 
 def _reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,22 +71,26 @@ def single_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
 @query()
 def stat_feature_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold correlations of each width by blocks, their null of 20 refits, random folds, and the reliability's ceiling."""
-    df = stored(design(spark, sf_dir, signal=False), "design")
+    df = design(spark, sf_dir, signal=False, schemes=("position",))
     names = channel(df)
-    out = with_ceiling(ladder_metrics(fitted_ladder(df, names)), _reliability(spark, sf_dir))
+    df = stored(df.select("pos", "score", "bin", "fold_position", *names), "design")
+    out = with_ceiling(ladder_metrics(fitted_ladder(dealt_units(df, names))), _reliability(spark, sf_dir))
     return out.unionByName(single_rows(df, names), allowMissingColumns=True)
 
 
 def channel_ladders(df: DataFrame, channels: Mapping[str, Sequence[str]], baseline: str, windows: Sequence[int] = WINDOWS, nulls: int = NULLS, draws: int = DRAWS) -> DataFrame:
     """A row for each channel and width; from `READABLE` units on, other channels have a paired difference to the baseline's correlation."""
     spark = df.sparkSession
-    fitted = {c: fitted_ladder(df, f, windows, nulls) for c, f in channels.items()}
+    every = list(dict.fromkeys(f for names in channels.values() for f in names))
+    # units, folds and shuffled targets are the same in all channels
+    units = dealt_units(df, every, windows, nulls)
+    fitted = {c: fitted_ladder(units.withColumn("x", F.array(*[F.col("x")[every.index(f)] for f in names]))) for c, names in channels.items()}
     out, gains = None, []
     for c, f in fitted.items():
         part = ladder_metrics(f).withColumn("channel", F.lit(c))
         out = part if out is None else out.unionByName(part)
     out = stored(out, "ladders")
-    readable = {r["window_size"] for r in out.where(F.col("n_units") >= READABLE).select("window_size").distinct().collect()}  # one row a width
+    readable = [r["window_size"] for r in out.where(F.col("n_units") >= READABLE).select("window_size").distinct().collect()]  # one row a width
     keys, base = ["window_size", "unit"], fitted[baseline]
     for c in fitted:
         both = fitted[c].select(*keys, "y", F.col("preds")[0].alias("a")).join(base.select(*keys, F.col("preds")[0].alias("b")), keys) if c != baseline else None
@@ -96,6 +105,8 @@ def channel_ladders(df: DataFrame, channels: Mapping[str, Sequence[str]], baseli
 @query()
 def stat_feature_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The position's channel with and without signals at each width, with paired intervals of 2,000 draws of units."""
-    df = stored(design(spark, sf_dir), "design")
-    ladders = channel_ladders(df, {"position": channel(df), "position_signal": channel(df, ("position", "signal"))}, "position")
+    df = design(spark, sf_dir, schemes=(), bins=False)
+    channels = {"position": channel(df), "position_signal": channel(df, ("position", "signal"))}
+    names = dict.fromkeys(f for c in channels.values() for f in c)
+    ladders = channel_ladders(stored(df.select("pos", "score", *names), "design"), channels, "position")
     return with_ceiling(ladders, _reliability(spark, sf_dir).drop("split_half_r"))
