@@ -18,7 +18,7 @@ from ..functions.blocks import summed
 from ..functions.digests import Digests
 from ..functions.ranks import shuffled_number, value_ranks
 from ..sources.shared import stored
-from .bootstrap import draw_arrays
+from .bootstrap import RANGE_ROWS as STRIP, _first_mix, _taken, draw_arrays
 from .models import ALPHAS
 
 #: Units that a fold's training set needs; units from which a ladder's step can be read.
@@ -29,6 +29,8 @@ NULLS, DRAWS = 20, 2_000
 STRETCH, PLACES, SORTED = 1 << 12, 1 << 14, 1 << 16
 #: Ranges of a width's targets or predictions, at most.
 CUTS = 64
+#: Groups that a width's draws are dealt to, at most; picks that are worth a group.
+GROUPS, GROUP_PICKS = 24, 1 << 26
 
 
 def unit_vectors(df: DataFrame, windows: Sequence[int], target: str, features: Sequence[str], pos: str = "pos") -> DataFrame:
@@ -413,6 +415,52 @@ def _differences(sums: np.ndarray) -> np.ndarray:
         return r(ya, aa, sa) - r(yb, bb, sb)
 
 
+def window_unit_draws(units: DataFrame, y: str, a: str, b: str, reps: int = DRAWS, seed: int = 1) -> dict[int, np.ndarray]:
+    """`paired_unit_draws` of the units of each width, by the same picks, for all widths at once.
+
+    A draw's picks are made where its sums are, so no picks or weights are moved: units go packed to at most `GROUPS` groups of
+    draws, in strips of a bounded number of units.
+    """
+    columns = [F.col(c).cast("double").alias(f"_{n}") for n, c in (("y", y), ("a", a), ("b", b))]
+    rows = stored(units.select("window_size", "unit", *columns).dropna(), "pairs")
+    # a row a width
+    widths = {r["window_size"]: (r["n"], np.array(r[2:])) for r in rows.groupBy("window_size").agg(F.count("*").alias("n"), F.avg("_y"), F.avg("_a"), F.avg("_b")).collect()}
+    if not widths:
+        return {}
+    groups = {w: min(GROUPS, reps, -(-n * reps // GROUP_PICKS)) for w, (n, _) in widths.items()}
+    place = value_ranks(rows, "unit", ["window_size"], "i").select("window_size", "unit", (F.col("i_min") - 1).alias("_i"))
+    placed = rows.join(place, ["window_size", "unit"]).withColumns({"block": F.expr(f"_i div {PLACES}"), "strip": F.expr(f"_i div {STRIP}")})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        cells = pdf[["_y", "_a", "_b"]].to_numpy(float) - widths[int(pdf["window_size"].iloc[0])][1]
+        return pdf[["window_size", "strip", "block"]].iloc[:1].assign(cells=cells.tobytes())
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, g = int(pdf["window_size"].iloc[0]), int(pdf["g"].iloc[0])
+        n, sums = widths[w][0], np.zeros((reps, 9))
+        first, mine = _first_mix(n, seed), np.arange(g, reps, groups[w])
+        blocks = [(int(i) * PLACES, np.frombuffer(c).reshape(-1, 3).T) for i, c in zip(pdf["block"], pdf["cells"])]
+        for at in range(0, len(mine), 16):
+            some = mine[at : at + 16]
+            taken = [_taken(first, int(d), n) for d in some]
+            for start, (y, a, b) in blocks:
+                weights = np.stack([t[start : start + len(y)] for t in taken]).astype(float)
+                sums[some] += weights @ np.column_stack([np.ones(len(y)), y, a, b, y * y, a * a, b * b, y * a, y * b])
+        return pd.DataFrame({"window_size": [w], "sums": [sums.tobytes()]})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray]]:
+        for batch in batches:
+            for w, s in zip(batch["window_size"], batch["sums"]):
+                yield str(w), np.frombuffer(s)
+
+    packed = placed.groupBy("window_size", "strip", "block").applyInPandas(pack, "window_size int, strip long, block long, cells binary")
+    # at most GROUPS rows a width
+    dealt = packed.join(F.broadcast(units.sparkSession.createDataFrame([(w, g) for w, n in groups.items() for g in range(n)], "window_size int, g int")), "window_size")
+    made = dealt.repartition(4 * sum(groups.values()), "window_size", "strip", "g").groupBy("window_size", "strip", "g").applyInPandas(draw, "window_size int, sums binary")
+    return {int(w): _differences(s.reshape(reps, 9)) for w, s in summed(made, each).items()}
+
+
 def interval(draws: np.ndarray, alpha: float = 0.05) -> tuple[int, float | None, float | None, float | None]:
     """Draws that have a value, the percentile interval and the two-sided share of chance."""
     d = draws[np.isfinite(draws)]

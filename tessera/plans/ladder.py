@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import columns_of, groups_of
-from ..operators.ladder import DRAWS, NULLS, READABLE, interval, ladder_metrics, paired_unit_draws, ridge_ladder, unit_vectors, with_ceiling, with_shuffled_targets, with_unit_folds
+from ..operators.ladder import DRAWS, NULLS, READABLE, interval, ladder_metrics, ridge_ladder, unit_vectors, window_unit_draws, with_ceiling, with_shuffled_targets, with_unit_folds
 from ..operators.models import ridge_out_of_fold
 from ..sources.assay import ANNOTATED_SQL, DOMAINS
 from ..sources.shared import stored
@@ -93,9 +94,10 @@ def channel_ladders(df: DataFrame, channels: Mapping[str, Sequence[str]], baseli
     readable = [r["window_size"] for r in out.where(F.col("n_units") >= READABLE).select("window_size").distinct().collect()]  # one row a width
     keys, base = ["window_size", "unit"], fitted[baseline]
     for c in fitted:
-        both = fitted[c].select(*keys, "y", F.col("preds")[0].alias("a")).join(base.select(*keys, F.col("preds")[0].alias("b")), keys) if c != baseline else None
-        for w in sorted(readable) if both is not None else ():
-            gains.append((c, w, *interval(paired_unit_draws(both.where(F.col("window_size") == w), "y", "a", "b", draws))))
+        if c != baseline and readable:
+            both = fitted[c].select(*keys, "y", F.col("preds")[0].alias("a")).join(base.select(*keys, F.col("preds")[0].alias("b")), keys)
+            found = window_unit_draws(both.where(F.col("window_size").isin(readable)), "y", "a", "b", draws)
+            gains += [(c, w, *interval(found.get(w, np.zeros(0)))) for w in sorted(readable)]
     table = F.broadcast(spark.createDataFrame(gains, "channel string, window_size int, n_draws long, delta_lo double, delta_hi double, delta_p double"))
     level = F.broadcast(out.where(F.col("channel") == baseline).select("window_size", F.col("pearson").alias("_b")))
     delta = F.when(F.col("n_draws").isNotNull(), F.col("pearson") - F.col("_b"))

@@ -87,3 +87,22 @@ def test_a_constant_feature_of_sums():
     z = np.column_stack([np.ones(n), np.linspace(0, 1, n), np.full(n, c), np.linspace(0, 1, n) ** 2])
     w = ladder._paths(sum(z[i::7, : d + 1].T @ z[i::7] for i in range(7)), d, np.array([0.1]))
     assert w[0, 2, 0] == 0
+
+
+def test_draws_of_all_widths_equal_those_of_each(spark, fitted, monkeypatch):
+    monkeypatch.setattr(ladder, "PLACES", 32)
+    monkeypatch.setattr(ladder, "STRIP", 96)
+    monkeypatch.setattr(ladder, "GROUP_PICKS", 4000)
+    both = fitted[0].select("window_size", "unit", "y", F.col("preds")[0].alias("a"), F.col("pred_random").alias("b"))
+    got = ladder.window_unit_draws(both, "y", "a", "b", 40)
+    assert set(got) == {1, 3}
+    for w, d in got.items():
+        assert np.allclose(d, ladder.paired_unit_draws(both.where(F.col("window_size") == w), "y", "a", "b", 40), atol=1e-10)
+    assert ladder.window_unit_draws(both.limit(0), "y", "a", "b", 40) == {}
+    assert np.isnan(ladder.window_unit_draws(both.withColumn("b", F.lit(1.0)), "y", "a", "b", 5)[1]).all()
+
+
+def test_picks_are_not_moved(spark, fitted, monkeypatch):
+    monkeypatch.setattr(ladder, "draw_arrays", lambda *a: 1 / 0)
+    both = fitted[0].select("window_size", "unit", "y", F.col("preds")[0].alias("a"), F.col("pred_random").alias("b"))
+    assert len(ladder.window_unit_draws(both, "y", "a", "b", 7)[3]) == 7
