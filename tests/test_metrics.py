@@ -34,3 +34,11 @@ def test_grid_means_come_from_the_stored_table(spark, monkeypatch):
     monkeypatch.setattr(models, "out_of_fold", told)
     models.model_grid(spark, "/root/testdata/sf0.001")
     assert len(tables) == 1 and id(None) not in tables
+
+
+def test_grid_ranks_a_column_once(spark, monkeypatch):
+    asked, plain = [], models.with_score_ranks
+    monkeypatch.setattr(models, "with_score_ranks", lambda wide, names: asked.extend(names) or plain(wide, names))
+    got = models.model_grid(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 20 and len(asked) == 14  # two columns used to be ranked under each of four splits
+    assert len({(r.spearman, r.auroc) for r in got if r.model == "signal"}) == 1 and len({r.delta_vs_domain_mean for r in got if r.model == "signal"}) > 1
